@@ -31,15 +31,25 @@ def weekly_forecast(weekly: DataFrame, bounds: DataFrame, params: Params, traili
     """
     last = bounds.select("last_week").scalar()
     at = (trailing - 1 - F.datediff(last, F.col("wk_end_date")) / 7).cast("int")
-    fit = (
+    x, y = F.col("at"), F.col("total_cost")
+    # Least squares from exact sums, so the line does not depend on row order.
+    sums = (
         weekly.withColumn("at", at)
-        .filter((F.col("at") >= 0) & (F.col("at") < trailing))
+        .filter((x >= 0) & (x < trailing))
         .agg(
-            F.avg(F.col("total_cost")).alias("level"),
-            F.coalesce(F.regr_slope(F.col("total_cost"), F.col("at").cast("double")), F.lit(0.0)).alias("slope"),
-            F.avg(F.col("at").cast("double")).alias("centre"),
+            F.count("*").cast("double").alias("n"),
+            F.sum(x).cast("double").alias("sx"),
+            F.sum(x * x).cast("double").alias("sxx"),
+            exact_sum(y).alias("sy"),
+            exact_sum(x * y).alias("sxy"),
         )
     )
+    n, sx, sxx, sy, sxy = (F.col(c) for c in ("n", "sx", "sxx", "sy", "sxy"))
+    fit = sums.select(
+        (sy / F.nullif(n, F.lit(0.0))).alias("level"),
+        F.coalesce((n * sxy - sx * sy) / F.nullif(n * sxx - sx * sx, F.lit(0.0)), F.lit(0.0)).alias("slope"),
+        (sx / F.nullif(n, F.lit(0.0))).alias("centre"),
+    )
     weeks = bounds.select("last_week", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("step"))
     level, slope, centre = (fit.select(c).scalar() for c in ("level", "slope", "centre"))
     cost = F.round(F.greatest(F.lit(0.0), level + slope * (F.lit(trailing - 1) + F.col("step") - centre)), 2)

@@ -199,7 +199,8 @@ def move_candidates(instances: DataFrame, thresholds: DataFrame, params: Params)
     return (
         rows.filter(~F.col("pinned"))
         .join(F.broadcast(sources), "suggested_wk_end_date", "left_semi")
-        .withColumn("fitting", F.filter(room, lambda w: w["total_slack"] >= need))
+        .withColumn("room", room)
+        .withColumn("fitting", F.filter("room", lambda w: w["total_slack"] >= need))
         .select(
             "relay_id",
             "store_id",
