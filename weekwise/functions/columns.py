@@ -48,6 +48,16 @@ def instance_key(relay: str = "relay_id", store: str = "store_id", week: str = "
     )
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """Round a double by double arithmetic alone.
+
+    `round` goes through the decimal text of a double, and engines differ on
+    values a hair from a tie; multiply, add, floor and divide do not.
+    """
+    unit = float(10**digits)
+    return F.floor(value.cast("double") * F.lit(unit) + F.lit(0.5)).cast("double") / F.lit(unit)
+
+
 def exact_sum(value: str | Column, scale: int = 2) -> Column:
     """Sum in decimal, so the total does not depend on the order of rows; 0 over nothing."""
     col = F.col(value) if isinstance(value, str) else value
@@ -57,12 +67,12 @@ def exact_sum(value: str | Column, scale: int = 2) -> Column:
 def exact_mean(value: str | Column, scale: int = 2, digits: int = 4) -> Column:
     """Mean of the non-null values from a decimal sum, rounded."""
     col = F.col(value) if isinstance(value, str) else value
-    return F.round(F.sum(col.cast(f"decimal(18,{scale})")).cast("double") / F.count(col), digits)
+    return half_up(F.sum(col.cast(f"decimal(18,{scale})")).cast("double") / F.count(col), digits)
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """100 * part / whole, 0 where whole is 0."""
-    return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(part * F.lit(100.0) / whole, digits))
+    return F.when(whole == 0, F.lit(0.0)).otherwise(half_up(part * F.lit(100.0) / whole, digits))
 
 
 def money_label(amount: Column) -> Column:

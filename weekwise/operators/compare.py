@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import exact_mean, exact_sum, month_of
+from weekwise.functions.columns import exact_mean, exact_sum, half_up, month_of
 from weekwise.functions.ordered import exact_percentile
 from weekwise.operators.kpis import store_month_cost
 from weekwise.operators.schedule import moved, weekly_load
@@ -119,7 +119,7 @@ def schedule_costs(schedule: DataFrame, scored: DataFrame, params: Params) -> Da
     was_moved = ~F.col("suggested_wk_end_date").eqNullSafe(F.col("original_wk_end_date"))
     return schedule.join(costs, ["relay_id", "store_id", "original_wk_end_date"]).select(
         F.col("total_cost").alias("baseline_cost"),
-        F.round(F.col("total_cost") + F.when(was_moved, F.lit(params.move_cost)).otherwise(F.lit(0.0)), 2).alias(
+        half_up(F.col("total_cost") + F.when(was_moved, F.lit(params.move_cost)).otherwise(F.lit(0.0)), 2).alias(
             "optimized_cost"
         ),
     )

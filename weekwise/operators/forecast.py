@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import exact_sum, month_of, percent
+from weekwise.functions.columns import exact_sum, half_up, month_of, percent
 from weekwise.functions.ordered import exact_percentile
 from weekwise.params import Params
 
@@ -20,7 +20,7 @@ def weekly_cost(scored: DataFrame) -> DataFrame:
 
 def peak_weeks(weekly: DataFrame, value: str = "relay_hours") -> DataFrame:
     """Weeks more than one sample standard deviation above the mean week."""
-    limit = weekly.agg(F.round(F.avg(value) + F.stddev_samp(value), 4)).scalar()
+    limit = weekly.agg(half_up(F.avg(value) + F.stddev_samp(value), 4)).scalar()
     return weekly.filter(F.col(value) > limit).select("wk_end_date", value)
 
 
@@ -52,11 +52,11 @@ def weekly_forecast(weekly: DataFrame, bounds: DataFrame, params: Params, traili
     )
     weeks = bounds.select("last_week", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("step"))
     level, slope, centre = (fit.select(c).scalar() for c in ("level", "slope", "centre"))
-    cost = F.round(F.greatest(F.lit(0.0), level + slope * (F.lit(trailing - 1) + F.col("step") - centre)), 2)
+    cost = half_up(F.greatest(F.lit(0.0), level + slope * (F.lit(trailing - 1) + F.col("step") - centre)), 2)
     return weeks.select(F.date_add("last_week", F.col("step") * 7).alias("wk_end_date"), cost.alias("forecast_cost")).select(
         "wk_end_date",
         "forecast_cost",
-        F.round(F.col("forecast_cost") / params.setup_rate, 2).alias("forecast_hours"),
+        half_up(F.col("forecast_cost") / params.setup_rate, 2).alias("forecast_hours"),
         F.floor(F.col("forecast_cost") / 1000).cast("bigint").alias("forecast_count"),
         F.when(F.col("forecast_cost") > params.forecast_high, "High")
         .when(F.col("forecast_cost") > params.forecast_medium, "Medium")
@@ -91,13 +91,13 @@ def cost_benefit(baseline: DataFrame, optimized: DataFrame, weeks: DataFrame, pa
     return (
         baseline.select(F.col("objective").alias("baseline_cost"))
         .withColumn("optimized_cost", optimized.select("objective").scalar())
-        .withColumn("savings", F.round(F.col("baseline_cost") - F.col("optimized_cost"), 2))
-        .withColumn("weekly_savings", F.round(F.col("savings") / n_weeks, 2))
-        .withColumn("annual_savings", F.round(F.col("weekly_savings") * 52, 2))
+        .withColumn("savings", half_up(F.col("baseline_cost") - F.col("optimized_cost"), 2))
+        .withColumn("weekly_savings", half_up(F.col("savings") / n_weeks, 2))
+        .withColumn("annual_savings", half_up(F.col("weekly_savings") * 52, 2))
         .withColumn(
-            "payback_weeks", F.when(F.col("weekly_savings") > 0, F.round(params.investment / F.col("weekly_savings"), 4))
+            "payback_weeks", F.when(F.col("weekly_savings") > 0, half_up(params.investment / F.col("weekly_savings"), 4))
         )
-        .withColumn("roi_pct", F.round(F.col("annual_savings") * 100 / params.investment, 2))
+        .withColumn("roi_pct", half_up(F.col("annual_savings") * 100 / params.investment, 2))
     )
 
 
@@ -106,9 +106,9 @@ def cost_waterfall(benefit: DataFrame) -> DataFrame:
     s = F.col("savings")
     steps = [
         (1, "Baseline", F.col("baseline_cost")),
-        (2, "Overtime", F.round(s * -0.4, 2)),
-        (3, "Balancing", F.round(s * -0.4, 2)),
-        (4, "Compliance", F.round(s * -0.2, 2)),
+        (2, "Overtime", half_up(s * -0.4, 2)),
+        (3, "Balancing", half_up(s * -0.4, 2)),
+        (4, "Compliance", half_up(s * -0.2, 2)),
         (5, "Optimized", F.col("optimized_cost")),
     ]
     return benefit.select(
@@ -122,8 +122,8 @@ def roi_timeline(benefit: DataFrame, params: Params, weeks: int = 52) -> DataFra
     """Cumulative savings by week and the net of the investment."""
     return benefit.select("weekly_savings", F.explode(F.sequence(F.lit(1), F.lit(weeks))).alias("week_number")).select(
         "week_number",
-        F.round(F.col("weekly_savings") * F.col("week_number"), 2).alias("cumulative_savings"),
-        F.round(F.col("weekly_savings") * F.col("week_number") - params.investment, 2).alias("net_benefit"),
+        half_up(F.col("weekly_savings") * F.col("week_number"), 2).alias("cumulative_savings"),
+        half_up(F.col("weekly_savings") * F.col("week_number") - params.investment, 2).alias("net_benefit"),
     )
 
 
@@ -136,7 +136,7 @@ def cost_roi(scored: DataFrame, requests: DataFrame) -> DataFrame:
     sales = requests.groupBy("relay_id").agg(exact_sum("expected_sales_impact").alias("expected_sales"))
     return cost.join(sales, "relay_id", "left").withColumn(
         "roi",
-        F.round(
+        half_up(
             (F.coalesce("expected_sales", F.lit(0.0)) - F.col("relay_cost")) / F.nullif("relay_cost", F.lit(0.0)), 4
         ),
     )
@@ -170,5 +170,5 @@ def what_if_thresholds(over: DataFrame, scenarios: dict[str, float], params: Par
         .select(F.col("c.scenario").alias("scenario"), excess.alias("excess"))
         .groupBy("scenario")
         .agg(F.count(F.when(F.col("excess") > 0, 1)).alias("weeks_over"), exact_sum("excess").alias("hours_over"))
-        .withColumn("penalty", F.round(F.col("hours_over") * params.over_penalty, 2))
+        .withColumn("penalty", half_up(F.col("hours_over") * params.over_penalty, 2))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import exact_mean, exact_sum, money_label, month_of, percent
+from weekwise.functions.columns import exact_mean, exact_sum, half_up, money_label, month_of, percent
 from weekwise.params import Params
 
 RISK_SCALE = 4
@@ -120,7 +120,7 @@ def dept_risk_matrix(scored: DataFrame) -> DataFrame:
 
 def dept_summary(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("dept_cat").isNotNull()).groupBy("dept_cat").agg(
-        F.round(exact_sum("total_cost"), 2).alias("total_cost"),
+        half_up(exact_sum("total_cost"), 2).alias("total_cost"),
         exact_mean("total_cost", digits=2).alias("mean_cost"),
         exact_mean("risk_score", RISK_SCALE, digits=2).alias("mean_risk"),
         F.count("*").alias("relay_count"),
@@ -136,12 +136,12 @@ def kpi_metrics(scored: DataFrame, params: Params) -> DataFrame:
         F.count(F.when(F.col("risk_score") > params.high_risk, 1)).alias("high_risk_count"),
         F.count_distinct("wk_end_date").alias("weeks"),
     )
-    savings = F.round(F.col("total_cost") * params.savings_rate, 2)
+    savings = half_up(F.col("total_cost") * params.savings_rate, 2)
     weekly = F.col("potential_savings") / F.nullif("weeks", F.lit(0))
     return (
         base.withColumn("potential_savings", savings)
-        .withColumn("roi_pct", F.round(weekly * 52 * 100 / params.investment, 2))
-        .withColumn("payback_weeks", F.when(weekly > 0, F.round(params.investment / weekly, 4)))
+        .withColumn("roi_pct", half_up(weekly * 52 * 100 / params.investment, 2))
+        .withColumn("payback_weeks", F.when(weekly > 0, half_up(params.investment / weekly, 4)))
         .drop("weeks")
     )
 
@@ -169,8 +169,8 @@ def dept_imbalance(scored: DataFrame, params: Params) -> DataFrame:
     counts = scored.filter(F.col("dept_cat").isNotNull()).groupBy("dept_cat").agg(F.count("*").alias("n"))
     return counts.agg(
         F.count("*").alias("departments"),
-        F.round(F.avg("n"), 4).alias("mean_count"),
-        F.round(F.stddev_samp("n"), 4).alias("std_count"),
+        half_up(F.avg("n"), 4).alias("mean_count"),
+        half_up(F.stddev_samp("n"), 4).alias("std_count"),
     ).withColumn(
         "is_uneven", F.coalesce(F.col("std_count") > F.col("mean_count") * params.imbalance_ratio, F.lit(False))
     )
@@ -188,8 +188,8 @@ def cost_analysis(scored: DataFrame, params: Params) -> DataFrame:
         scored.agg(exact_sum("total_cost").alias("baseline_cost"))
         .withColumns(
             {
-                "optimized_cost": F.round(total * (1 - params.savings_rate), 2),
-                "savings": F.round(total * params.savings_rate, 2),
+                "optimized_cost": half_up(total * (1 - params.savings_rate), 2),
+                "savings": half_up(total * params.savings_rate, 2),
             }
         )
         .withColumn("roi_pct", percent(F.col("savings"), F.col("optimized_cost")))
@@ -200,7 +200,7 @@ def predictive_insights(scored: DataFrame, params: Params) -> DataFrame:
     return scored.agg(
         F.count(F.when(F.col("risk_score") > params.high_risk, 1)).alias("high_risk_count"),
         exact_sum("total_cost").alias("cost_forecast"),
-    ).withColumn("savings_potential", F.round(F.col("cost_forecast") * params.potential_rate, 2))
+    ).withColumn("savings_potential", half_up(F.col("cost_forecast") * params.potential_rate, 2))
 
 
 def opportunities(scored: DataFrame, params: Params) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import clean_key, column_or, instance_key
+from weekwise.functions.columns import clean_key, column_or, half_up, instance_key
 from weekwise.operators.calendar import as_of_date, holiday_weeks
 from weekwise.params import Params
 from weekwise.sources.schemas import Tables
@@ -231,11 +231,11 @@ def move_cost(df: DataFrame, params: Params) -> DataFrame:
     material = column_or(df, "material_cost", 0.0)
     return df.withColumns(
         {
-            "labour_cost": F.round(hours * params.labour_rate, 2),
-            "setup_cost": F.round(setup * params.setup_rate, 2),
+            "labour_cost": half_up(hours * params.labour_rate, 2),
+            "setup_cost": half_up(setup * params.setup_rate, 2),
             "material_cost": material,
         }
-    ).withColumn("total_cost", F.round(F.col("labour_cost") + F.col("setup_cost") + F.col("material_cost"), 2))
+    ).withColumn("total_cost", half_up(F.col("labour_cost") + F.col("setup_cost") + F.col("material_cost"), 2))
 
 
 def risk_score(costed: DataFrame, params: Params) -> DataFrame:
@@ -244,7 +244,7 @@ def risk_score(costed: DataFrame, params: Params) -> DataFrame:
     hours = column_or(costed, "associate_hours_impact", params.default_associate_hours)
     return costed.withColumn(
         "risk_score",
-        F.round(
+        half_up(
             hours * 3.0 / 16.0
             + column_or(costed, "market_factor", 1.0)
             + F.when(top == 0, F.lit(0.0)).otherwise(F.col("total_cost") * 3.0 / top),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekwise.functions.columns import equal_width_bin, month_of, percent
+from weekwise.functions.columns import equal_width_bin, half_up, month_of, percent
 from weekwise.operators.calendar import as_of_date
 from weekwise.params import Params
 from weekwise.sources.schemas import Tables
@@ -97,7 +97,7 @@ def dq_freshness(stamped: dict[str, tuple[DataFrame, str]], bounds: DataFrame, p
         df.agg(F.max(F.col(column)).cast("timestamp").alias("newest")).select(F.lit(name).alias("table_name"), "newest")
         for name, (df, column) in stamped.items()
     ]
-    lag = F.round((F.unix_timestamp(as_of) - F.unix_timestamp("newest")) / 3600.0, 2)
+    lag = half_up((F.unix_timestamp(as_of) - F.unix_timestamp("newest")) / 3600.0, 2)
     return (
         _union(parts)
         .withColumn("lag_hours", lag)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import exact_sum, percent, project_existing
+from weekwise.functions.columns import exact_sum, half_up, percent, project_existing
 from weekwise.operators.calendar import holiday_weeks, week_calendar
 from weekwise.operators.master import INSTANCE
 from weekwise.params import Params
@@ -145,7 +145,7 @@ def schedule_objective(schedule: DataFrame, thresholds: DataFrame, params: Param
         "nm_over",
     ).withColumn(
         "objective",
-        F.round(
+        half_up(
             F.col("moves") * params.move_cost
             + F.col("total_over") * params.over_penalty
             + F.col("nm_over") * params.nm_over_penalty,

@@ -36,6 +36,23 @@ def _cte(name: str, needs: str, body: str) -> None:
     CTES[name] = (tuple(needs.split()), body)
 
 
+def _half_up(sql: str) -> str:
+    """Write `round(x, d)` as floor(x * 10^d + 0.5) / 10^d on doubles; `ROUND` stays as it is."""
+    at = sql.find("round(")
+    while at >= 0:
+        depth, comma, end = 0, -1, at + 6
+        while depth >= 0:
+            ch = sql[end]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 0:
+                comma = end
+            end += 1
+        unit = f"CAST({10 ** int(sql[comma + 1 : end - 1])} AS DOUBLE)"
+        sql = f"{sql[:at]}(floor(({sql[at + 6 : comma]}) * {unit} + CAST(0.5 AS DOUBLE)) / {unit}){sql[end:]}"
+        at = sql.find("round(", at)
+    return sql
+
+
 def _with(needs: str, body: str) -> str:
     """The body after the common table expressions it needs, each after its own."""
     ordered: list[str] = []
@@ -49,8 +66,8 @@ def _with(needs: str, body: str) -> str:
     for n in needs.split():
         visit(n)
     if not ordered:
-        return body
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n" + body
+        return _half_up(body)
+    return _half_up("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n" + body)
 
 
 # -- the six tables -------------------------------------------------------
@@ -570,9 +587,9 @@ FROM (SELECT relay_cost, round((coalesce(expected_sales, 0) - relay_cost) / rela
       LEFT JOIN (SELECT relay_id, {_sum('expected_sales_impact')} AS expected_sales FROM requests GROUP BY 1) USING (relay_id)) GROUP BY 1""")
 _q("currency_label", "store_perf", """
 SELECT store_id, total_cost, CASE
-  WHEN total_cost >= 1000000 THEN '$' || CAST(CAST(round(CAST(total_cost AS DECIMAL(18,2)) / 1000000, 1) AS DECIMAL(20,1)) AS VARCHAR) || 'M'
-  WHEN total_cost >= 1000 THEN '$' || CAST(CAST(round(CAST(total_cost AS DECIMAL(18,2)) / 1000, 1) AS DECIMAL(20,1)) AS VARCHAR) || 'K'
-  ELSE '$' || CAST(CAST(round(total_cost) AS BIGINT) AS VARCHAR) END AS label FROM store_perf""")
+  WHEN total_cost >= 1000000 THEN '$' || CAST(CAST(ROUND(CAST(total_cost AS DECIMAL(18,2)) / 1000000, 1) AS DECIMAL(20,1)) AS VARCHAR) || 'M'
+  WHEN total_cost >= 1000 THEN '$' || CAST(CAST(ROUND(CAST(total_cost AS DECIMAL(18,2)) / 1000, 1) AS DECIMAL(20,1)) AS VARCHAR) || 'K'
+  ELSE '$' || CAST(CAST(ROUND(total_cost) AS BIGINT) AS VARCHAR) END AS label FROM store_perf""")
 _q("what_if_thresholds", "overage", f"""
 SELECT scenario, weeks_over, hours_over, round(hours_over * 10, 2) AS penalty FROM (
   SELECT scenario, count(*) FILTER (WHERE excess > 0) AS weeks_over, {_sum('excess')} AS hours_over

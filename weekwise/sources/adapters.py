@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import week_end
+from weekwise.functions.columns import half_up, week_end
 from weekwise.operators.calendar import holiday_calendar
 from weekwise.sources.schemas import Tables, conform
 
@@ -50,7 +50,7 @@ def relays(spark: SparkSession, sf_dir: str) -> DataFrame:
         _placements(spark, sf_dir)
         .groupBy("relay_id", "wk_end_date")
         .agg(
-            F.round(F.max("l_discount") * 10, 2).alias("relay_change_perc"),
+            half_up(F.max("l_discount") * 10, 2).alias("relay_change_perc"),
             F.sum("l_quantity").alias("total_store_hours"),
             F.count("*").alias("lines"),
         )
@@ -75,8 +75,8 @@ def relays(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.year("wk_end_date").alias("relay_year"),
             F.concat(F.lit("REASON_"), (F.col("p_size") % 9).cast("string")).alias("request_reason"),
             (F.col("lines") + F.col("p_size") % 5).alias("historical_moves_count"),
-            F.round(2 + F.col("total_store_hours") * 0.1, 2).alias("associate_hours_impact"),
-            F.round(100 + (F.col("p_retailprice") - 900) * 4, 2).alias("material_cost"),
+            half_up(2 + F.col("total_store_hours") * 0.1, 2).alias("associate_hours_impact"),
+            half_up(100 + (F.col("p_retailprice") - 900) * 4, 2).alias("material_cost"),
             (1 + 3 * ((F.col("p_partkey") * 7919) % 1000) / F.lit(1000.0)).alias("market_factor"),
         ),
         "relays",
@@ -142,7 +142,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise("Low")
             .alias("priority_level"),
             F.col("o_totalprice").alias("expected_sales_impact"),
-            F.round(F.col("o_totalprice") / 100, 2).alias("cost_estimate"),
+            half_up(F.col("o_totalprice") / 100, 2).alias("cost_estimate"),
             F.col("o_orderdate").alias("request_ts"),
         ),
         "requests",
