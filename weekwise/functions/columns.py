@@ -44,7 +44,7 @@ def instance_key(relay: str = "relay_id", store: str = "store_id", week: str = "
         "_",
         F.col(relay).cast("string"),
         F.col(store).cast("string"),
-        F.coalesce(F.date_format(week, "yyyy-MM-dd"), F.lit("NA")),
+        F.coalesce(F.col(week).cast("date").cast("string"), F.lit("NA")),
     )
 
 

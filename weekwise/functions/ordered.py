@@ -93,30 +93,26 @@ def exact_percentile(df: DataFrame, value: str, share: float, scale: int = 2, fa
     if not total:
         return None
 
-    def at_rank(rank: int) -> int:
-        lo, hi, before = low, high, 0
-        while lo < hi:
-            width = math.ceil((hi - lo + 1) / fanout)
-            parts = (
-                counts.filter(F.col("v").between(lo, hi))
-                .groupBy(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long").alias("part"))
-                .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            )
-            upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-            row = (
-                parts.withColumn("upto", F.sum("n").over(upto) + F.lit(before))
-                .filter(F.col("upto") > rank)
-                .orderBy("part")
-                .select("lo", "hi", (F.col("upto") - F.col("n")).alias("before"))
-                .first()
-            )
-            lo, hi, before = row["lo"], row["hi"], row["before"]
-        return lo
-
     position = Decimal(str(share)) * (total - 1)
-    floor_rank = int(position)
-    part = position - floor_rank
-    lower = at_rank(floor_rank)
-    upper = lower if part == 0 else at_rank(floor_rank + 1)
-    exact = (lower + (upper - lower) * part) * step
+    rank, part = int(position), position % 1
+    lo, hi, before, upto = low, high, 0, total
+    while lo < hi:
+        width = math.ceil((hi - lo + 1) / fanout)
+        parts = (
+            counts.filter(F.col("v").between(lo, hi))
+            .groupBy(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long").alias("part"))
+            .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        )
+        along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        lo, hi, before, upto = (
+            parts.withColumn("upto", F.sum("n").over(along) + F.lit(before))
+            .filter(F.col("upto") > rank)
+            .orderBy("part")
+            .select("lo", "hi", F.col("upto") - F.col("n"), "upto")
+            .first()
+        )
+    upper = lo
+    if part and rank + 1 >= upto:
+        upper = counts.filter(F.col("v") > lo).agg(F.min("v")).first()[0]
+    exact = (lo + (upper - lo) * part) * step
     return float(exact.quantize(step / 10_000, rounding=ROUND_HALF_UP))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import clean_key, column_or, half_up, instance_key
+from weekwise.functions.columns import column_or, half_up, instance_key
 from weekwise.operators.calendar import as_of_date, holiday_weeks
 from weekwise.params import Params
 from weekwise.sources.schemas import Tables
@@ -44,10 +44,10 @@ def with_hours(relays: DataFrame, column: str = "total_store_hours") -> DataFram
 
 def relay_store_join(relays: DataFrame, bridge: DataFrame, params: Params) -> DataFrame:
     """Relays with their stores: inner join on (relay, week)."""
-    left = relay_flags(with_hours(relays.withColumn("relay_id", clean_key(F.col("relay_id")))), params)
+    left = relay_flags(with_hours(relays), params)
     right = bridge.select(
-        clean_key(F.col("relay_id")).alias("relay_id"),
-        F.col("wk_end_date").cast("date").alias("wk_end_date"),
+        "relay_id",
+        "wk_end_date",
         "store_id",
         F.coalesce("store_type", F.lit("Unknown")).alias("store_type"),
     )
@@ -66,16 +66,12 @@ def holiday_flags(placed: DataFrame, holidays: DataFrame) -> DataFrame:
 
 def group_join(placed: DataFrame, groups: DataFrame) -> DataFrame:
     """Add adjustment groups; a relay in two groups gives two rows."""
-    return placed.join(
-        groups.select(clean_key(F.col("relay_id")).alias("relay_id"), "adjustment_group_id"), "relay_id", "left"
-    ).withColumn("adjustment_group_id", F.coalesce("adjustment_group_id", F.lit("NO_GROUP")))
+    return placed.join(groups.select("relay_id", "adjustment_group_id"), "relay_id", "left").withColumn("adjustment_group_id", F.coalesce("adjustment_group_id", F.lit("NO_GROUP")))
 
 
 def request_join(placed: DataFrame, requests: DataFrame) -> DataFrame:
     """Add requests by relay (not store): one row per request of the relay."""
-    right = requests.select(
-        clean_key(F.col("relay_id")).alias("relay_id"), "request_type", "requested_move_wk", "status"
-    )
+    right = requests.select("relay_id", "request_type", "requested_move_wk", "status")
     return placed.join(right, "relay_id", "left").withColumns(
         {
             "request_type": F.coalesce("request_type", F.lit("None")),
@@ -95,10 +91,8 @@ def fan_out(placed: DataFrame, groups: DataFrame, requests: DataFrame) -> DataFr
 
     The join is against one count per relay, so no row is multiplied.
     """
-    per_group = groups.groupBy(clean_key(F.col("relay_id")).alias("relay_id")).agg(F.count("*").alias("n_groups"))
-    per_request = requests.groupBy(clean_key(F.col("relay_id")).alias("relay_id")).agg(
-        F.count("*").alias("n_requests")
-    )
+    per_group = groups.groupBy("relay_id").agg(F.count("*").alias("n_groups"))
+    per_request = requests.groupBy("relay_id").agg(F.count("*").alias("n_requests"))
     return (
         placed.join(per_group, "relay_id", "left")
         .join(per_request, "relay_id", "left")
@@ -128,31 +122,29 @@ def dedupe_instances(master: DataFrame) -> DataFrame:
 
 def best_request(requests: DataFrame) -> DataFrame:
     """The request a relay keeps after deduplication, one row per relay."""
-    rows = requests.select(
-        clean_key(F.col("relay_id")).alias("relay_id"), "request_type", "requested_move_wk", "status"
-    )
+    rows = requests.select("relay_id", "request_type", "requested_move_wk", "status")
     pick = Window.partitionBy("relay_id").orderBy(*_best_first(rows))
     return rows.withColumn("rn", F.row_number().over(pick)).filter("rn = 1").drop("rn")
 
 
 def first_group(groups: DataFrame) -> DataFrame:
     """The group a relay keeps after deduplication, one row per relay."""
-    return groups.groupBy(clean_key(F.col("relay_id")).alias("relay_id")).agg(
-        F.min("adjustment_group_id").alias("adjustment_group_id")
-    )
+    return groups.groupBy("relay_id").agg(F.min("adjustment_group_id").alias("adjustment_group_id"))
 
 
-def instances(tables: Tables, params: Params) -> DataFrame:
+def instances(tables: Tables, params: Params, unique_keys: bool = False) -> DataFrame:
     """Deduplicated schedule: same rows as `dedupe_instances(master_schedule(..))`.
 
     Groups and requests are cut to one row per relay before the joins, so the
-    fan-out is never built; a last pass drops repeated relay rows.
+    fan-out is never built. A last pass drops repeated relay rows, unless
+    `unique_keys` says that relays are unique by (relay, week) and the bridge
+    by (relay, week, store).
     """
     placed = relay_store_join(tables.relays, tables.bridge, params)
     rows = request_join(
         group_join(holiday_flags(placed, tables.holidays), first_group(tables.groups)), best_request(tables.requests)
     )
-    return dedupe_instances(rows)
+    return rows if unique_keys else dedupe_instances(rows)
 
 
 def with_instance_key(df: DataFrame) -> DataFrame:

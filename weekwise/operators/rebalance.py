@@ -22,6 +22,7 @@ from weekwise.params import Params
 from weekwise.session import materialize
 
 HOURS = "decimal(18,2)"
+SUM = "decimal(28,2)"
 CELLS = 1024
 
 
@@ -48,7 +49,6 @@ def unit_table(rows: DataFrame) -> DataFrame:
         .groupBy("unit_key")
         .agg(
             F.min("suggested_wk_end_date").alias("week"),
-            F.min("suggested_wk_end_date").alias("origin"),
             F.sum(hours).cast(HOURS).alias("hours"),
             F.sum(F.when(F.col("is_nm"), hours).otherwise(F.lit(0).cast(HOURS))).cast(HOURS).alias("nm_hours"),
             F.count("*").alias("size"),
@@ -57,18 +57,39 @@ def unit_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def week_state(units: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Excess and room per calendar week. A week outside the calendar has no cap and neither."""
-    load = units.groupBy(F.col("week").alias("wk_end_date")).agg(
-        F.sum("hours").alias("total"), F.sum("nm_hours").alias("nm")
+def unit_load(units: DataFrame) -> DataFrame:
+    """Hours per week of the units where they started."""
+    return units.groupBy(F.col("week").alias("wk_end_date")).agg(
+        F.sum("hours").cast(SUM).alias("total"), F.sum("nm_hours").cast(SUM).alias("nm")
     )
-    zero = F.lit(0).cast("decimal(28,2)")
+
+
+def week_state(load: DataFrame, moves: DataFrame | None, thresholds: DataFrame) -> DataFrame:
+    """Excess and room per calendar week, after the moves so far.
+
+    The load is corrected by what left and what came, so the units are not
+    added up again. A week outside the calendar has no cap and neither.
+    """
+    if moves is not None:
+        came = moves.groupBy(F.col("new_week").alias("wk_end_date")).agg(
+            F.sum("hours").cast(SUM).alias("total"), F.sum("nm_hours").cast(SUM).alias("nm")
+        )
+        left = moves.groupBy(F.col("week").alias("wk_end_date")).agg(
+            F.sum(-F.col("hours")).cast(SUM).alias("total"), F.sum(-F.col("nm_hours")).cast(SUM).alias("nm")
+        )
+        load = (
+            load.unionByName(came)
+            .unionByName(left)
+            .groupBy("wk_end_date")
+            .agg(F.sum("total").cast(SUM).alias("total"), F.sum("nm").cast(SUM).alias("nm"))
+        )
+    zero = F.lit(0).cast(SUM)
 
     def positive(diff: Column) -> Column:
-        return F.greatest(zero, diff.cast("decimal(28,2)"))
+        return F.greatest(zero, diff.cast(SUM))
 
     total, nm = F.coalesce("total", zero), F.coalesce("nm", zero)
-    total_cap, nm_cap = F.col("total_cap").cast("decimal(28,2)"), F.col("nm_cap").cast("decimal(28,2)")
+    total_cap, nm_cap = F.col("total_cap").cast(SUM), F.col("nm_cap").cast(SUM)
     return thresholds.join(load, "wk_end_date", "left").select(
         "wk_end_date",
         positive(total - total_cap).alias("total_over"),
@@ -78,8 +99,12 @@ def week_state(units: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
-def _phase(units: DataFrame, state: DataFrame, params: Params, nm: bool) -> DataFrame:
-    """Moves of one phase: unit_key and new week."""
+def _phase(units: DataFrame, moves: DataFrame | None, state: DataFrame, params: Params, nm: bool) -> DataFrame:
+    """Moves of one phase: unit, its hours, old and new week.
+
+    A unit that moved sits in a week within its caps, and no move takes a
+    week beyond them, so it never moves again: `moves` are left out here.
+    """
     measure, over_col, penalty = (
         ("nm_hours", "nm_over", params.nm_over_penalty) if nm else ("hours", "total_over", params.over_penalty)
     )
@@ -93,6 +118,8 @@ def _phase(units: DataFrame, state: DataFrame, params: Params, nm: bool) -> Data
         # Work that counts against the market cap stays with its own phase.
         may_go = may_go.filter(F.col("nm_hours") == 0)
     may_go = may_go.join(sources, "week")
+    if moves is not None:
+        may_go = may_go.join(moves.select("unit_key"), "unit_key", "left_anti")
 
     totals = {"hours": "hours_before"} | ({"nm_hours": "nm_before"} if nm else {})
     before = "nm_before" if nm else "hours_before"
@@ -102,7 +129,7 @@ def _phase(units: DataFrame, state: DataFrame, params: Params, nm: bool) -> Data
     left = F.col("over") - F.col(before)
     pays = F.least(F.col(measure), left) * penalty_c > F.col("size") * cost_c
     leaving = materialize(
-        ranked.filter((left > 0) & pays).select("unit_key", "week", "hours", "hours_before"), "leaving"
+        ranked.filter((left > 0) & pays).select("unit_key", "week", "hours", "nm_hours", "hours_before"), "leaving"
     )
 
     # One row per week from here on, but for the units themselves.
@@ -131,14 +158,8 @@ def _phase(units: DataFrame, state: DataFrame, params: Params, nm: bool) -> Data
         .withColumn("cell", F.floor(F.col("p0") / cell_width).cast("long"))
     )
     fits = (F.col("s0") <= F.col("p0")) & (F.col("p0") + F.col("hours") <= F.col("s1"))
-    return placed.join(F.broadcast(cells), "cell").filter(fits).select("unit_key", "new_week")
-
-
-def _apply(units: DataFrame, moves: DataFrame) -> DataFrame:
-    return (
-        units.join(moves, "unit_key", "left")
-        .withColumn("week", F.coalesce("new_week", "week"))
-        .drop("new_week")
+    return placed.join(F.broadcast(cells), "cell").filter(fits).select(
+        "unit_key", "week", "new_week", "hours", "nm_hours"
     )
 
 
@@ -154,28 +175,30 @@ def rebalance(
 
     Each pass first relieves the neighbourhood-market cap, using weeks with
     room under both caps, then the total cap with the remaining units. The
-    state between phases is a written table, so a lost executor costs one
-    phase, and week-grain frames read back from it have a known size.
-    `thresholds` is read twice per pass: pass a stored week-grain table.
+    units are computed once; what each phase decides is a written table of
+    its moves, so a lost executor costs one phase at most, and tables read
+    back have a known size. Pass stored tables: both inputs are read often.
     """
     rows = units_of(fallback_schedule(instances), params, respect_groups, respect_hard)
-    rows = materialize(rows, "units-rows")
     units = materialize(unit_table(rows), "units")
+    load = materialize(unit_load(units), "unit-load")
+    moves = None
     for _ in range(passes):
         changed = False
         for nm in (True, False):
-            state = materialize(week_state(units, thresholds), "weeks")
-            moves = materialize(_phase(units, state, params, nm), "moves")
-            if not moves.isEmpty():
-                units = materialize(_apply(units, moves), "units")
+            state = materialize(week_state(load, moves, thresholds), "weeks")
+            found = materialize(_phase(units, moves, state, params, nm), "moves")
+            if not found.isEmpty():
+                moves = found if moves is None else moves.unionByName(found)
                 changed = True
         if not changed:
             break
-    gone = units.filter(F.col("week") != F.col("origin")).select("unit_key", F.col("week").alias("final_week"))
+    if moves is None:
+        return rows.drop("unit_key", "pinned", "is_nm")
     return (
-        rows.join(gone, "unit_key", "left")
-        .withColumn("suggested_wk_end_date", F.coalesce("final_week", "suggested_wk_end_date"))
-        .drop("final_week", "unit_key", "pinned", "is_nm")
+        rows.join(moves.select("unit_key", "new_week"), "unit_key", "left")
+        .withColumn("suggested_wk_end_date", F.coalesce("new_week", "suggested_wk_end_date"))
+        .drop("new_week", "unit_key", "pinned", "is_nm")
     )
 
 
@@ -188,7 +211,7 @@ def move_candidates(instances: DataFrame, thresholds: DataFrame, params: Params)
     calendar week that has room.
     """
     rows = units_of(fallback_schedule(instances), params, respect_groups=False, respect_hard=True)
-    state = week_state(unit_table(rows), thresholds)
+    state = week_state(unit_load(unit_table(rows)), None, thresholds)
     sources = state.filter(F.col("total_over") > 0).select(F.col("wk_end_date").alias("suggested_wk_end_date"))
     room = (
         state.filter(F.col("total_slack") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import clean_key, exact_mean, exact_sum, percent
+from weekwise.functions.columns import exact_mean, exact_sum, percent
 from weekwise.params import Params
 
 
@@ -31,10 +31,9 @@ def status_breakdown(df: DataFrame) -> DataFrame:
 
 def master_status(placed: DataFrame, groups: DataFrame, requests: DataFrame) -> DataFrame:
     """Status shares over the full chain, from counts per relay instead of the fanned-out rows."""
-    key = clean_key(F.col("relay_id")).alias("relay_id")
-    rows = placed.groupBy(key).agg(F.count("*").alias("placed"))
-    per_group = groups.groupBy(key).agg(F.count("*").alias("n_groups"))
-    per_status = requests.groupBy(key, F.coalesce("status", F.lit("None")).alias("status")).agg(
+    rows = placed.groupBy("relay_id").agg(F.count("*").alias("placed"))
+    per_group = groups.groupBy("relay_id").agg(F.count("*").alias("n_groups"))
+    per_status = requests.groupBy("relay_id", F.coalesce("status", F.lit("None")).alias("status")).agg(
         F.count("*").alias("n_requests")
     )
     joined = rows.join(per_group, "relay_id", "left").join(per_status, "relay_id", "left")

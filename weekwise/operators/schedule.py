@@ -163,14 +163,19 @@ def assignment_violations(assignments: DataFrame) -> DataFrame:
     )
 
 
-def requested_assignments(placed: DataFrame, requests: DataFrame) -> DataFrame:
-    """Every week a placed instance is asked to be in: all requested weeks of its relay, or its own.
+def requested_assignment_violations(placed: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same check if every request were granted: an instance goes to each requested week of its relay.
 
-    Weeks are cut to the distinct ones per relay before the join.
+    The weeks are counted per relay before the join, so instances are not
+    multiplied by them; without a request an instance has its own week.
     """
-    asked = requests.filter(F.col("requested_move_wk").isNotNull()).select("relay_id", "requested_move_wk").distinct()
-    return placed.select(*INSTANCE).join(asked, "relay_id", "left").select(
-        *INSTANCE, F.coalesce("requested_move_wk", "original_wk_end_date").alias("suggested_wk_end_date")
+    asked = requests.groupBy("relay_id").agg(F.count_distinct("requested_move_wk").alias("asked_weeks"))
+    return (
+        placed.select(*INSTANCE)
+        .join(asked, "relay_id", "left")
+        .withColumn("assigned_weeks", F.greatest(F.lit(1), F.coalesce("asked_weeks", F.lit(1))).cast("bigint"))
+        .filter(F.col("assigned_weeks") != 1)
+        .drop("asked_weeks")
     )
 
 

@@ -28,7 +28,7 @@ def iso_dates(df: DataFrame) -> DataFrame:
     changed = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DateType):
-            changed[f.name] = F.date_format(f.name, "yyyy-MM-dd")
+            changed[f.name] = F.col(f.name).cast("string")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             changed[f.name] = F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return df.withColumns(changed) if changed else df
@@ -55,18 +55,28 @@ class Context:
     def scored(self) -> DataFrame:
         return master.scored_schedule(self.tables, self.params)
 
-    @property
     def load(self) -> DataFrame:
-        return schedule.weekly_load(self.placed, self.params)
+        """Weekly load, stored: one row per week that several parts of a query read."""
+        return materialize(schedule.weekly_load(self.placed, self.params), "load")
 
-    @property
-    def thresholds(self) -> DataFrame:
-        return schedule.thresholds_for(self.tables, self.params, schedule.caps_from_load(self.load))
+    def thresholds(self, load: DataFrame) -> DataFrame:
+        return schedule.thresholds_for(self.tables, self.params, schedule.caps_from_load(load))
+
+    def instances(self) -> DataFrame:
+        """Stored schedule columns of the instances; the adapters group by the instance key."""
+        rows = master.instances(self.tables, self.params, unique_keys=True)
+        return materialize(rows.select(*schedule.REQUIRED, *schedule.OPTIONAL), "instances")
+
+    def limits(self, instances: DataFrame) -> DataFrame:
+        """Stored weekly thresholds for a stored schedule."""
+        load = materialize(schedule.weekly_load(instances, self.params), "load")
+        return materialize(self.thresholds(load), "thresholds")
 
     def plan(self) -> tuple[DataFrame, DataFrame]:
         """Stored thresholds and the suggested schedule."""
-        limits = materialize(self.thresholds, "thresholds")
-        return limits, rebalance.rebalance(master.instances(self.tables, self.params), limits, self.params, PASSES)
+        rows = self.instances()
+        limits = self.limits(rows)
+        return limits, rebalance.rebalance(rows, limits, self.params, PASSES)
 
     def benefit(self) -> DataFrame:
         limits, suggested = self.plan()
@@ -202,9 +212,8 @@ def store_month_cost(c):
 
 @query
 def move_candidates(c):
-    return rebalance.move_candidates(
-        master.instances(c.tables, c.params), materialize(c.thresholds, "thresholds"), c.params
-    )
+    rows = c.instances()
+    return rebalance.move_candidates(rows, c.limits(rows), c.params)
 
 
 @query
@@ -477,7 +486,8 @@ def currency_label(c):
 
 @query
 def what_if_thresholds(c):
-    return forecast.what_if_thresholds(schedule.weekly_overage(c.load, c.thresholds), SCENARIOS, c.params)
+    load = c.load()
+    return forecast.what_if_thresholds(schedule.weekly_overage(load, c.thresholds(load)), SCENARIOS, c.params)
 
 
 # -- windows, top-k, reshape ----------------------------------------------
@@ -536,12 +546,13 @@ def holiday_calendar(c):
 
 @query
 def weekly_thresholds(c):
-    return c.thresholds
+    return c.thresholds(c.load())
 
 
 @query
 def weekly_overage(c):
-    return schedule.weekly_overage(c.load, c.thresholds)
+    load = c.load()
+    return schedule.weekly_overage(load, c.thresholds(load))
 
 
 @query
@@ -555,13 +566,13 @@ def schedule_objective(c):
 
 @query
 def assignment_violations(c):
-    return schedule.assignment_violations(schedule.requested_assignments(c.placed, c.tables.requests))
+    return schedule.requested_assignment_violations(c.placed, c.tables.requests)
 
 
 @query
 def cannot_move_violations(c):
     return schedule.cannot_move_violations(
-        schedule.requested_schedule(master.instances(c.tables, c.params), c.params)
+        schedule.requested_schedule(master.instances(c.tables, c.params, unique_keys=True), c.params)
     )
 
 

@@ -6,10 +6,10 @@ and only the columns used reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import half_up, week_end
+from weekwise.functions.columns import clean_key, half_up, week_end
 from weekwise.operators.calendar import holiday_calendar
 from weekwise.sources.schemas import Tables, conform
 
@@ -37,7 +37,7 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").cast("string").alias("relay_id"),
+        clean_key(F.col("l_partkey")).alias("relay_id"),
         week_end(F.col("l_shipdate")).alias("wk_end_date"),
         F.col("l_suppkey").alias("store_id"),
         "l_quantity",
@@ -56,7 +56,7 @@ def relays(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     part = raw(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("string").alias("relay_id"), "p_partkey", "p_type", "p_size", "p_retailprice"
+        clean_key(F.col("p_partkey")).alias("relay_id"), "p_partkey", "p_type", "p_size", "p_retailprice"
     )
     kind = F.col("p_partkey") % 10
     return conform(
@@ -83,21 +83,23 @@ def relays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _store_type() -> Column:
+    kind = (F.col("s_suppkey") * 7) % 20
+    return (
+        F.when(kind < 12, "Large").when(kind < 17, "Neighborhood").when(kind < 19, "Club").otherwise("Express")
+    ).alias("store_type")
+
+
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = raw(spark, sf_dir, "nation").join(
         raw(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    kind = (F.col("s_suppkey") * 7) % 20
     return conform(
         raw(spark, sf_dir, "supplier")
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("s_suppkey").alias("store_id"),
-            F.when(kind < 12, "Large")
-            .when(kind < 17, "Neighborhood")
-            .when(kind < 19, "Club")
-            .otherwise("Express")
-            .alias("store_type"),
+            _store_type(),
             F.col("r_name").alias("region"),
         ),
         "stores",
@@ -105,10 +107,14 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct placements with their store type.
+
+    The type comes from the supplier file alone, whose size Spark knows: it is
+    broadcast while small and shuffled once it is not.
+    """
     placed = _placements(spark, sf_dir).select("relay_id", "wk_end_date", "store_id").distinct()
-    return conform(
-        placed.join(stores(spark, sf_dir).select("store_id", "store_type"), "store_id", "left"), "bridge"
-    )
+    kinds = raw(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("store_id"), _store_type())
+    return conform(placed.join(kinds, "store_id", "left"), "bridge")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +131,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(raw(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.concat(F.lit("REQ_"), key.cast("string")).alias("request_id"),
-            F.col("part").cast("string").alias("relay_id"),
+            clean_key(F.col("part")).alias("relay_id"),
             "store_id",
             F.when(key % 5 < 3, "Business").otherwise("Merchant").alias("request_type"),
             F.when(F.col("o_orderstatus") == "F", "Approved")
@@ -156,7 +162,7 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     def member(prefix: str, span: int) -> DataFrame:
         return part.select(
             F.concat(F.lit(prefix), F.floor(F.col("p_partkey") / span).cast("string")).alias("adjustment_group_id"),
-            F.col("p_partkey").cast("string").alias("relay_id"),
+            clean_key(F.col("p_partkey")).alias("relay_id"),
             (F.col("p_size") <= 6).alias("sync_required"),
             "p_size",
         )

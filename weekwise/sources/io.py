@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekwise.session import scratch_path
-from weekwise.sources.schemas import LOGICAL, Tables, conform, week_bounds
+from weekwise.sources.schemas import LOGICAL, Tables, clean_keys, conform, week_bounds
 
 
 class EmptyInput(ValueError):
@@ -19,7 +19,7 @@ class EmptyInput(ValueError):
 def load_stored(spark: SparkSession, folder: str) -> Tables:
     """The six logical tables from a folder of parquet tables; a missing one raises."""
     frames = {
-        name: conform(spark.read.schema(ddl).parquet(f"{folder}/{name}"), name) for name, ddl in LOGICAL.items()
+        name: clean_keys(conform(spark.read.schema(ddl).parquet(f"{folder}/{name}"), name)) for name, ddl in LOGICAL.items()
     }
     return Tables(**frames, week_bounds=week_bounds(frames["relays"]))
 

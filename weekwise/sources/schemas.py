@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekwise.functions.columns import clean_key
+
 LOGICAL = {
     "relays": (
         "relay_id STRING, wk_end_date DATE, dept_cat STRING, relay_change_perc DOUBLE, total_store_hours DOUBLE, "
@@ -57,6 +59,12 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in wanted.items()])
 
 
+def clean_keys(df: DataFrame) -> DataFrame:
+    """Join keys as trimmed text, done once at load: a key that changed after a
+    shuffle would have to be shuffled again."""
+    return df.withColumns({c: clean_key(F.col(c)) for c in ("relay_id", "adjustment_group_id") if c in df.columns})
+
+
 def week_bounds(relays: DataFrame) -> DataFrame:
     """First and last week of a work table, one row."""
     return relays.agg(F.min("wk_end_date").alias("first_week"), F.max("wk_end_date").alias("last_week"))
