@@ -11,7 +11,7 @@ from weekwise.session import build  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build("weekwise-tests", "local[8]", 8)
+    session = build("weekwise-tests", "local[8]", 4)
     session.sparkContext.setLogLevel("ERROR")
     return session
 

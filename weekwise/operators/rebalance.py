@@ -12,6 +12,8 @@ an aggregation, a bucketed running sum or a bounded join.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,8 +101,13 @@ def week_state(load: DataFrame, moves: DataFrame | None, thresholds: DataFrame)
     )
 
 
-def _phase(units: DataFrame, moves: DataFrame | None, state: DataFrame, params: Params, nm: bool) -> DataFrame:
-    """Moves of one phase: unit, its hours, old and new week.
+def _phase(
+    units: DataFrame, moves: DataFrame | None, state: DataFrame, params: Params, nm: bool, largest_first: bool
+) -> DataFrame | None:
+    """Moves of one phase: unit, its hours, old and new week; None where there is no excess or no room.
+
+    Free hours are laid out by week or, with `largest_first`, by size: a unit
+    that straddles two weeks in one order may fit into one of them in the other.
 
     A unit that moved sits in a week within its caps, and no move takes a
     week beyond them, so it never moves again: `moves` are left out here.
@@ -109,6 +116,9 @@ def _phase(units: DataFrame, moves: DataFrame | None, state: DataFrame, params:
         ("nm_hours", "nm_over", params.nm_over_penalty) if nm else ("hours", "total_over", params.over_penalty)
     )
     slack = F.least("total_slack", "nm_slack") if nm else F.col("total_slack")
+    excess, free = state.agg(F.sum(over_col), F.sum(slack)).first()
+    if not excess or not free:
+        return None
     penalty_c, cost_c = F.lit(str(penalty)).cast("decimal(10,4)"), F.lit(str(params.move_cost)).cast("decimal(10,4)")
 
     # Units that can pay for their move, in weeks with an excess.
@@ -137,7 +147,8 @@ def _phase(units: DataFrame, moves: DataFrame | None, state: DataFrame, params:
     earlier = Window.orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select("week", F.coalesce(F.sum("span").over(earlier), F.lit(0)).alias("offset"))
     room = state.select("wk_end_date", slack.alias("slack")).filter("slack > 0")
-    upto = Window.orderBy("wk_end_date").rowsBetween(Window.unboundedPreceding, 0)
+    layout = [F.desc("slack"), F.col("wk_end_date")] if largest_first else [F.col("wk_end_date")]
+    upto = Window.orderBy(*layout).rowsBetween(Window.unboundedPreceding, 0)
     targets = room.withColumn("s1", F.sum("slack").over(upto)).select(
         F.col("wk_end_date").alias("new_week"), (F.col("s1") - F.col("slack")).alias("s0"), "s1"
     )
@@ -145,7 +156,7 @@ def _phase(units: DataFrame, moves: DataFrame | None, state: DataFrame, params:
     # Both lines are cut into the same cells; a unit looks only at the target
     # weeks of the cell it starts in. Targets give at most one row per week
     # and CELLS more.
-    cell_width = F.greatest(F.lit(1).cast("long"), F.ceil(room.agg(F.sum("slack")).scalar() / CELLS).cast("long"))
+    cell_width = F.lit(max(1, math.ceil(free / CELLS)))
     cells = targets.withColumn(
         "cell",
         F.explode(
@@ -174,24 +185,30 @@ def rebalance(
     """Suggested schedule: the instances with `suggested_wk_end_date`.
 
     Each pass first relieves the neighbourhood-market cap, using weeks with
-    room under both caps, then the total cap with the remaining units. The
-    units are computed once; what each phase decides is a written table of
-    its moves, so a lost executor costs one phase at most, and tables read
-    back have a known size. Pass stored tables: both inputs are read often.
+    room under both caps, then the total cap with the remaining units. Passes
+    alternate between the two layouts of free hours and end early when
+    neither moves anything. The units are computed once; what each phase
+    decides is a written table of its moves, so a lost executor costs one
+    phase at most, and tables read back have a known size. Pass stored
+    tables: both inputs are read often.
     """
     rows = units_of(fallback_schedule(instances), params, respect_groups, respect_hard)
     units = materialize(unit_table(rows), "units")
     load = materialize(unit_load(units), "unit-load")
-    moves = None
-    for _ in range(passes):
+    moves, idle = None, 0
+    for i in range(passes):
         changed = False
         for nm in (True, False):
             state = materialize(week_state(load, moves, thresholds), "weeks")
-            found = materialize(_phase(units, moves, state, params, nm), "moves")
+            found = _phase(units, moves, state, params, nm, largest_first=i % 2 == 1)
+            if found is None:
+                continue
+            found = materialize(found, "moves")
             if not found.isEmpty():
                 moves = found if moves is None else moves.unionByName(found)
                 changed = True
-        if not changed:
+        idle = 0 if changed else idle + 1
+        if idle == 2:  # neither layout moves anything
             break
     if moves is None:
         return rows.drop("unit_key", "pinned", "is_nm")
