@@ -40,16 +40,18 @@ def test_empty_input_gives_zero_rows_or_zero_totals(spark):
     assert (k.total_relays, k.total_cost, k.mean_cost, k.payback_weeks) == (0, 0.0, None, None)
     assert kpis.store_performance(none).isEmpty() and kpis.top_risk(none).isEmpty()
     assert kpis.opportunities(none, P).isEmpty()
-    weighted = none.withColumn("copies", F.lit(1)).withColumn("relay_change_perc", F.lit(1.0))
-    assert kpis.overactive_measures(kpis.overactive_groups(weighted, P), P).first()[:] == (0, 0, 0)
+    placed = none.withColumn("relay_change_perc", F.lit(1.0))
+    active = kpis.overactive_groups(placed, frame(spark, "groups"), asked, P)
+    assert kpis.overactive_measures(active, P).first()[:] == (0, 0, 0)
 
 
 def test_overactive_groups_count_distinct_relays_and_chain_rows(spark):
     df = spark.createDataFrame(
-        [("A", 2024, str(i % 3), 0.5, 2) for i in range(6)] + [("A", 2024, "9", 0.49, 5), ("B", 2024, "1", 1.0, 1)],
-        "dept_cat string, relay_year int, relay_id string, relay_change_perc double, copies long",
+        [("A", 2024, str(i % 3), 0.5) for i in range(6)] + [("A", 2024, "9", 0.49), ("B", 2024, "7", 1.0)],
+        "dept_cat string, relay_year int, relay_id string, relay_change_perc double",
     )
-    groups = kpis.overactive_groups(df, P)
+    asked = frame(spark, "requests", *[{"relay_id": r} for r in ("0", "0", "1", "1", "2", "2", "9")])
+    groups = kpis.overactive_groups(df, frame(spark, "groups"), asked, P)
     assert rows(groups, "dept_cat", "distinct_relays", "relay_rows") == [("A", 3, 12), ("B", 1, 1)]
     assert kpis.overactive_measures(groups, P).first()[:] == (1, 3, 1)
 

@@ -13,14 +13,15 @@ from weekwise.params import Params
 
 
 def _both(schedule: DataFrame, params: Params) -> DataFrame:
-    """Weekly load of both schedules with a type tag."""
-    return (
-        weekly_load(schedule, params, "original_wk_end_date")
-        .withColumn("schedule_type", F.lit("Current"))
-        .unionByName(
-            weekly_load(schedule, params, "suggested_wk_end_date").withColumn("schedule_type", F.lit("Suggested"))
-        )
+    """Weekly load of both schedules with a type tag, from one pass over the rows."""
+    both = F.array(
+        F.struct(F.lit("Current").alias("schedule_type"), F.col("original_wk_end_date").alias("week")),
+        F.struct(F.lit("Suggested").alias("schedule_type"), F.col("suggested_wk_end_date").alias("week")),
+    )
+    tagged = schedule.select("relay_hours", "store_type", F.explode(both).alias("t")).select(
+        "relay_hours", "store_type", "t.*"
     )
+    return weekly_load(tagged, params, "week", "schedule_type")
 
 
 def weekly_hours_compare(schedule: DataFrame, thresholds: DataFrame, params: Params) -> DataFrame:

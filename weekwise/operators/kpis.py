@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekwise.functions.columns import exact_mean, exact_sum, half_up, money_label, month_of, percent
+from weekwise.operators.master import fan_out
 from weekwise.params import Params
 
 RISK_SCALE = 4
 
 
-def overactive_groups(weighted: DataFrame, params: Params) -> DataFrame:
+def overactive_groups(placed: DataFrame, groups: DataFrame, requests: DataFrame, params: Params) -> DataFrame:
     """Per department and year: distinct relays, and rows of the full chain, with a large change.
 
-    `weighted` carries `copies` (see `fan_out`). Relays are first cut to one
-    row per (department, year, relay), which spreads a hot department.
+    Rows are cut to one per (department, year, relay) before they meet the
+    fan-out counts, which spreads a hot department and collapses a hot relay.
     """
     per_relay = (
-        weighted.filter(F.col("relay_change_perc") >= params.change_threshold)
+        placed.filter(F.col("relay_change_perc") >= params.change_threshold)
         .filter(F.col("dept_cat").isNotNull() & F.col("relay_year").isNotNull())
         .groupBy("dept_cat", "relay_year", "relay_id")
-        .agg(F.sum("copies").alias("n_rows"))
+        .agg(F.count("*").alias("n_placed"))
     )
-    return per_relay.groupBy("dept_cat", "relay_year").agg(
+    weighted = fan_out(per_relay, groups, requests).withColumn("n_rows", F.col("n_placed") * F.col("copies"))
+    return weighted.groupBy("dept_cat", "relay_year").agg(
         F.count("relay_id").alias("distinct_relays"),
         F.coalesce(F.sum(F.when(F.col("relay_id").isNotNull(), F.col("n_rows"))), F.lit(0)).alias("relay_rows"),
     )

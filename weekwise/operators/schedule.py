@@ -37,12 +37,12 @@ def requested_schedule(instances: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def weekly_load(placed: DataFrame, params: Params, week: str = "original_wk_end_date") -> DataFrame:
-    """Total and neighbourhood-market hours per week."""
+def weekly_load(placed: DataFrame, params: Params, week: str = "original_wk_end_date", *by: str) -> DataFrame:
+    """Total and neighbourhood-market hours per week, and per `by` columns."""
     is_nm = F.col("store_type").isin(*params.nm_store_types)
     return (
         placed.filter(F.col(week).isNotNull())
-        .groupBy(F.col(week).alias("wk_end_date"))
+        .groupBy(F.col(week).alias("wk_end_date"), *by)
         .agg(
             exact_sum("relay_hours").alias("total_hours"),
             exact_sum(F.when(is_nm, F.col("relay_hours"))).alias("nm_hours"),

@@ -240,7 +240,7 @@ def master_schedule(c):
 
 def _overactive(c):
     t = c.tables
-    return kpis.overactive_groups(master.fan_out(c.placed, t.groups, t.requests), c.params)
+    return kpis.overactive_groups(c.placed, t.groups, t.requests, c.params)
 
 
 @query

@@ -1,7 +1,8 @@
 """Derive the six logical tables from the star-schema parquet files.
 
 Each table is read with a fixed schema, so no footer is opened to infer one
-and only the columns used reach the scan.
+and only the columns used reach the scan. Relay keys are numbers as text and
+need no trimming.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import clean_key, half_up, week_end
+from weekwise.functions.columns import half_up, week_end
 from weekwise.operators.calendar import holiday_calendar
 from weekwise.sources.schemas import Tables, conform
 
@@ -37,7 +38,7 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "lineitem").select(
-        clean_key(F.col("l_partkey")).alias("relay_id"),
+        F.col("l_partkey").cast("string").alias("relay_id"),
         week_end(F.col("l_shipdate")).alias("wk_end_date"),
         F.col("l_suppkey").alias("store_id"),
         "l_quantity",
@@ -56,7 +57,7 @@ def relays(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     part = raw(spark, sf_dir, "part").select(
-        clean_key(F.col("p_partkey")).alias("relay_id"), "p_partkey", "p_type", "p_size", "p_retailprice"
+        F.col("p_partkey").cast("string").alias("relay_id"), "p_partkey", "p_type", "p_size", "p_retailprice"
     )
     kind = F.col("p_partkey") % 10
     return conform(
@@ -131,7 +132,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(raw(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.concat(F.lit("REQ_"), key.cast("string")).alias("request_id"),
-            clean_key(F.col("part")).alias("relay_id"),
+            F.col("part").cast("string").alias("relay_id"),
             "store_id",
             F.when(key % 5 < 3, "Business").otherwise("Merchant").alias("request_type"),
             F.when(F.col("o_orderstatus") == "F", "Approved")
@@ -162,7 +163,7 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     def member(prefix: str, span: int) -> DataFrame:
         return part.select(
             F.concat(F.lit(prefix), F.floor(F.col("p_partkey") / span).cast("string")).alias("adjustment_group_id"),
-            clean_key(F.col("p_partkey")).alias("relay_id"),
+            F.col("p_partkey").cast("string").alias("relay_id"),
             (F.col("p_size") <= 6).alias("sync_required"),
             "p_size",
         )
