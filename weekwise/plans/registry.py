@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +43,16 @@ class Context:
     sf_dir: str
     params: Params
 
-    @property
+    @cached_property
     def tables(self):
         return adapters.load_tables(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def placed(self) -> DataFrame:
         t = self.tables
         return master.relay_store_join(t.relays, t.bridge, self.params)
 
-    @property
+    @cached_property
     def scored(self) -> DataFrame:
         return master.scored_schedule(self.tables, self.params)
 
