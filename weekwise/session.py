@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import getpass
 import os
 import tempfile
 import uuid
@@ -41,15 +42,18 @@ def build(app: str = "weekwise", master: str | None = None, shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the cluster names.
+    """Shared folder for intermediate tables: the one named in `spark.checkpoint.dir`.
 
-    A temporary folder is made only where the session names none (tests).
+    Only a local master, where driver and tasks are one machine, may do
+    without the setting; it then uses a folder of the user. A cluster
+    without it is an error: no executor could read another one's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="weekwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), f"weekwise-{getpass.getuser()}")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -57,6 +61,37 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "weekwise", f"{label}-{uuid.uuid4().hex}")
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored intermediate tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """The stored intermediate tables of one piece of work.
+
+    `keep` stores a frame, `drop` deletes what is no longer read and `close`
+    deletes the rest, for callers that have stored their own result.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        self.drop(label)
+        path = self.paths[label] = scratch_path(self.spark, label)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        discard(self.spark, *[self.paths.pop(x) for x in labels if x in self.paths])
+
+    def close(self) -> None:
+        self.drop(*list(self.paths))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage through a written table in the shared folder.
 
