@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwise.llm import quality_rules
+from weekwise.llm import quality_rules, secrets
 from weekwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,12 @@ def op6_quality_rules(spark, sf_dir):
     """Counts, ratios and the verdict of the threshold table for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs).drop("text")
+
+
+@query
+def op8_secret_scans(spark, sf_dir):
+    """Secrets of every document through a new blob ledger."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.Ledger(spark)
+    ledger.scan(docs)
+    return secrets.digest(ledger.report(docs).select("doc_id", "spans"))
