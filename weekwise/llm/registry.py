@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwise.llm import quality_rules, secrets
+from weekwise.llm import quality_rules, secrets, substring_dedup
 from weekwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,9 @@ def op8_secret_scans(spark, sf_dir):
     ledger = secrets.Ledger(spark)
     ledger.scan(docs)
     return secrets.digest(ledger.report(docs).select("doc_id", "spans"))
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    """Words left after the removal of repeated windows of 35 words."""
+    return substring_dedup.removed_words(table(spark, sf_dir, "documents"), with_text=False)
