@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwise.llm import quality_rules, secrets, substring_dedup
+from weekwise.llm import language_id, quality_rules, secrets, substring_dedup
 from weekwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,9 @@ def op8_secret_scans(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     """Words left after the removal of repeated windows of 35 words."""
     return substring_dedup.removed_words(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    """Language of every document by error-correcting output codes."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
