@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwise.llm import language_id, quality_rules, secrets, substring_dedup
+from weekwise.llm import language_id, quality_rules, secrets, substring_dedup, toxicity
 from weekwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op2_substring_dedup(spark, sf_dir):
 def op3_language_id(spark, sf_dir):
     """Language of every document by error-correcting output codes."""
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of every document by subword-bag embeddings."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
