@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwise.llm import language_id, quality_rules, secrets, substring_dedup, toxicity
+from weekwise.llm import language_id, minhash, quality_rules, secrets, substring_dedup, toxicity
 from weekwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def op3_language_id(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     """Toxicity of every document by subword-bag embeddings."""
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate groups of all documents."""
+    return minhash.link(table(spark, sf_dir, "documents"))
