@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwise.llm import language_id, minhash, quality_rules, secrets, substring_dedup, toxicity
+from weekwise.llm import language_id, minhash, mixing, packing, quality_rules, secrets, substring_dedup, toxicity
 from weekwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,16 @@ def op5_toxicity(spark, sf_dir):
 def op10_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return minhash.link(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_source_mixing(spark, sf_dir):
+    """Words that a mix of all sources takes from every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query
+def op9_sequence_packing(spark, sf_dir):
+    """Place of every token piece in sequences of 2048."""
+    return packing.pack(table(spark, sf_dir, "documents"))
