@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwise.llm import language_id, minhash, mixing, packing, quality_rules, secrets, substring_dedup, toxicity
+from weekwise.llm import (
+    fingerprints,
+    language_id,
+    minhash,
+    mixing,
+    packing,
+    quality_rules,
+    secrets,
+    substring_dedup,
+    toxicity,
+)
 from weekwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +86,9 @@ def op4_source_mixing(spark, sf_dir):
 def op9_sequence_packing(spark, sf_dir):
     """Place of every token piece in sequences of 2048."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_document_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
