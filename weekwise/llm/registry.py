@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weekwise.llm import (
     fingerprints,
+    html_extraction,
     language_id,
     minhash,
     mixing,
@@ -92,3 +93,9 @@ def op9_sequence_packing(spark, sf_dir):
 def op7_document_fingerprints(spark, sf_dir):
     """Fingerprints of every document and of its edited text."""
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
