@@ -10,15 +10,16 @@
    their square. Of a text's edges the one that most bands support is
    confirmed first, on the full sets, and components are formed.
 4. What stars can miss: buckets that still hold several components are
-   compared inside by their signatures, in blocks of bounded size; each
-   member proposes its best partner per other component, those pairs are
-   confirmed, components merge, and the next best follow until no bucket has
-   an untried pair that may link. Only pairs whose signatures already agree
-   leave a block.
+   compared inside by their signatures, in blocks of bounded size. First each
+   member proposes its best partner per other component; those pairs are
+   confirmed and components merge. Then the buckets that are still mixed
+   propose every pair of different components whose signatures agree. Only
+   such pairs leave a block, and of buckets with the same members one is read.
 
 With 36 bands of 3 bins, two texts of similarity 0.75 share no bucket with
 probability (1 - 0.75^3)^36 < 3e-9; step 4 leaves out pairs whose estimate is
-below `estimate` (0.55, almost five standard deviations under 0.75).
+below `estimate` (0.6, more than three standard deviations under 0.75, and then only if no
+chain of other links joins them).
 
 Defined results
 - null, empty and white-space texts: empty set, n_shingles 0, linked with
@@ -53,7 +54,7 @@ class MinHashParams:
     percent: int = 75
     bands: int = 36
     rows: int = 3
-    estimate: float = 0.55
+    estimate: float = 0.6
     block: int = 1024
 
     @property
@@ -169,39 +170,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}, similarity double")
 
 
-def _proposals(live: DataFrame, p: MinHashParams, rank: int) -> DataFrame:
-    """Distinct pairs of different components that bucket members propose: each one's `rank`-th best per component.
+def _mixed(members: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
+    """Members, with component and signature, of buckets that hold several components; one of equal buckets."""
+    placed = members.select("key", "n", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+    buckets = placed.groupBy("key").agg(
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"),
+    )
+    keys = buckets.filter(F.col("lo") < F.col("hi")).groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    return placed.join(keys.select("key"), "key", "left_semi").join(signs, "doc_id")
+
+
+def _proposals(live: DataFrame, p: MinHashParams, best_only: bool) -> DataFrame:
+    """Distinct pairs of different components that bucket members propose: their best per component, or all that agree.
 
-    `live` has key, n, doc_id, component and signature. A bucket of more than
-    `block` members is compared block against block.
+    A bucket of more than `block` members is compared block against block.
     """
     bins, least = p.bins, p.estimate * p.bins
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        comp = table.column("component").to_numpy()
+        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
         part = table.column("part").to_numpy()
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, bins)
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        across, theirs, names = np.ascontiguousarray(sign[right].T), comp[right], ids[right]
         out_a, out_b = [], []
         for i in left:
-            others = right[comp[right] != comp[i]]
-            if not len(others):
-                continue
-            same = (sign[others] == sign[i]).sum(axis=1)
-            others, same = others[same >= least], same[same >= least]
-            if not len(others):
-                continue
-            order = np.lexsort((ids[others], -same, comp[others]))
-            others = others[order]
-            head = np.r_[True, comp[others][1:] != comp[others][:-1]]
-            nth = np.arange(len(others)) - np.maximum.accumulate(np.where(head, np.arange(len(others)), 0))
-            for j in others[nth == rank]:
-                out_a.append(min(ids[i], ids[j]))
-                out_b.append(max(ids[i], ids[j]))
+            same = np.zeros(len(right), np.uint8)
+            for k, value in enumerate(sign[i]):
+                same += across[k] == value
+            at = np.flatnonzero((theirs != comp[i]) & (same >= least))
+            if best_only and len(at):
+                at = at[np.lexsort((names[at], -same[at].astype(int), theirs[at]))]
+                at = at[np.r_[True, theirs[at][1:] != theirs[at][:-1]]]
+            out_a.append(np.minimum(names[at], ids[i]))
+            out_b.append(np.maximum(names[at], ids[i]))
         kind = table.schema.field("doc_id").type
-        return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
+        return pa.table({"a": pa.array(np.concatenate(out_a), kind), "b": pa.array(np.concatenate(out_b), kind)})
 
     parts = F.ceil(F.col("n") / F.lit(p.block)).cast("int")
     rows = live.withColumns({"parts": parts, "part": F.pmod(F.hash("doc_id"), parts)})
@@ -244,27 +254,14 @@ def link(docs: DataFrame, p: MinHashParams = MinHashParams(), scratch: Scratch |
     links = scratch.keep(confirm(pairs, sets, p).select("a", "b").distinct(), "links-0")
     parts = scratch.keep(components(links, scratch), "parts")
 
-    # Buckets that still hold several components.
-    rank = round_ = 0
-    while True:
-        placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        mixed = mixed.filter(F.col("lo") < F.col("hi")).select("key")
-        live = placed.join(mixed, "key", "left_semi").join(single.dropDuplicates(["doc_id"]), "doc_id")
-        tried = scratch.keep(_proposals(live, p, rank), "proposals")
-        if tried.isEmpty():
-            break
-        more = scratch.keep(confirm(tried, sets, p).select("a", "b"), "more")
-        if more.isEmpty():
-            rank += 1  # no component changed, so the next best partners are the same lists' next entries
-            continue
-        round_, rank = round_ + 1, 0
-        joined = scratch.keep(links.union(more).distinct(), f"links-{round_}")
-        scratch.drop(f"links-{round_ - 1}")
-        links = joined
-        parts = scratch.keep(components(links, scratch), "parts")
-    scratch.drop("proposals", "more", "sets", "members")
+    # Buckets that still hold several components: what stars may have missed.
+    signed = scratch.keep(single.dropDuplicates(["doc_id"]), "signed")
+    for i, best_only in ((1, True), (2, False)):
+        live = _mixed(members, parts, signed)
+        tried = scratch.keep(_proposals(live, p, best_only), f"proposals-{i}")
+        more = confirm(tried, sets, p).select("a", "b")
+        links = scratch.keep(links.union(more).distinct(), f"links-{i}")
+        parts = scratch.keep(components(links, scratch), f"parts-{i}")
 
     classed = signs.drop("signature").join(classes, "digest", "left")
     found = classed.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
