@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from weekwise.llm import (
@@ -99,3 +100,9 @@ def op7_document_fingerprints(spark, sf_dir):
 def op1_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    """Token pieces of the corpus after all stages."""
+    return corpus_pipeline.run(spark, sf_dir)
