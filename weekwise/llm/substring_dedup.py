@@ -11,7 +11,8 @@ windows, and there are about `window - anchor` times fewer places than windows.
 2. A second pass takes only the windows whose anchor is estimated at 2 or
    more. Equal windows of one chunk of text settle each other there and then
    and send one of them on, so a window that fills a third of all texts
-   sends one row per chunk. The rest are grouped exactly by window.
+   sends one row per chunk. The rest are grouped exactly by window; they travel
+   by anchor and largest shingle, many windows of a text in one row.
 3. Places of repeated windows go back to their text, which drops the words.
 
 The estimate never falls below the count, so no repeated window is lost; a
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekwise.llm.frames import only
-from weekwise.llm.words import Texts, sliding_min, texts, window_hashes
+from weekwise.llm.words import Texts, mix, sliding_min, texts, window_hashes
 
 BLOCK = 1 << 16
 _PLACE_BITS = np.uint64(26)
@@ -185,6 +186,9 @@ def repeated_windows(docs: DataFrame, bits: list[bytes], width: int, window: int
                 a, b = cells(key, width)
                 open_ = _bit(table[0], a) & _bit(table[1], b)
                 starts, place, key = starts[open_], place[open_], key[open_]
+                # Windows around a common passage share its anchor; their largest shingle tells most of them apart.
+                largest = ~sliding_min(~shingles, window - anchor + 1)[starts]
+                route = mix(key ^ mix(largest))
                 if not len(starts):
                     continue
                 found = window_hashes(h, window)[starts]
@@ -203,9 +207,9 @@ def repeated_windows(docs: DataFrame, bits: list[bytes], width: int, window: int
                     yield _pack((d[i], d[i] + lo, i, j), ids, keys, None, s, None, None, True)
                 # One of each kind goes on, with word whether it was repeated.
                 one = ~again
-                s, d, p, k, f, m = start[one], doc[one], place[one], key[one], found[one], several[one]
-                i, j = _runs(p)
-                yield _pack((k[i].view(np.int64), d[i] + lo, i, j), ids, keys, None, s, f, m, False)
+                s, d, p, r, f, m = start[one], doc[one], place[one], route[one], found[one], several[one]
+                i, j = _runs(mix(p.astype(np.uint64)) ^ r)
+                yield _pack((r[i].view(np.int64), d[i] + lo, i, j), ids, keys, None, s, f, m, False)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["doc_id", "row_key", "starts"], None
