@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekwise.llm.frames import column
-from weekwise.session import scratch_path
+from weekwise.session import materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -177,6 +177,8 @@ class Ledger:
         """`docs` with the spans of their blobs under the current rule versions, `spans` sorted."""
         current = self.rows().filter(F.col("rule_version").isin([p.version for p in self.packs]))
         found = current.groupBy("blob_id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("found"))
+        # Stored, so that the join below stands alone in its stage and Spark can split a blob that many paths hold.
+        found = materialize(found.filter(F.size("found") > 0), "blob-findings")
         kept = [c for c in docs.columns if c.lower() not in ("blob_id", "spans")]
         rows = docs.select(blob_id(column(docs, text)).alias("blob_id"), F.struct(*[column(docs, c) for c in kept]).alias("row"))
         empty = F.array().cast(f"array<{SPAN}>")
