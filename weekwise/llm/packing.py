@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ from weekwise.llm.frames import only
 from weekwise.session import Scratch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: ASCII signs but the apostrophe, which the tokenizer may join with a letter after it.
+SIGNS = string.punctuation.replace("'", "")
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,7 @@ class WordTokenizer:
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks = [t.content for t in added.values()]
         self.mark, self.mark_id = next((t.content, i) for i, t in added.items())
-        self.limit, self.cache = cached_words, {}
+        self.limit, self.cache, self.stems = cached_words, {}, {}
 
     @classmethod
     def load(cls, path: str | None, cached_words: int) -> "WordTokenizer":
@@ -81,18 +84,35 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4") for e in found]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > self.limit:
-            self.cache.clear()
-        plain = [w for w in words if not any(m in w for m in self.marks)]
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
+        """Add words to the cache. The caller has made room."""
+        cache, joined = self.cache, "\n".join(words).lower()
+        if any(m in joined for m in self.marks):  # special tokens, or what lowering would turn into one
+            odd = [w for w in words if any(m in w.lower() for m in self.marks)]
+            cache.update((w, self._ids([w])[0].tobytes()) for w in odd)
+            words = list(set(words).difference(odd))
+        # A word and the signs after it are tokens of their own, and letters are lowered, so most words
+        # are their stem's ids and their signs' ids. Lowering is left to the tokenizer beyond ASCII, where
+        # it could undo or make a composed letter.
+        split = {}
+        for w in words:
+            stem = w.rstrip(SIGNS)
+            if not stem or not stem[-1].lower()[-1].isalpha():
+                stem = w
+            split[w] = (stem.lower() if stem.isascii() else stem, w[len(stem) :])
+        new = list(dict.fromkeys(x for pair in split.values() for x in pair if x and x not in self.stems))
+        if len(self.stems) + len(new) > self.limit:
+            self.stems.clear()
+            new = list(dict.fromkeys(x for pair in split.values() for x in pair if x))
+        for lo in range(0, len(new), 2000):
+            part = new[lo : lo + 2000]
             # One call for many words, with a special token between them.
             ids = self._ids([self.mark.join(part)])[0]
             cuts = np.flatnonzero(ids == self.mark_id)
-            for w, a, b in zip(part, np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()):
-                self.cache[w] = ids[a:b].tobytes()
-        for w in set(words).difference(plain):
-            self.cache[w] = self._ids([w])[0].tobytes()
+            flat = ids.tobytes()
+            edges = zip(part, np.r_[0, 4 * cuts + 4].tolist(), np.r_[4 * cuts, 4 * len(ids)].tolist())
+            self.stems.update((w, flat[a:b]) for w, a, b in edges)
+        stems = self.stems
+        cache.update((w, stems[x] + stems[y] if y else stems[x]) for w, (x, y) in split.items())
 
     def encode(self, bodies: list[str]) -> list[bytes]:
         split = [WORDS.findall(b) for b in bodies]
