@@ -10,11 +10,10 @@
    their square. Of a text's edges the one that most bands support is
    confirmed first, on the full sets, and components are formed.
 4. What stars can miss: buckets that still hold several components are
-   compared inside by their signatures, in blocks of bounded size. First each
-   member proposes its best partner per other component; those pairs are
-   confirmed and components merge. Then the buckets that are still mixed
-   propose every pair of different components whose signatures agree. Only
-   such pairs leave a block, and of buckets with the same members one is read.
+   compared inside by their signatures, in blocks of bounded size; members of
+   different components that agree form families. A family is compared again,
+   now on the full sets, block against block. A block gives back a forest,
+   at most one link per member, never its pairs.
 
 With 36 bands of 3 bins, two texts of similarity 0.75 share no bucket with
 probability (1 - 0.75^3)^36 < 3e-9; step 4 leaves out pairs whose estimate is
@@ -55,7 +54,7 @@ class MinHashParams:
     bands: int = 36
     rows: int = 3
     estimate: float = 0.6
-    block: int = 1024
+    block: int = 512
 
     @property
     def bins(self) -> int:
@@ -137,6 +136,23 @@ def full_sets(docs: DataFrame, p: MinHashParams) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, shingles binary")
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return 0
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum())
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    # The sizes alone rule out many pairs.
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = _common(x, y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold: a, b, similarity.
 
@@ -150,13 +166,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
             linked = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if not len(small):
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                either = len(x) + len(y) - both
-                share[i], linked[i] = both / either, 100 * both >= p.percent * either
+                both = _common(x, y)
+                share[i], linked[i] = both / max(1, len(x) + len(y) - both), _linked(x, y, p.percent)
             keep = pa.array(linked)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(share[linked])],
@@ -185,43 +196,84 @@ def _mixed(members: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
     return placed.join(keys.select("key"), "key", "left_semi").join(signs, "doc_id")
 
 
-def _proposals(live: DataFrame, p: MinHashParams, best_only: bool) -> DataFrame:
-    """Distinct pairs of different components that bucket members propose: their best per component, or all that agree.
+class _Forest:
+    """Union-find over the rows of one block."""
 
-    A bucket of more than `block` members is compared block against block.
-    """
-    bins, least = p.bins, p.estimate * p.bins
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether i and j were apart."""
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _in_blocks(rows: DataFrame, group: str, size: str, block: int, compare, schema: str) -> DataFrame:
+    """Apply `compare` to every pair of blocks of each group; a group within one block is compared with itself."""
+    parts = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    cut = rows.withColumns({"parts": parts, "part": F.pmod(F.hash("doc_id"), parts)})
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    return cut.drop("parts", "other", size).groupBy(group, "low", "high").applyInArrow(compare, schema)
+
+
+def _alike(table: pa.Table, bins: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Row of the lower block and rows of the higher one that belong elsewhere and agree in `least` bins."""
+    comp, part = table.column("component").to_numpy(), table.column("part").to_numpy()
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, bins)
+    left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    theirs, across = comp[right], sign[right]
+    for k, i in enumerate(left.tolist()):
+        first = k + 1 if low == high else 0
+        apart = np.flatnonzero(theirs[first:] != comp[i]) + first
+        if len(apart):
+            agree = (across[apart] == sign[i]).sum(axis=1)
+            found = right[apart[agree >= least]]
+            if len(found):
+                yield i, found
+
+
+def _families(live: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links (a, b) that join all members of a bucket whose signatures agree across components: a forest per block."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, forest = table.column("doc_id").to_numpy(), _Forest(table.num_rows)
+        pairs = [(i, j) for i, found in _alike(table, p.bins, p.estimate * p.bins) for j in found.tolist() if forest.join(i, j)]
+        kind = table.schema.field("doc_id").type
+        return pa.table({"a": pa.array([ids[i] for i, _ in pairs], kind), "b": pa.array([ids[j] for _, j in pairs], kind)})
+
+    kind = live.schema["doc_id"].dataType.simpleString()
+    return _in_blocks(live, "key", "n", p.block, compare, f"a {kind}, b {kind}")
+
+
+def _confirm_inside(family: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links (a, b), confirmed on the full sets, that join all linked members of a family: a forest per block."""
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        part = table.column("part").to_numpy()
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, bins)
-        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        across, theirs, names = np.ascontiguousarray(sign[right].T), comp[right], ids[right]
-        out_a, out_b = [], []
-        for i in left:
-            same = np.zeros(len(right), np.uint8)
-            for k, value in enumerate(sign[i]):
-                same += across[k] == value
-            at = np.flatnonzero((theirs != comp[i]) & (same >= least))
-            if best_only and len(at):
-                at = at[np.lexsort((names[at], -same[at].astype(int), theirs[at]))]
-                at = at[np.r_[True, theirs[at][1:] != theirs[at][:-1]]]
-            out_a.append(np.minimum(names[at], ids[i]))
-            out_b.append(np.maximum(names[at], ids[i]))
+        ids, forest, links = table.column("doc_id").to_numpy(), _Forest(table.num_rows), []
+        comp = table.column("component").to_numpy()
+        _, first, same = np.unique(comp, return_index=True, return_inverse=True)
+        for i, j in enumerate(first[same.ravel()].tolist()):
+            forest.join(i, j)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+        for i, found in _alike(table, p.bins, p.estimate * p.bins):
+            for j in found.tolist():
+                if forest.root(i) != forest.root(j) and _linked(sets[i], sets[j], p.percent):
+                    forest.join(i, j)
+                    links.append((ids[i], ids[j]))
         kind = table.schema.field("doc_id").type
-        return pa.table({"a": pa.array(np.concatenate(out_a), kind), "b": pa.array(np.concatenate(out_b), kind)})
+        return pa.table({"a": pa.array([a for a, _ in links], kind), "b": pa.array([b for _, b in links], kind)})
 
-    parts = F.ceil(F.col("n") / F.lit(p.block)).cast("int")
-    rows = live.withColumns({"parts": parts, "part": F.pmod(F.hash("doc_id"), parts)})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(
-        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part",
-        "doc_id", "component", "signature",
-    )
-    id_type = live.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("key", "low", "high").applyInArrow(compare, f"a {id_type}, b {id_type}").distinct()
+    kind = family.schema["doc_id"].dataType.simpleString()
+    return _in_blocks(family, "family", "members", p.block, compare, f"a {kind}, b {kind}")
 
 
 def link(docs: DataFrame, p: MinHashParams = MinHashParams(), scratch: Scratch | None = None) -> DataFrame:
@@ -256,12 +308,18 @@ def link(docs: DataFrame, p: MinHashParams = MinHashParams(), scratch: Scratch |
 
     # Buckets that still hold several components: what stars may have missed.
     signed = scratch.keep(single.dropDuplicates(["doc_id"]), "signed")
-    for i, best_only in ((1, True), (2, False)):
-        live = _mixed(members, parts, signed)
-        tried = scratch.keep(_proposals(live, p, best_only), f"proposals-{i}")
-        more = confirm(tried, sets, p).select("a", "b")
-        links = scratch.keep(links.union(more).distinct(), f"links-{i}")
-        parts = scratch.keep(components(links, scratch), f"parts-{i}")
+    close = scratch.keep(_families(_mixed(members, parts, signed), p).distinct(), "close")
+    placed = parts.withColumnRenamed("node", "doc_id")
+    inside = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct().join(placed, "doc_id", "left")
+    inside = scratch.keep(inside.withColumn("component", F.coalesce("component", "doc_id")), "inside")
+    near = close.union(inside.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
+    family = components(near, scratch, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    family = scratch.keep(inside.join(family, "doc_id"), "family")
+    counts = family.groupBy("family").agg(F.count("*").alias("members"))
+    family = family.join(counts, "family").join(signed, "doc_id").join(sets, "doc_id")
+    more = _confirm_inside(family, p)
+    links = scratch.keep(links.union(more).distinct(), "links-1")
+    parts = scratch.keep(components(links, scratch), "parts-1")
 
     classed = signs.drop("signature").join(classes, "digest", "left")
     found = classed.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
