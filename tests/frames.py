@@ -22,7 +22,7 @@ def relays(spark, *rows):
         dept_cat="A",
         relay_change_perc=0.6,
         total_store_hours=10.0,
-        short_desc="Regular Relay",
+        short_desc="Standard",
         relay_year=2024,
         request_reason="REASON_1",
         historical_moves_count=1,

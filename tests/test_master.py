@@ -65,8 +65,8 @@ def test_half_up(spark):
 def test_flags_and_missing_year(spark):
     df = relays(
         spark,
-        {"relay_id": "1", "wk_end_date": W1, "short_desc": "Seasonal Relay", "relay_year": None},
-        {"relay_id": "2", "wk_end_date": W1, "short_desc": "DC Realignment"},
+        {"relay_id": "1", "wk_end_date": W1, "short_desc": "Seasonal", "relay_year": None},
+        {"relay_id": "2", "wk_end_date": W1, "short_desc": "Realignment"},
         {"relay_id": "3", "wk_end_date": W1, "short_desc": None},
     )
     got = rows(master.relay_flags(df, P), "relay_id", "is_seasonal", "is_dc_realign", "cannot_move", "relay_year")

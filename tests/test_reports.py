@@ -303,7 +303,7 @@ def test_document_is_json(spark):
 def test_requested_schedule_moves_pending_only(spark):
     t = tables(
         spark,
-        [{"relay_id": "1", "wk_end_date": W1, "short_desc": "Seasonal Relay"}, {"relay_id": "2", "wk_end_date": W1}],
+        [{"relay_id": "1", "wk_end_date": W1, "short_desc": "Seasonal"}, {"relay_id": "2", "wk_end_date": W1}],
         [{"relay_id": r, "wk_end_date": W1, "store_id": 1} for r in ("1", "2")],
         request_rows=[
             {"relay_id": "1", "requested_move_wk": W2},

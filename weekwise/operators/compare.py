@@ -150,4 +150,4 @@ def store_month_pivot(scored: DataFrame, weeks: DataFrame, n_stores: int = 20) -
     """Top stores by month, cost, 0 where there is none."""
     months = weeks.select(month_of(F.col("wk_end_date")).alias("month")).distinct().orderBy("month")
     names = [r[0] for r in months.collect()]
-    return _pivot(store_month_cost(scored, n_stores).drop("relay_hours"), "store_id", "month", "total_cost", names)
+    return _pivot(store_month_cost(scored, n_stores).drop("associate_hours"), "store_id", "month", "total_cost", names)

@@ -32,14 +32,14 @@ def overactive_groups(placed: DataFrame, groups: DataFrame, requests: DataFrame,
 
 
 def overactive_measures(groups: DataFrame, params: Params) -> DataFrame:
-    """Groups above the count threshold, their relays, and a 0/1 flag on the row counts."""
+    """Departments with a group above the count threshold, those groups' relays, and a 0/1 flag on the row counts."""
     limit = params.group_count_threshold
 
     def over(col: str):
         return F.when(F.col(col) > limit, F.col(col))
 
     return groups.agg(
-        F.count(over("distinct_relays")).alias("overactive_group_count"),
+        F.count_distinct(F.when(F.col("distinct_relays") > limit, F.col("dept_cat"))).alias("overactive_group_count"),
         F.coalesce(F.sum(over("distinct_relays")), F.lit(0)).alias("overactive_relay_count"),
         F.when(F.coalesce(F.sum(over("relay_rows")), F.lit(0)) > limit, 1).otherwise(0).alias("overactive_flag"),
     )
@@ -99,7 +99,7 @@ def top_stores(scored: DataFrame, n: int) -> DataFrame:
 
 
 def store_month_cost(scored: DataFrame, n_stores: int = 20) -> DataFrame:
-    """Cost and hours by month for the top stores (semi join on the short list).
+    """Cost and associate hours by month for the top stores (semi join on the short list).
 
     Rows are added up per store and month before the join, so the list meets
     the small table.
@@ -107,7 +107,7 @@ def store_month_cost(scored: DataFrame, n_stores: int = 20) -> DataFrame:
     monthly = (
         scored.filter(F.col("store_id").isNotNull())
         .groupBy("store_id", month_of(F.col("wk_end_date")).alias("month"))
-        .agg(exact_sum("total_cost").alias("total_cost"), exact_sum("relay_hours").alias("relay_hours"))
+        .agg(exact_sum("total_cost").alias("total_cost"), exact_sum("associate_hours_impact").alias("associate_hours"))
     )
     return monthly.join(top_stores(scored, n_stores).select("store_id"), "store_id", "left_semi")
 
@@ -194,7 +194,7 @@ def cost_analysis(scored: DataFrame, params: Params) -> DataFrame:
                 "savings": half_up(total * params.savings_rate, 2),
             }
         )
-        .withColumn("roi_pct", percent(F.col("savings"), F.col("optimized_cost")))
+        .withColumn("roi_pct", percent(F.col("savings"), total))
     )
 
 

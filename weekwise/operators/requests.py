@@ -44,9 +44,10 @@ def master_status(placed: DataFrame, groups: DataFrame, requests: DataFrame) ->
 
 
 def request_seasonality(requests: DataFrame) -> DataFrame:
+    """Requests by the month in which they were made."""
     return (
-        requests.filter(F.col("original_wk_end_date").isNotNull())
-        .groupBy(F.month("original_wk_end_date").alias("month"))
+        requests.filter(F.col("request_ts").isNotNull())
+        .groupBy(F.month("request_ts").alias("month"))
         .agg(F.count("*").alias("request_count"))
     )
 
@@ -77,8 +78,8 @@ def merchant_scorecard(requests: DataFrame, params: Params) -> DataFrame:
 
 def seasonal_patterns(requests: DataFrame) -> DataFrame:
     return (
-        requests.filter(F.col("request_type").isNotNull() & F.col("original_wk_end_date").isNotNull())
-        .groupBy(F.month("original_wk_end_date").alias("month"), "request_type")
+        requests.filter(F.col("request_type").isNotNull() & F.col("request_ts").isNotNull())
+        .groupBy(F.month("request_ts").alias("month"), "request_type")
         .agg(F.count("*").alias("request_count"))
     )
 

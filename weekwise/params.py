@@ -47,9 +47,9 @@ class Params:
     completeness_target: float = 95.0
     freshness_hours: float = 2.0
 
-    # -- fixed values: labels that drive flags and filters --
-    seasonal_label: str = "Seasonal Relay"
-    realign_label: str = "DC Realignment"
+    # -- labels that drive flags and filters, as the adapters write them --
+    seasonal_label: str = "Seasonal"
+    realign_label: str = "Realignment"
     seasonal_reason: str = "REASON_0"
     pending_label: str = "Pending"
     approved_label: str = "Approved"

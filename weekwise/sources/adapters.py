@@ -67,11 +67,9 @@ def relays(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("p_type").alias("dept_cat"),
             "relay_change_perc",
             "total_store_hours",
-            F.when(kind == 0, "Seasonal Relay")
-            .when(kind == 1, "DC Realignment")
-            .when(kind == 8, "Promotional Relay")
-            .when(kind == 9, "Emergency Relay")
-            .otherwise("Regular Relay")
+            F.when(kind == 0, "Seasonal")
+            .when(kind == 1, "Realignment")
+            .otherwise("Standard")
             .alias("short_desc"),
             F.year("wk_end_date").alias("relay_year"),
             F.concat(F.lit("REASON_"), (F.col("p_size") % 9).cast("string")).alias("request_reason"),
