@@ -14,7 +14,9 @@ from weekwise.functions.ordered import exact_percentile, running_before
 def brute(data):
     groups, out = defaultdict(list), {}
     for g, size, key in data:
-        groups[g].append((-min(1023, int(size)), md5(key.encode()).hexdigest(), key, size))
+        whole, digest = int(size), md5(key.encode()).hexdigest()
+        band = whole if whole <= 1023 else 1013 + whole.bit_length()
+        groups[g].append((-band, digest[:2], -size, digest, key, size))
     for items in groups.values():
         before = 0.0
         for _, _, key, size in sorted(items):

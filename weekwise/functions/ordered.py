@@ -14,12 +14,14 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BAND = 1023
+WHOLE_BANDS = 1023
 
 
 def size_band(size: Column) -> Column:
-    """Whole-unit size class 0..1023; larger sizes share the top class."""
-    return F.least(F.lit(MAX_BAND), F.floor(size)).cast("int")
+    """Size class: whole units up to 1023, beyond that one class per doubling."""
+    whole = F.floor(size).cast("bigint")
+    doubling = F.lit(WHOLE_BANDS - 10) + F.length(F.bin(whole))
+    return F.when(whole <= WHOLE_BANDS, whole).otherwise(doubling).cast("int")
 
 
 def running_before(
@@ -33,11 +35,12 @@ def running_before(
 ) -> DataFrame:
     """Add, per row, the sums over all earlier rows of its group.
 
-    Order inside a group: size class descending, then md5 of `key`, then
-    `key`. `totals` maps the summed column to the name of its running sum.
-    Rows are bucketed by (group, size class, first hex digits of the hash),
-    at most 1024 * 16^digits buckets per group, so the window that runs over
-    the buckets is bounded while a bucket holds 1/16^digits of a size class.
+    Order inside a group: size class descending, then the first hex digits
+    of the md5 of `key`, then size descending, the whole md5 and `key`.
+    `totals` maps the summed column to the name of its running sum. Rows are
+    bucketed by (group, size class, first hex digits), about 1080 * 16^digits
+    buckets per group at most, so the window that runs over the buckets is
+    bounded while a bucket holds 1/16^digits of a size class.
 
     `stop` names a running sum and a column, constant within a group, that
     bounds it: buckets that start at or beyond the bound hold no row below
@@ -57,7 +60,7 @@ def running_before(
     if stop:
         starts = starts.filter(F.col(f"__start_{stop[0]}") < F.col("__bound"))
     starts = starts.select(*bucket, *[f"__start_{out}" for out in totals.values()])
-    inside = Window.partitionBy(*bucket).orderBy("__md5", key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*bucket).orderBy(F.desc(size), "__md5", key).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.join(starts, bucket)
         .withColumns(

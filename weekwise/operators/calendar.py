@@ -21,6 +21,11 @@ def as_of_date(bounds: DataFrame, params: Params) -> Column:
     return bounds.select("last_week").scalar()
 
 
+def first_open_week(bounds: DataFrame, params: Params) -> Column:
+    """First week within the lookback of `as_of`: older weeks are closed to changes."""
+    return week_end(F.date_sub(as_of_date(bounds, params), params.lookback_days))
+
+
 def week_calendar(bounds: DataFrame, params: Params, lookback: bool = False) -> DataFrame:
     """Sundays from the first work week to `as_of` plus the horizon.
 

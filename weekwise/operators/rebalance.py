@@ -23,8 +23,8 @@ from weekwise.operators.schedule import fallback_schedule
 from weekwise.params import Params
 from weekwise.session import materialize
 
-HOURS = "decimal(18,2)"
-SUM = "decimal(28,2)"
+HOURS = "decimal(28,6)"
+SUM = "decimal(38,6)"
 CELLS = 1024
 
 
@@ -181,9 +181,13 @@ def rebalance(
     passes: int = 3,
     respect_groups: bool = True,
     respect_hard: bool = True,
+    open_from: Column | None = None,
 ) -> DataFrame:
     """Suggested schedule: the instances with `suggested_wk_end_date`.
 
+    With `open_from`, weeks before that date are closed: they lose no work and
+    get none, and their rows stay as they are.
+
     Each pass first relieves the neighbourhood-market cap, using weeks with
     room under both caps, then the total cap with the remaining units. Passes
     alternate between the two layouts of free hours and end early when
@@ -193,6 +197,8 @@ def rebalance(
     tables: both inputs are read often.
     """
     rows = units_of(fallback_schedule(instances), params, respect_groups, respect_hard)
+    if open_from is not None:
+        thresholds = thresholds.filter(F.col("wk_end_date") >= open_from)
     units = materialize(unit_table(rows), "units")
     load = materialize(unit_load(units), "unit-load")
     moves, idle = None, 0
@@ -235,7 +241,7 @@ def move_candidates(instances: DataFrame, thresholds: DataFrame, params: Params)
         .agg(F.sort_array(F.collect_list(F.struct("wk_end_date", "total_slack"))).alias("weeks"))
         .scalar()
     )
-    need = F.col("relay_hours").cast("decimal(28,2)")
+    need = F.col("relay_hours").cast(HOURS)
     return (
         rows.filter(~F.col("pinned"))
         .join(F.broadcast(sources), "suggested_wk_end_date", "left_semi")

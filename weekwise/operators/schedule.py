@@ -217,16 +217,25 @@ def moved_relays(schedule: DataFrame) -> DataFrame:
 
 
 def move_request_match(schedule: DataFrame, requests: DataFrame, params: Params) -> DataFrame:
-    """Moved rows with the pending requests of the same relay and store, and whether the move meets one."""
-    asked = requests.filter(F.col("status") == params.pending_label).select(
+    """Moved rows with the requests of their relay, and whether the move meets a pending one.
+
+    A request holds for all stores of its relay, whatever its status. The
+    inner part can be split on either side where a relay is hot; rows
+    without a request are added from an anti join.
+    """
+    asked = requests.filter(F.col("relay_id").isNotNull()).select(
         "relay_id",
-        "store_id",
         F.col("request_id").alias("req_id"),
         F.col("request_type").alias("req_type"),
+        F.col("status").alias("req_status"),
         F.col("requested_move_wk").alias("req_week"),
     )
-    return moved_relays(schedule).join(asked, ["relay_id", "store_id"], "left").withColumn(
-        "matches_request", F.coalesce(F.col("suggested_wk_end_date") == F.col("req_week"), F.lit(False))
+    rows = moved_relays(schedule)
+    with_request = rows.join(asked, "relay_id")
+    without = rows.join(asked.select("relay_id").distinct(), "relay_id", "left_anti")
+    met = (F.col("req_status") == params.pending_label) & (F.col("suggested_wk_end_date") == F.col("req_week"))
+    return with_request.unionByName(without, allowMissingColumns=True).withColumn(
+        "matches_request", F.coalesce(met, F.lit(False))
     )
 
 
@@ -234,7 +243,7 @@ def request_compliance(schedule: DataFrame, requests: DataFrame, params: Params)
     """Share of moved rows' pending requests that the suggestion meets, by request type."""
     return (
         move_request_match(schedule, requests, params)
-        .filter(F.col("req_id").isNotNull())
+        .filter(F.col("req_status") == params.pending_label)
         .groupBy(F.col("req_type").alias("request_type"))
         .agg(
             F.count("*").alias("requests"),

@@ -211,8 +211,10 @@ FROM thresholds t LEFT JOIN {load} l USING (wk_end_date)"""
 
 
 _cte("overage", "thresholds load", _over("load"))
+_cte("open_weeks", "thresholds bounds", f"""
+SELECT t.* FROM thresholds t, bounds WHERE t.wk_end_date >= {_we('(last_week - 365)')}""")
 
-# -- rebalance, one pass --------------------------------------------------
+# -- rebalance, three passes ----------------------------------------------
 
 _cte("unit_rows", "instances", """
 SELECT *, CASE WHEN adjustment_group_id <> 'NO_GROUP' THEN adjustment_group_id || '_' || CAST(original_wk_end_date AS VARCHAR)
@@ -226,17 +228,19 @@ SELECT unit_key, min(original_wk_end_date) AS week, sum(relay_hours) AS hours,
 FROM unit_rows GROUP BY unit_key""")
 
 
-def _phase(before: str, after: str, nm: bool) -> None:
+def _phase(before: str, after: str, nm: bool, largest_first: bool) -> None:
     """Common table expressions that take one state of the units to the next."""
-    tag = "nm" if nm else "all"
+    tag = f"to_{after}"
+    layout = "slack DESC, wk_end_date" if largest_first else "wk_end_date"
+    band = "CASE WHEN hours < 1024 THEN CAST(floor(hours) AS BIGINT) ELSE 1013 + length(bin(CAST(floor(hours) AS BIGINT))) END"
     measure, over = ("nm_hours", "nm_over") if nm else ("hours", "total_over")
     slack = "least(total_slack, nm_slack)" if nm else "total_slack"
     others = "" if nm else "AND nm_hours = 0"
-    order = "PARTITION BY week ORDER BY least(1023, floor(hours)) DESC, md5(unit_key), unit_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    _cte(f"state_{tag}", f"{before} thresholds", f"""
+    order = f"PARTITION BY week ORDER BY {band} DESC, substr(md5(unit_key), 1, 2), hours DESC, md5(unit_key), unit_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    _cte(f"state_{tag}", f"{before} open_weeks", f"""
 SELECT t.wk_end_date, greatest(0, coalesce(h, 0) - total_cap) AS total_over, greatest(0, coalesce(n, 0) - nm_cap) AS nm_over,
        greatest(0, total_cap - coalesce(h, 0)) AS total_slack, greatest(0, nm_cap - coalesce(n, 0)) AS nm_slack
-FROM thresholds t LEFT JOIN (SELECT week, sum(hours) AS h, sum(nm_hours) AS n FROM {before} GROUP BY 1) l ON l.week = t.wk_end_date""")
+FROM open_weeks t LEFT JOIN (SELECT week, sum(hours) AS h, sum(nm_hours) AS n FROM {before} GROUP BY 1) l ON l.week = t.wk_end_date""")
     _cte(f"ranked_{tag}", f"{before} state_{tag}", f"""
 SELECT u.*, s.{over} AS over_hours, coalesce(sum(hours) OVER w, 0) AS hours_before, coalesce(sum({measure}) OVER w, 0) AS measure_before
 FROM {before} u JOIN state_{tag} s ON s.wk_end_date = u.week
@@ -249,7 +253,7 @@ SELECT * FROM ranked_{tag} WHERE over_hours - measure_before > 0
 SELECT week, coalesce(sum(span) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
 FROM (SELECT week, max(hours_before + hours) AS span FROM leaving_{tag} GROUP BY 1)""")
     _cte(f"room_{tag}", f"state_{tag}", f"""
-SELECT wk_end_date AS new_week, sum(slack) OVER (ORDER BY wk_end_date) - slack AS s0, sum(slack) OVER (ORDER BY wk_end_date) AS s1
+SELECT wk_end_date AS new_week, sum(slack) OVER (ORDER BY {layout}) - slack AS s0, sum(slack) OVER (ORDER BY {layout}) AS s1
 FROM (SELECT wk_end_date, {slack} AS slack FROM state_{tag}) WHERE slack > 0""")
     _cte(f"moves_{tag}", f"leaving_{tag} lines_{tag} room_{tag}", f"""
 SELECT l.unit_key, r.new_week FROM leaving_{tag} l JOIN lines_{tag} o USING (week)
@@ -259,11 +263,12 @@ SELECT u.unit_key, coalesce(m.new_week, u.week) AS week, u.hours, u.nm_hours, u.
 FROM {before} u LEFT JOIN moves_{tag} m USING (unit_key)""")
 
 
-_phase("units0", "units1", nm=True)
-_phase("units1", "units2", nm=False)
+for _i in range(3):
+    _phase(f"units{2 * _i}", f"units{2 * _i + 1}", nm=True, largest_first=_i % 2 == 1)
+    _phase(f"units{2 * _i + 1}", f"units{2 * _i + 2}", nm=False, largest_first=_i % 2 == 1)
 
-_cte("suggested", "unit_rows units2", """
-SELECT r.*, u.week AS suggested_wk_end_date FROM unit_rows r JOIN units2 u USING (unit_key)""")
+_cte("suggested", "unit_rows units6", """
+SELECT r.*, u.week AS suggested_wk_end_date FROM unit_rows r JOIN units6 u USING (unit_key)""")
 _cte("moved", "suggested", "SELECT * FROM suggested WHERE suggested_wk_end_date <> original_wk_end_date")
 _cte("load_after", "suggested", _load("suggested", "suggested_wk_end_date"))
 _cte("overage_after", "thresholds load_after", _over("load_after"))
@@ -279,13 +284,14 @@ SELECT *, round(weekly_savings * 52, 2) AS annual_savings FROM (
   SELECT b.objective AS baseline_cost, a.objective AS optimized_cost, round(b.objective - a.objective, 2) AS savings,
          round(round(b.objective - a.objective, 2) / (SELECT count(*) FROM cal), 2) AS weekly_savings
   FROM objectives b, objectives a WHERE b.schedule = 'Current' AND a.schedule = 'Suggested')""")
-_cte("pending_asks", "requests", """
-SELECT relay_id, store_id, request_id AS req_id, request_type AS req_type, requested_move_wk AS req_week
-FROM requests WHERE status = 'Pending'""")
-_cte("matched", "moved pending_asks", """
+_cte("asks", "requests", """
+SELECT relay_id, request_id AS req_id, request_type AS req_type, status AS req_status, requested_move_wk AS req_week
+FROM requests""")
+_cte("matched", "moved asks", """
 SELECT m.relay_id, m.store_id, m.store_type, m.relay_hours, m.original_wk_end_date, m.suggested_wk_end_date,
-       a.req_id, a.req_type, a.req_week, coalesce(m.suggested_wk_end_date = a.req_week, false) AS matches_request
-FROM moved m LEFT JOIN pending_asks a USING (relay_id, store_id)""")
+       a.req_id, a.req_type, a.req_status, a.req_week,
+       coalesce(a.req_status = 'Pending' AND m.suggested_wk_end_date = a.req_week, false) AS matches_request
+FROM moved m LEFT JOIN asks a USING (relay_id)""")
 _cte("member", "groups", "SELECT DISTINCT adjustment_group_id, relay_id FROM groups")
 
 

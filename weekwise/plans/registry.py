@@ -20,7 +20,6 @@ from weekwise.sources import adapters, io
 from weekwise.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-PASSES = 1
 SCENARIOS = {"tight": 0.9, "current": 1.0, "loose": 1.1}
 
 
@@ -77,7 +76,8 @@ class Context:
         """Stored thresholds and the suggested schedule."""
         rows = self.instances()
         limits = self.limits(rows)
-        return limits, rebalance.rebalance(rows, limits, self.params, PASSES)
+        open_from = calendar.first_open_week(self.tables.week_bounds, self.params)
+        return limits, rebalance.rebalance(rows, limits, self.params, open_from=open_from)
 
     def benefit(self) -> DataFrame:
         limits, suggested = self.plan()
