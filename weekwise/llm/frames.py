@@ -27,11 +27,14 @@ def with_results(
 
     Extra columns pass through inside one struct, so their names cannot
     clash with those of the computation; a column of the same name as a
-    result is replaced by it.
+    result is replaced by it. The results leave through a generator of one
+    row: a filter on them stays above it, and is not pushed into the
+    computation, where its expressions would be evaluated many times over.
     """
     kept = [c for c in df.columns if c.lower() not in {r.lower() for r in results}]
     rows = df.select(column(df, text).alias("__text"), F.struct(*[column(df, c) for c in kept]).alias("__row"))
-    return compute(rows).select("__row.*", *[expr.alias(name) for name, expr in results.items()])
+    done = compute(rows).select("__row", F.inline(F.array(F.struct(*[e.alias(name) for name, e in results.items()]))))
+    return done.select("__row.*", *results)
 
 
 def only(df: DataFrame, **names: str) -> DataFrame:
