@@ -43,7 +43,8 @@ DUCK = {"BIGINT": "int", "INTEGER": "int", "DOUBLE": "float", "VARCHAR": "text",
 
 def difference(df, con, sql: str) -> str | None:
     """None if both give the same columns, types of value and rows, else what differs."""
-    result = con.execute(sql)
+    con.execute(f"CREATE OR REPLACE VIEW compared AS {sql}")  # the statement has to work as a view
+    result = con.execute("SELECT * FROM compared")
     names = [d[0] for d in result.description]
     kinds = {d[0]: DUCK.get(str(d[1]), str(d[1])) for d in result.description}
     theirs = canonical(names, result.fetchall())

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from weekwise.functions.ordered import exact_percentile, running_before
 
 
-def brute(data):
+def brute(data, digits):
     groups, out = defaultdict(list), {}
     for g, size, key in data:
         whole, digest = int(size), md5(key.encode()).hexdigest()
         band = whole if whole <= 1023 else 1013 + whole.bit_length()
-        groups[g].append((-band, digest[:2], -size, digest, key, size))
+        groups[g].append((-band, digest[:digits], -size, digest, key, size))
     for items in groups.values():
         before = 0.0
-        for _, _, key, size in sorted(items):
+        for *_, key, size in sorted(items):
             out[key] = before
             before += size
     return out
@@ -31,14 +31,14 @@ def test_running_sum_equals_brute_force_on_a_hot_group(spark, digits):
     data = [("hot" if i % 3 else f"g{i % 5}", float(rng.choice([1, 2, 2, 2, 50, 3000])), f"k{i}") for i in range(900)]
     df = spark.createDataFrame(data, "g string, size double, key string")
     got = {r.key: r.before for r in running_before(df, "g", "size", "key", {"size": "before"}, digits).collect()}
-    assert got == brute(data)
+    assert got == brute(data, digits)
 
 
 def test_stop_keeps_every_row_below_the_bound(spark):
     data = [("hot", float(i % 7 + 1), f"k{i}") for i in range(600)]
     df = spark.createDataFrame(data, "g string, size double, key string").withColumn("bound", F.lit(400.0))
     got = running_before(df, "g", "size", "key", {"size": "before"}, 1, stop=("before", "bound"))
-    expect = {k: v for k, v in brute(data).items() if v < 400}
+    expect = {k: v for k, v in brute(data, digits).items() if v < 400}
     assert {r.key: r.before for r in got.filter("before < bound").collect()} == expect
     assert got.count() < len(data)
 

@@ -56,6 +56,31 @@ def test_overactive_groups_count_distinct_relays_and_chain_rows(spark):
     assert kpis.overactive_measures(groups, P).first()[:] == (1, 3, 1)
 
 
+def test_overactive_measures_count_departments(spark):
+    groups = spark.createDataFrame(
+        [("A", 2023, 3, 3), ("A", 2024, 4, 9), ("B", 2024, 2, 2)],
+        "dept_cat string, relay_year int, distinct_relays long, relay_rows long",
+    )
+    assert kpis.overactive_measures(groups, P).first()[:] == (1, 7, 1)
+
+
+def test_request_months_follow_the_request_time(spark):
+    asked = spark.createDataFrame(
+        [(dt.datetime(2024, 1, 31, 12), dt.date(2024, 2, 4), "Business")],
+        "request_ts timestamp_ntz, original_wk_end_date date, request_type string",
+    )
+    assert rows(requests.request_seasonality(asked)) == [(1, 1)]
+    assert rows(requests.seasonal_patterns(asked)) == [(1, "Business", 1)]
+
+
+def test_store_months_add_associate_hours(spark):
+    df = spark.createDataFrame(
+        [(1, dt.date(2024, 1, 7), 10.0, 8.0, 3.0, 1.0), (1, dt.date(2024, 1, 14), 5.0, 8.0, 4.0, 1.0)],
+        "store_id long, wk_end_date date, total_cost double, relay_hours double, associate_hours_impact double, risk_score double",
+    )
+    assert rows(kpis.store_month_cost(df), "store_id", "month", "total_cost", "associate_hours") == [(1, "2024-01", 15.0, 7.0)]
+
+
 def test_top_risk_breaks_ties_by_key(spark):
     df = scored(spark, *[(str(i), 1, W1, "A", 1.0, 5.0) for i in range(12)])
     assert [r.relay_id for r in kpis.top_risk(df, 3).collect()] == ["0", "1", "10"]
@@ -169,13 +194,18 @@ def test_move_that_meets_a_pending_request(spark):
     asked = frame(
         spark,
         "requests",
-        {"request_id": "a", "relay_id": "1", "store_id": 1, "status": "Pending", "request_type": "Business", "requested_move_wk": W2},
+        {"request_id": "a", "relay_id": "1", "store_id": 2, "status": "Pending", "request_type": "Business", "requested_move_wk": W2},
         {"request_id": "b", "relay_id": "1", "store_id": 1, "status": "Approved", "request_type": "Business", "requested_move_wk": W2},
         {"request_id": "c", "relay_id": "2", "store_id": 1, "status": "Pending", "request_type": "Business", "requested_move_wk": W3},
     )
     df = assigned(spark, ("1", 1, W1, W2), ("2", 1, W1, W2), ("3", 1, W1, W2))
     out = schedule.move_request_match(df, asked, P)
-    assert rows(out, "relay_id", "req_id", "matches_request") == [("1", "a", True), ("2", "c", False), ("3", None, False)]
+    assert rows(out, "relay_id", "req_id", "matches_request") == [
+        ("1", "a", True),  # the request names another store of the relay
+        ("1", "b", False),
+        ("2", "c", False),
+        ("3", None, False),
+    ]
     assert rows(schedule.request_compliance(df, asked, P)) == [("Business", 2, 1, 50.0)]
 
 
