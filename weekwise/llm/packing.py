@@ -29,7 +29,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +51,7 @@ class PackParams:
     open_windows: int = 64
     leaf: int = 4096
     fan_in: int = 64
-    cached_words: int = 600_000  # a task holds twice as many at most, and those of 256 texts
+    cached_words: int = 500_000
 
 
 class WordTokenizer:
@@ -67,7 +66,7 @@ class WordTokenizer:
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks = [t.content for t in added.values()]
         self.mark, self.mark_id = next((t.content, i) for i, t in added.items())
-        self.limit, self.cache, self.old = cached_words, {}, {}
+        self.limit, self.cache, self.stems = cached_words, {}, {}
 
     @classmethod
     def load(cls, path: str | None, cached_words: int) -> "WordTokenizer":
@@ -84,13 +83,13 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
-    def _learn(self, words: set[str]) -> None:
-        """Add words to the cache."""
-        cache, old, joined = self.cache, self.old, "\n".join(words).lower()
+    def _learn(self, words: list[str]) -> None:
+        """Add words to the cache. The caller has made room."""
+        cache, joined = self.cache, "\n".join(words).lower()
         if any(m in joined for m in self.marks):  # special tokens, or what lowering would turn into one
-            odd = {w for w in words if any(m in w.lower() for m in self.marks)}
+            odd = [w for w in words if any(m in w.lower() for m in self.marks)]
             cache.update((w, self._ids([w])[0].tobytes()) for w in odd)
-            words = words - odd
+            words = list(set(words).difference(odd))
         # A word and the signs after it are tokens of their own, and letters are lowered, so most words
         # are their stem's ids and their signs' ids. Lowering is left to the tokenizer beyond ASCII, where
         # it could undo or make a composed letter.
@@ -100,32 +99,39 @@ class WordTokenizer:
             if not stem or not stem[-1].lower()[-1].isalpha():
                 stem = w
             split[w] = (stem.lower() if stem.isascii() else stem, w[len(stem) :])
-        new = {x for pair in split.values() for x in pair}.difference(cache)
-        new.discard("")
-        known = new.intersection(old)
-        cache.update((x, old[x]) for x in known)
-        new = list(new - known)
+        new = list(dict.fromkeys(x for pair in split.values() for x in pair if x and x not in self.stems))
+        if len(self.stems) + len(new) > self.limit:
+            self.stems.clear()
+            new = list(dict.fromkeys(x for pair in split.values() for x in pair if x))
         for lo in range(0, len(new), 2000):
             part = new[lo : lo + 2000]
             # One call for many words, with a special token between them.
             ids = self._ids([self.mark.join(part)])[0]
-            cuts = 4 * np.flatnonzero(ids == self.mark_id)
+            cuts = np.flatnonzero(ids == self.mark_id)
             flat = ids.tobytes()
-            edges = zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(flat)])
-            cache.update((w, flat[a:b]) for w, a, b in edges)
-        cache.update((w, cache[x] + cache[y] if y else cache[x]) for w, (x, y) in split.items())
+            edges = zip(part, np.r_[0, 4 * cuts + 4].tolist(), np.r_[4 * cuts, 4 * len(ids)].tolist())
+            self.stems.update((w, flat[a:b]) for w, a, b in edges)
+        stems = self.stems
+        cache.update((w, stems[x] + stems[y] if y else stems[x]) for w, (x, y) in split.items())
 
     def encode(self, bodies: list[str]) -> list[bytes]:
         split = [WORDS.findall(b) for b in bodies]
-        if len(self.cache) > self.limit:  # the older half goes when the newer half is full
-            self.cache, self.old = {}, self.cache
-        new = set(chain.from_iterable(split)).difference(self.cache)
-        known = new.intersection(self.old)
-        self.cache.update((w, self.old[w]) for w in known)
-        if len(new) > len(known):
-            self._learn(new - known)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out, lo = [], 0
+        while lo < len(split):  # a few texts at a time, so that what they need fits the cache together
+            hi, n = lo, 0
+            while hi < len(split) and (hi == lo or n + len(split[hi]) <= self.limit // 2):
+                n += len(split[hi])
+                hi += 1
+            new = list(dict.fromkeys(w for words in split[lo:hi] for w in words if w not in self.cache))
+            if new and len(self.cache) + len(new) > self.limit:
+                self.cache.clear()
+                new = list(dict.fromkeys(w for words in split[lo:hi] for w in words))
+            if new:
+                self._learn(new)
+            get = self.cache.__getitem__
+            out += [b"".join(map(get, words)) for words in split[lo:hi]]
+            lo = hi
+        return out
 
 
 def pieces(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
