@@ -68,7 +68,7 @@ def main() -> int:
     from weekwise.session import build
 
     sf_dir, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
-    spark = build(master="local[8]", shuffle_partitions=8)
+    spark = build(master=os.environ.get("COMPARE_MASTER", "local[8]"), shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = database(sf_dir), 0
     for name in names:

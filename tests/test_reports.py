@@ -241,7 +241,7 @@ def test_volume_uses_the_first_dated_column(spark):
 
 def test_histogram_closes_the_top_edge_and_keeps_constants(spark):
     df = spark.createDataFrame([(float(i), 7, "x") for i in range(21)], "a double, b int, c string")
-    out = quality.dq_histogram(df, 4, 20)
+    out = quality.dq_histogram(df)
     assert rows(out.filter("column_name = 'b'")) == [("b", 0, 21)]
     assert dict(rows(out.filter("column_name = 'a'"), "bin", "row_count"))[19] == 2
 

@@ -52,17 +52,28 @@ def dq_volume(frames: dict[str, DataFrame]) -> DataFrame:
     return _union(parts)
 
 
-def numeric_columns(df: DataFrame, n: int) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)][:n]
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def dq_histogram(df: DataFrame, n_columns: int = 4, bins: int = 20) -> DataFrame:
-    """Equal-width histogram of the first numeric columns.
+def dq_histograms(tables: dict[str, DataFrame], bins: int = 20) -> DataFrame:
+    """Histograms of every numeric column of every table."""
+    return _union(
+        [
+            dq_histogram(df, bins=bins).select(F.lit(name).alias("table_name"), "column_name", "bin", "row_count")
+            for name, df in tables.items()
+            if numeric_columns(df)
+        ]
+    )
+
+
+def dq_histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 20) -> DataFrame:
+    """Equal-width histogram of the given columns, by default all numeric ones.
 
     The edges of all columns come from one aggregation, joined back as one
     row per column; the values are binned in one pass over the long form.
     """
-    names = numeric_columns(df, n_columns)
+    names = columns or numeric_columns(df)
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in names])
     long = wide.unpivot([], names, "column_name", "value").filter(F.col("value").isNotNull())
     edges = wide.agg(
@@ -108,14 +119,15 @@ def dq_freshness(stamped: dict[str, tuple[DataFrame, str]], bounds: DataFrame, p
 def orphan_rate(child: DataFrame, parent: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows whose key has no parent, over all rows with a key.
 
-    The child is counted per key before the anti join, so a hot key is one row.
+    The child is counted per key, once, before the join, so a hot key is one row.
     """
     per_key = child.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"))
-    missing = per_key.join(parent.select(*keys), keys, "left_anti").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("orphans")
+    known = parent.select(*keys, F.lit(1).alias("known")).distinct()
+    counts = per_key.join(known, keys, "left").agg(
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("orphans"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
     )
-    total = child.dropna(subset=keys).agg(F.count("*")).scalar()
-    return missing.select(F.lit(name).alias("foreign_key"), "orphans", total.alias("total_rows")).withColumn(
+    return counts.select(F.lit(name).alias("foreign_key"), "orphans", "total_rows").withColumn(
         "orphan_pct", percent(F.col("orphans"), F.col("total_rows"), 4)
     )
 

@@ -502,10 +502,16 @@ def _bin(value: str, lo: str, hi: str) -> str:
     return f"CASE WHEN {hi} = {lo} THEN 0 ELSE least(19, CAST(floor(({value} - {lo}) * CAST(20 AS DOUBLE) / ({hi} - {lo})) AS INTEGER)) END"
 
 
-_q("dq_histogram", "relays", " UNION ALL ".join(
-    f"SELECT '{col}' AS column_name, {_bin(f'CAST({col} AS DOUBLE)', 'lo', 'hi')} AS bin, count(*) AS row_count "
-    f"FROM relays, (SELECT CAST(min({col}) AS DOUBLE) AS lo, CAST(max({col}) AS DOUBLE) AS hi FROM relays) GROUP BY 2"
-    for col in ("relay_change_perc", "total_store_hours", "relay_year", "historical_moves_count")))
+NUMERIC = {
+    "relays": "relay_change_perc total_store_hours relay_year historical_moves_count associate_hours_impact material_cost market_factor",
+    "stores": "store_id",
+    "bridge": "store_id",
+    "requests": "store_id expected_sales_impact cost_estimate",
+}
+_q("dq_histogram", "relays stores bridge requests", " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{col}' AS column_name, {_bin(f'CAST({col} AS DOUBLE)', 'lo', 'hi')} AS bin, count(*) AS row_count "
+    f"FROM {table}, (SELECT CAST(min({col}) AS DOUBLE) AS lo, CAST(max({col}) AS DOUBLE) AS hi FROM {table}) WHERE {col} IS NOT NULL GROUP BY 3"
+    for table, columns in NUMERIC.items() for col in columns.split()))
 _q("risk_histogram", "scored", f"""
 SELECT risk_category, {_bin('risk_score', 'lo', 'hi')} AS bin, count(*) AS row_count
 FROM scored, (SELECT min(risk_score) AS lo, max(risk_score) AS hi FROM scored) GROUP BY 1, 2""")

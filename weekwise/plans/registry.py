@@ -389,7 +389,8 @@ def dq_volume(c):
 
 @query
 def dq_histogram(c):
-    return quality.dq_histogram(c.tables.relays)
+    t = c.tables
+    return quality.dq_histograms({"relays": t.relays, "stores": t.stores, "bridge": t.bridge, "requests": t.requests})
 
 
 @query

@@ -58,8 +58,8 @@ def load_table(spark: SparkSession, path: str, fallback: Callable[[], DataFrame]
         df = spark.read.parquet(path)
         if fallback is None or not df.isEmpty():
             return df
-    except AnalysisException:
-        if fallback is None:
+    except AnalysisException as e:
+        if fallback is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
     return fallback()
 

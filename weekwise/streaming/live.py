@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekwise.session import scratch_path
+from weekwise.sources.io import load_table
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
@@ -58,7 +60,10 @@ def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return newest_rows(spark.read.parquet(out), keys)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
+    # Without a batch there is no folder yet.
+    changes = load_table(spark, out, lambda: spark.createDataFrame([], schema))
+    return newest_rows(changes, keys)
 
 
 def newest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
