@@ -41,7 +41,7 @@ SIZES = (3, 4, 5)
 
 @dataclass(frozen=True)
 class ModelParams:
-    per_label: int = 960
+    per_label: int = 640
     bucket_bits: int = 17
     dim: int = 8
     span: int = 3
@@ -113,34 +113,43 @@ class _Sample:
     first: np.ndarray  # text i has places first[i] to first[i + 1]
 
 
+def _pick(values: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs values[begin[i]:begin[i] + size[i]] of the chosen i, end to end."""
+    own = size[which]
+    cuts = np.r_[0, np.cumsum(own)]
+    return values[np.arange(cuts[-1]) + np.repeat(begin[which] - cuts[:-1], own)]
+
+
 def _sample(bodies: list[str], bits: int) -> _Sample:
-    keys, grams, sizes, firsts, at = [], [], [], [np.zeros(1, np.int64)], 0
-    for _, t in texts(pa.array(bodies, pa.string())):
+    """Read the sample a small chunk at a time, keeping n-grams of distinct words only."""
+    keys, known, grams, sizes, firsts, at = [], [], [], [], [np.zeros(1, np.int64)], 0
+    for _, t in texts(pa.array(bodies, pa.string()), limit=200_000):
         letters = Letters(t, lookalikes=True)
         # Words as the n-grams see them: hash of the folded bytes between separators.
-        folded = Texts(letters.codes, letters.offsets)
-        keys.append(folded.hashes())
+        key = Texts(letters.codes, letters.offsets).hashes()
         starts = letters.starts
         owner = np.cumsum(np.bincount(np.maximum(starts - 1, 0), minlength=len(letters.codes))) - 1
         parts, who = [], []
         for n in SIZES:
             bucket = letters.buckets(n, bits)
             real = np.flatnonzero(bucket)
-            parts.append(bucket[real])
+            parts.append(bucket[real].astype(np.int32))
             who.append(owner[real])
         who, parts = np.concatenate(who), np.concatenate(parts)
-        order = np.argsort(who, kind="stable")
-        grams.append(parts[order])
-        sizes.append(np.bincount(who, minlength=len(starts)))
+        parts = parts[np.argsort(who, kind="stable")]
+        size = np.bincount(who, minlength=len(starts))
+        distinct, where = np.unique(key, return_index=True)
+        keys.append(key)
+        known.append(distinct)
+        sizes.append(size[where])
+        grams.append(_pick(parts, np.r_[0, np.cumsum(size)], size, where))
         firsts.append(letters.first[1:] + at)
         at += len(starts)
-    key, size, gram = np.concatenate(keys), np.concatenate(sizes), np.concatenate(grams)
-    _, where, word = np.unique(key, return_index=True, return_inverse=True)
-    begin = np.r_[0, np.cumsum(size)]
-    own = size[where]
-    cuts = np.r_[0, np.cumsum(own)]
-    places = np.arange(cuts[-1]) + np.repeat(begin[where] - cuts[:-1], own)
-    return _Sample(gram[places], cuts, word.ravel(), np.concatenate(firsts))
+    key, size, gram = np.concatenate(known), np.concatenate(sizes), np.concatenate(grams)
+    distinct, where = np.unique(key, return_index=True)
+    word = np.searchsorted(distinct, np.concatenate(keys))
+    cuts = np.r_[0, np.cumsum(size[where])]
+    return _Sample(_pick(gram, np.r_[0, np.cumsum(size)], size, where), cuts, word, np.concatenate(firsts))
 
 
 class _Adam:
