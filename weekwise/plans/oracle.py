@@ -659,7 +659,7 @@ _q("moved_relays", "moved", f"SELECT relay_id, store_id, store_type, relay_hours
 _q("request_compliance", "matched", f"""
 SELECT request_type, requests, met, {_pct('met', 'requests')} AS compliance_pct
 FROM (SELECT req_type AS request_type, count(*) AS requests, count(*) FILTER (WHERE matches_request) AS met
-      FROM matched WHERE req_id IS NOT NULL GROUP BY 1)""")
+      FROM matched WHERE req_status = 'Pending' GROUP BY 1)""")
 _q("compliance_summary", "suggested overage_after moved sync_after", """
 SELECT 'weekly_hours' AS constraint_class, count(*) FILTER (WHERE total_over > 0) AS violations FROM overage_after
 UNION ALL SELECT 'nm_weekly_hours', count(*) FILTER (WHERE nm_over > 0) FROM overage_after
