@@ -473,6 +473,35 @@ def test_near_duplicates_that_stars_miss(spark, block):
     assert _link(docs, block=block) == brute.near_groups(rows)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([(3, 4), (6, 8), (48, 64), (60, 65), (750, 1000), (40000, 52000)]), st.integers(0, 2))
+def test_bitmaps_never_rule_out_a_link(seed, sizes, apart):
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(0, 2**64, sizes[1], dtype=np.uint64))
+    x, y = pool[: sizes[0] - apart], pool
+    if apart:  # a few of either side only
+        y = pool[apart:]
+    table = pa.table({
+        "component": [1, 2], "part": [0, 0], "low": [0, 0], "high": [0, 0],
+        "set_size": [len(x), len(y)], "bits": pa.array([minhash.parity(x), minhash.parity(y)], pa.binary()),
+    })
+    got = [(i, found.tolist()) for i, found in minhash._alike(table, 75)]
+    assert not minhash._linked(x, y, 75) or got == [(0, [1])] or got == [(1, [0])]
+
+
+def test_links_with_a_low_estimate(spark):
+    """Sets of 3 and 4 shingles, similarity 0.75, whose signatures agree in less than 0.6 of their bins.
+
+    A third text, in more buckets with the larger one, keeps stars from trying the pair.
+    """
+    rows = []
+    for at, (k, m) in enumerate([(1263, 5), (1666, 3), (1765, 22), (1831, 3), (4049, 1)]):
+        w = [f"w{k}x{i}" for i in range(8)]
+        rows += [(3 * at, " ".join([*w[2:], f"z{m}"])), (3 * at + 1, " ".join(w[:7])), (3 * at + 2, " ".join(w))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _link(docs) == brute.near_groups(rows)
+
+
 def test_dedup_keeps_one(edge):
     kept = rows_of(minhash.dedup(edge), "doc_id")
     ids = [i for (i,) in kept if i is not None]

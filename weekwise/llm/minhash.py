@@ -10,15 +10,17 @@
    their square. Of a text's edges the one that most bands support is
    confirmed first, on the full sets, and components are formed.
 4. What stars can miss: buckets that still hold several components are
-   compared inside by their signatures, in blocks of bounded size; members of
-   different components that agree form families. A family is compared again,
+   compared inside, in blocks of bounded size; members of different
+   components that may be linked form families. A family is compared again,
    now on the full sets, block against block. A block gives back a forest,
    at most one link per member, never its pairs.
 
-With 36 bands of 3 bins, two texts of similarity 0.75 share no bucket with
-probability (1 - 0.75^3)^36 < 3e-9; step 4 leaves out pairs whose estimate is
-below `estimate` (0.6, more than three standard deviations under 0.75, and then only if no
-chain of other links joins them).
+Step 4 rules a pair out by bounds that hold for every pair, never by an
+estimate: the sizes of the sets, and their parity bitmaps, which differ in no
+more bits than the sets differ in shingles. So a link is lost only if its texts
+share no bucket. With 36 bands of 3 bins that has probability
+(1 - 0.75^3)^36 < 3e-9 at similarity 0.75 if bins were independent; those of
+sets smaller than the bins are not quite.
 
 Defined results
 - null, empty and white-space texts: empty set, n_shingles 0, linked with
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 
 from weekwise.llm.components import components
 from weekwise.llm.frames import column, only
-from weekwise.llm.words import Texts, sequence_hash, texts, window_hashes
+from weekwise.llm.words import Texts, mix, sequence_hash, texts, window_hashes
 from weekwise.session import Scratch
 
 
@@ -53,7 +55,6 @@ class MinHashParams:
     percent: int = 75
     bands: int = 36
     rows: int = 3
-    estimate: float = 0.6
     block: int = 512
 
     @property
@@ -62,6 +63,7 @@ class MinHashParams:
 
 
 PROBES = 512
+PARITY_BITS = 1 << 16  # most bits of a bitmap
 
 
 def shingle_sets(t: Texts, words: int) -> Iterator[np.ndarray]:
@@ -94,6 +96,13 @@ def signature(values: np.ndarray, bins: int, probes: np.ndarray) -> np.ndarray:
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 
 
+def parity(values: np.ndarray) -> bytes:
+    """Bitmap of the parities of a set's hash counts: 4 to 8 bits a shingle, a power of two, its halves fold by xor."""
+    width = min(PARITY_BITS, max(256, 4 << max(0, len(values) - 1).bit_length()))
+    at = (mix(values) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
 def sketches(docs: DataFrame, p: MinHashParams) -> DataFrame:
     """Per row: doc_id, n_shingles, digest of the set and signature (both null for an empty set)."""
     bins = p.bins
@@ -122,18 +131,22 @@ def sketches(docs: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, p: MinHashParams) -> DataFrame:
-    """(doc_id, shingles): the sorted distinct shingle hashes, 8 bytes each."""
+    """(doc_id, shingles, bits): the sorted distinct shingle hashes, 8 bytes each, and their parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, t in texts(batch.column(1), lower=True):
-                sets = [s.tobytes() for s in shingle_sets(t, p.words)]
+                sets, bits = [], []
+                for s in shingle_sets(t, p.words):
+                    sets.append(s.tobytes())
+                    bits.append(parity(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(t)), pa.array(sets, pa.binary())], ["doc_id", "shingles"]
+                    [batch.column(0).slice(lo, len(t)), pa.array(sets, pa.binary()), pa.array(bits, pa.binary())],
+                    ["doc_id", "shingles", "bits"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {id_type}, shingles binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, shingles binary, bits binary")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -181,8 +194,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}, similarity double")
 
 
-def _mixed(members: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
-    """Members, with component and signature, of buckets that hold several components; one of equal buckets."""
+def _mixed(members: DataFrame, parts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Members, with component, set size and bitmap, of buckets that hold several components; one of equal buckets."""
     placed = members.select("key", "n", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     buckets = placed.groupBy("key").agg(
@@ -193,7 +206,7 @@ def _mixed(members: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"),
     )
     keys = buckets.filter(F.col("lo") < F.col("hi")).groupBy("size", "x", "y").agg(F.min("key").alias("key"))
-    return placed.join(keys.select("key"), "key", "left_semi").join(signs, "doc_id")
+    return placed.join(keys.select("key"), "key", "left_semi").join(marks, "doc_id")
 
 
 class _Forest:
@@ -224,29 +237,45 @@ def _in_blocks(rows: DataFrame, group: str, size: str, block: int, compare, sche
     return cut.drop("parts", "other", size).groupBy(group, "low", "high").applyInArrow(compare, schema)
 
 
-def _alike(table: pa.Table, bins: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Row of the lower block and rows of the higher one that belong elsewhere and agree in `least` bins."""
+def _alike(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row of the lower block and rows of the higher one that belong elsewhere and that no bound rules out.
+
+    Linked sets differ in at most (100 - percent) / (100 + percent) of their
+    shingles, and in a third of their sizes, so their bitmaps are of one width or
+    the next one; a pair is compared in the narrower width.
+    """
     comp, part = table.column("component").to_numpy(), table.column("part").to_numpy()
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, bins)
-    left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-    theirs, across = comp[right], sign[right]
-    for k, i in enumerate(left.tolist()):
-        first = k + 1 if low == high else 0
-        apart = np.flatnonzero(theirs[first:] != comp[i]) + first
-        if len(apart):
-            agree = (across[apart] == sign[i]).sum(axis=1)
-            found = right[apart[agree >= least]]
-            if len(found):
-                yield i, found
+    size, raw = table.column("set_size").to_numpy(), table.column("bits").to_pylist()
+    width = np.array([len(b) for b in raw])
+    for w in np.unique(width).tolist():
+        near = np.flatnonzero((width == w) | (width == 2 * w))
+        bits = [np.frombuffer(raw[k], np.uint64).reshape(-1, w // 8) for k in near.tolist()]
+        bits = np.stack([np.bitwise_xor.reduce(b, axis=0) for b in bits])
+        in_left, in_right = np.flatnonzero(part[near] == low), np.flatnonzero(part[near] == high)
+        right, across = near[in_right], bits[in_right]
+        theirs, sizes, native = comp[right], size[right], width[right] == w
+        for k, at in enumerate(in_left.tolist()):
+            i = near[at]
+            first = k + 1 if low == high else 0
+            may = theirs[first:] != comp[i]
+            may &= 100 * np.minimum(sizes[first:], size[i]) >= percent * np.maximum(sizes[first:], size[i])
+            if width[i] != w:
+                may &= native[first:]
+            apart = np.flatnonzero(may) + first
+            if len(apart):
+                differ = np.bitwise_count(across[apart] ^ bits[at]).sum(axis=1, dtype=np.int64)
+                found = right[apart[(100 + percent) * differ <= (100 - percent) * (sizes[apart] + size[i])]]
+                if len(found):
+                    yield int(i), found
 
 
 def _families(live: DataFrame, p: MinHashParams) -> DataFrame:
-    """Links (a, b) that join all members of a bucket whose signatures agree across components: a forest per block."""
+    """Links (a, b) that join all members of a bucket that may be linked across components: a forest per block."""
 
     def compare(table: pa.Table) -> pa.Table:
         ids, forest = table.column("doc_id").to_numpy(), _Forest(table.num_rows)
-        pairs = [(i, j) for i, found in _alike(table, p.bins, p.estimate * p.bins) for j in found.tolist() if forest.join(i, j)]
+        pairs = [(i, j) for i, found in _alike(table, p.percent) for j in found.tolist() if forest.join(i, j)]
         kind = table.schema.field("doc_id").type
         return pa.table({"a": pa.array([ids[i] for i, _ in pairs], kind), "b": pa.array([ids[j] for _, j in pairs], kind)})
 
@@ -264,7 +293,7 @@ def _confirm_inside(family: DataFrame, p: MinHashParams) -> DataFrame:
         for i, j in enumerate(first[same.ravel()].tolist()):
             forest.join(i, j)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
-        for i, found in _alike(table, p.bins, p.estimate * p.bins):
+        for i, found in _alike(table, p.percent):
             for j in found.tolist():
                 if forest.root(i) != forest.root(j) and _linked(sets[i], sets[j], p.percent):
                     forest.join(i, j)
@@ -307,8 +336,9 @@ def link(docs: DataFrame, p: MinHashParams = MinHashParams(), scratch: Scratch |
     parts = scratch.keep(components(links, scratch), "parts")
 
     # Buckets that still hold several components: what stars may have missed.
-    signed = scratch.keep(single.dropDuplicates(["doc_id"]), "signed")
-    close = scratch.keep(_families(_mixed(members, parts, signed), p).distinct(), "close")
+    sets = sets.withColumn("set_size", F.shiftright(F.octet_length("shingles"), 3).cast("long"))
+    marks = sets.select("doc_id", "set_size", "bits").dropDuplicates(["doc_id"])
+    close = scratch.keep(_families(_mixed(members, parts, marks), p).distinct(), "close")
     placed = parts.withColumnRenamed("node", "doc_id")
     inside = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct().join(placed, "doc_id", "left")
     inside = scratch.keep(inside.withColumn("component", F.coalesce("component", "doc_id")), "inside")
@@ -316,7 +346,7 @@ def link(docs: DataFrame, p: MinHashParams = MinHashParams(), scratch: Scratch |
     family = components(near, scratch, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     family = scratch.keep(inside.join(family, "doc_id"), "family")
     counts = family.groupBy("family").agg(F.count("*").alias("members"))
-    family = family.join(counts, "family").join(signed, "doc_id").join(sets, "doc_id")
+    family = family.join(counts, "family").join(sets, "doc_id")
     more = _confirm_inside(family, p)
     links = scratch.keep(links.union(more).distinct(), "links-1")
     parts = scratch.keep(components(links, scratch), "parts-1")
