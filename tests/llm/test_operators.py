@@ -318,6 +318,17 @@ def test_fingerprint_is_homomorphic():
     assert fingerprints.fingerprint("") == fingerprints.Fingerprint()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab é", min_size=1, max_size=8), min_size=2, max_size=6), st.randoms())
+def test_fingerprint_of_lines_without_a_last_line_feed(lines, rng):
+    of, mixed = fingerprints.fingerprint, rng.sample(lines, len(lines))
+    whole = of("\n".join(lines))
+    assert whole == of("\n".join(mixed)) == of("\n".join(lines) + "\n")
+    assert whole - of(lines[-1]) == of("\n".join(lines[:-1]))
+    assert of("\n".join(lines[1:])) + of(lines[0]) == whole
+    assert whole != of("\n\n".join(lines)) and of("\n") != of("")
+
+
 @pytest.mark.parametrize("block", [1, 3, 4096])
 def test_edited_pairs(edge, block):
     rows = sorted(rows_of(edge, "doc_id", "text"), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))

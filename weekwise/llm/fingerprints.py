@@ -21,6 +21,8 @@ Defined results
 - null is the empty text: no paragraph, the zero fingerprint; two zero
   fingerprints have likeness 1, a zero and another one 0.
 - equal texts have equal fingerprints, and so have texts with the same paragraphs in another order.
+- a line feed ends its paragraph and is not part of it; what follows the last one is a paragraph if not empty. So
+  "a" and "a\\n" are equal, an empty paragraph counts elsewhere ("a\\n\\nb") but not as the end of a text.
 - repeated ids: rows follow each other in the order of id, then text; null ids come last.
 - one row alone is its own next document. Empty table: no rows.
 - extra columns do not matter. A very long text is hashed whole by one task;
@@ -83,7 +85,7 @@ class Fingerprint:
 def fingerprints(t: Texts) -> list[Fingerprint]:
     """Fingerprint of each text."""
     data, n = t.data, len(t)
-    # Paragraphs: what lies between line feeds.
+    # Paragraphs: what lies between line feeds, hashed without the line feed.
     line_ends = np.flatnonzero(data == 10) + 1
     bounds = np.unique(np.concatenate([t.offsets, line_ends]))
     owner = np.searchsorted(t.offsets, bounds[:-1], "right") - 1
@@ -91,7 +93,7 @@ def fingerprints(t: Texts) -> list[Fingerprint]:
     flat = data.tobytes()
     keys = np.array(
         [
-            int.from_bytes(hashlib.blake2b(flat[a:b], digest_size=8).digest(), "little")
+            int.from_bytes(hashlib.blake2b(flat[a : b - (flat[b - 1] == 10)], digest_size=8).digest(), "little")
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())
         ],
         np.uint64,
