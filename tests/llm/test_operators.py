@@ -268,6 +268,15 @@ def test_toxicity_held_out(spark):
     assert auc > 0.93 and (got["predicted"] == got["toxic"]).mean() > 0.94
 
 
+def test_toxicity_learns_from_960_rows_a_label(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bodies, toxic, params: seen.append((len(bodies), int(toxic.sum()))))
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 8 == 0).cast("int").alias("toxic")))
+    toxic = docs.filter((samples.fold(F.col("doc_id")) != 0) & (F.col("doc_id") % 8 == 0)).count()
+    assert seen == [(960 + toxic, toxic)]
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 0), (9, 1), (9, 0), (11, 1), (None, 1), (3, None), (99, 1)], "doc_id long, toxic int")
     got = toxicity.judge(edge, labels)

@@ -8,7 +8,8 @@ every bag takes its text's label, then only the bag that decides the text
 (multiple-instance learning). A misspelt word shares n-grams with the words
 it comes from, and letter lookalikes are folded, so it scores alike.
 
-The model is fitted on a bounded sample (`per_label` rows of each label);
+The model is fitted on a bounded sample (`per_label` rows of each label; rows
+are bounded, not their bytes, so long labelled texts take more of the driver);
 texts of the sample and of the scored table are read whole.
 
 Defined results
@@ -41,7 +42,7 @@ SIZES = (3, 4, 5)
 
 @dataclass(frozen=True)
 class ModelParams:
-    per_label: int = 640
+    per_label: int = 960
     bucket_bits: int = 17
     dim: int = 8
     span: int = 3
