@@ -148,6 +148,16 @@ def test_substring_dedup_on_the_table(spark, sf_dir):
     assert Counter(rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256")) == want
 
 
+def test_anchors_of_a_text_longer_than_a_run(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_PLACE", np.uint64(63))  # runs of 64 shingles
+    for n in (35, 36, 70, 71, 72, 108, 400):
+        ((_, t),) = texts(pa.array([prose(8, n)]))
+        starts, place, shingles, _ = substring_dedup.anchors(t, 35, 8)
+        high = shingles >> np.uint64(6)
+        assert starts.tolist() == list(range(n - 34))
+        assert place.tolist() == [s + int(high[s : s + 28].argmin()) for s in starts.tolist()]
+
+
 def test_substring_dedup_empty(empty):
     assert substring_dedup.removed_words(empty).count() == 0
 

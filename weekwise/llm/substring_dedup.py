@@ -54,11 +54,16 @@ def anchors(t: Texts, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray,
     if len(h) < window:
         return none, none, np.zeros(0, np.uint64), h
     shingles = window_hashes(h, anchor)
-    # The place in the low bits makes the minimum the leftmost of those with equal high bits.
-    ranked = (shingles & ~_PLACE) | np.arange(len(shingles), dtype=np.uint64)
-    best = sliding_min(ranked, window - anchor + 1)
+    # Places have 26 bits: a longer text is cut into runs that share window - anchor shingles with the next one.
+    span, n = window - anchor, len(h) - window + 1
+    place, step = np.empty(n, np.int64), int(_PLACE) + 1 - span
+    for a in range(0, n, step):
+        run = shingles[a : a + step + span]
+        # The place in the low bits makes the minimum the leftmost of those with equal high bits.
+        ranked = (run & ~_PLACE) | np.arange(len(run), dtype=np.uint64)
+        place[a : a + step] = (sliding_min(ranked, span + 1) & _PLACE).astype(np.int64) + a
     starts = np.flatnonzero(t.windows_from(window))
-    return starts, (best[starts] & _PLACE).astype(np.int64), shingles, h
+    return starts, place[starts], shingles, h
 
 
 def cells(key: np.ndarray, width: int) -> list[np.ndarray]:
