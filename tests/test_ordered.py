@@ -38,7 +38,7 @@ def test_stop_keeps_every_row_below_the_bound(spark):
     data = [("hot", float(i % 7 + 1), f"k{i}") for i in range(600)]
     df = spark.createDataFrame(data, "g string, size double, key string").withColumn("bound", F.lit(400.0))
     got = running_before(df, "g", "size", "key", {"size": "before"}, 1, stop=("before", "bound"))
-    expect = {k: v for k, v in brute(data, digits).items() if v < 400}
+    expect = {k: v for k, v in brute(data, 1).items() if v < 400}
     assert {r.key: r.before for r in got.filter("before < bound").collect()} == expect
     assert got.count() < len(data)
 
