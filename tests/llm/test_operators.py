@@ -255,6 +255,13 @@ def test_mixed_repeats_rows(edge):
     assert Counter(rows_of(got, "doc_id", "source")) == +took
 
 
+def test_rows_that_share_an_id_do_not_meet(spark):
+    docs = spark.createDataFrame([(None, prose(k, 5), "web") for k in range(200)], "doc_id long, text string, source string")
+    marks = [h for (h,) in rows_of(mixing._chosen(docs, mixing.MixParams(), None), "h")]
+    assert len(marks) == len(set(marks)) == 200
+    assert max(Counter(h % 10 for h in marks).values()) < 60
+
+
 # -- 5 toxicity ---------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ group in a reduction tree of fan-in `fan_in`, level by level in tables of
 the shared folder; the last one of a source is rounded by chance. A source's
 words thus differ from its target by less than one, usually short, document.
 
-Random numbers are hashes of ids and level: the same rows give the same mix,
+Random numbers are hashes of ids, texts and level, so rows that only share an id do not meet: the same rows give the same mix,
 whatever the partitions.
 
 Per-source totals (one row per source) are brought to the driver to share out
@@ -24,7 +24,7 @@ the targets; no document is.
 Defined results
 - null text has size 0. Documents of size 0 take nothing and do not meet others.
 - null source is a source of its own, ordered last; null ids are documents.
-- repeated rows are documents of their own and are rounded one by one.
+- repeated rows are documents of their own and are rounded one by one; those of equal id and text meet in one group.
 - all sizes 0 or an empty table: targets 0, nothing taken.
 - extra columns pass through `mixed` and do not matter to `mix`.
 """
@@ -155,13 +155,25 @@ def _level(rows: DataFrame, level: int, p: MixParams) -> DataFrame:
     return rows.groupBy("source", "bucket").applyInArrow(meet, rows.schema)
 
 
+def _mark(doc_id: F.Column, text: F.Column, p: MixParams) -> F.Column:
+    return F.xxhash64(F.lit(p.seed), doc_id.cast("string"), text)
+
+
 def mix(docs: DataFrame, p: MixParams = MixParams(), scratch: Scratch | None = None) -> DataFrame:
     """Per row of (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken."""
+    return _chosen(docs, p, scratch).drop("h")
+
+
+def _chosen(docs: DataFrame, p: MixParams, scratch: Scratch | None) -> DataFrame:
+    """The mix with `h`, the mark of each row's id and text."""
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark)
     rows = only(docs, doc_id="doc_id", text="text", source="source")
     sized = rows.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        "doc_id",
+        "source",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _mark(F.col("doc_id"), F.col("text"), p).alias("h"),
     )
     sized = scratch.keep(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -179,15 +191,14 @@ def mix(docs: DataFrame, p: MixParams = MixParams(), scratch: Scratch | None = N
     planned = spark.createDataFrame(plan, schema)
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     whole = F.floor(rate)
-    h = F.xxhash64(F.lit(p.seed), F.col("doc_id").cast("string"))
     rows = sized.join(planned, F.col("source").eqNullSafe(F.col("to_source"))).select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        h.alias("h"),
-        F.pmod(h, F.col("buckets")).alias("bucket"),
+        "h",
+        F.pmod("h", F.col("buckets")).alias("bucket"),
         "buckets",
         whole.cast("long").alias("copies"),
         ((rate - whole) * F.col("size")).alias("mass"),
@@ -211,19 +222,19 @@ def mix(docs: DataFrame, p: MixParams = MixParams(), scratch: Scratch | None = N
     for more in done[1:]:
         out = out.unionByName(more)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h"
     )
 
 
 def mixed(docs: DataFrame, p: MixParams = MixParams(), scratch: Scratch | None = None) -> DataFrame:
     """`docs` with every row as often as the mix takes it."""
-    chosen = mix(docs, p, scratch)
-    # A struct as key lets null ids meet; rows that share an id are matched in the order of source and size.
-    key = F.struct(F.col("doc_id").alias("id"))
+    chosen = _chosen(docs, p, scratch)
+    # A struct as key lets null ids meet; rows that share id and text are matched in the order of source and size.
+    key = F.struct(F.col("doc_id").alias("id"), "h")
     listed = chosen.groupBy(key.alias("__key")).agg(
         F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("__list")
     )
-    rows = docs.withColumns({"__key": F.struct(column(docs, "doc_id").alias("id"))}).join(listed, "__key")
+    rows = docs.withColumns({"__key": F.struct(column(docs, "doc_id").alias("id"), _mark(column(docs, "doc_id"), column(docs, "text"), p).alias("h"))}).join(listed, "__key")
     size = F.coalesce(F.regexp_count(column(docs, "text"), F.lit(WORD)), F.lit(0)).cast("long")
     order = Window.partitionBy("__key").orderBy(F.struct(column(docs, "source"), size))
     rows = rows.withColumn("__copies", F.get(F.col("__list"), F.row_number().over(order) - 1)["copies"].cast("int"))
