@@ -47,4 +47,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_st
        symbols_per_word, stop_word_ratio, dup_line_ratio, worded_line_ratio, word_char_ratio, base_failed,
        NOT base_failed AND {_BOUNDS} AS kept
 FROM rated""",
+    "op12_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split WHERE len(w) > 0),
+runs AS (SELECT lang, w, i, unnest(range(1, 6)) AS words FROM starts),
+f AS (
+  SELECT lang, array_to_string(w[i:i + words - 1], ' ') AS phrase, words, count(*) AS n
+  FROM runs WHERE i + words - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n_all FROM f WHERE words = 1 GROUP BY lang),
+often AS (SELECT lang, phrase, words, n, string_split(phrase, ' ') AS w FROM f WHERE n >= 100),
+inside AS (
+  SELECT lang, unnest([array_to_string(w[1:words - 1], ' '), array_to_string(w[2:words], ' ')]) AS phrase, n
+  FROM often WHERE words > 2),
+most AS (SELECT lang, phrase, max(n) AS most FROM inside GROUP BY ALL),
+kept AS (
+  SELECT o.* FROM often o LEFT JOIN most m USING (lang, phrase)
+  WHERE o.words > 1 AND coalesce(100 * m.most < 100 * o.n, true)),
+cuts AS (SELECT lang, phrase, w, words, n AS a, unnest(range(1, words)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.k, c.a, x.n AS l, y.n AS r, t.n_all AS n,
+         CAST((CAST(1000 AS HUGEINT) * c.a * t.n_all) // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.words], ' ')
+  JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000""",
 }

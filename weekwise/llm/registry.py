@@ -14,6 +14,7 @@ from weekwise.llm import (
     minhash,
     mixing,
     packing,
+    phrases,
     quality_rules,
     secrets,
     substring_dedup,
@@ -102,6 +103,12 @@ def op1_html_extraction(spark, sf_dir):
     return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query
+def op12_phrase_collocations(spark, sf_dir):
+    """The best phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     """Token pieces of the corpus after all stages."""
