@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekwise.llm import (
     fingerprints,
@@ -19,6 +20,7 @@ from weekwise.llm import (
     secrets,
     substring_dedup,
     toxicity,
+    whitening,
 )
 from weekwise.session import configure
 
@@ -109,6 +111,13 @@ def op12_phrase_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    """Whitened components of every embedding."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 @query
 def pipeline(spark, sf_dir):
     """Token pieces of the corpus after all stages."""
