@@ -59,7 +59,7 @@ class PhraseParams:
     cells: int = 1 << 20
 
 
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 FOLD_ROWS = 1 << 18
 SMALL = 32  # pointers below which a partition is finished by a plain sort
 SALTS = 32
