@@ -37,9 +37,9 @@ def shingles(text, n=5):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
 
 
-def near_groups(rows):
+def near_groups(rows, n=5, percent=75):
     """rows with distinct ids -> {id: (n_shingles, component)}."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, n) for i, t in rows}
     where, shared, parent = defaultdict(list), Counter(), {i: i for i in sets}
     for i, s in sets.items():
         for x in s:
@@ -53,7 +53,7 @@ def near_groups(rows):
         return x
 
     for (a, b), both in shared.items():
-        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
     return {i: (len(s), root(i)) for i, s in sets.items()}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weekwise.llm import (
     fingerprints,
     html_extraction,
+    jaccard_join,
     language_id,
     minhash,
     mixing,
@@ -105,6 +106,12 @@ def op1_html_extraction(spark, sf_dir):
     return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query
+def op11_ngram_jaccard_join(spark, sf_dir):
+    """Groups of documents linked by the Jaccard similarity of their word triples."""
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_phrase_collocations(spark, sf_dir):
     """The best phrases of each language."""
