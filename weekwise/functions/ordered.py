@@ -119,3 +119,50 @@ def exact_percentile(df: DataFrame, value: str, share: float, scale: int = 2, fa
         upper = counts.filter(F.col("v") > lo).agg(F.min("v")).first()[0]
     exact = (lo + (upper - lo) * part) * step
     return float(exact.quantize(step / 10_000, rounding=ROUND_HALF_UP))
+
+
+def weighted_threshold(
+    rows: DataFrame, groups: DataFrame, group: str, value: str, weight: str, wanted: str, fanout: int = 256
+) -> DataFrame:
+    """(group, threshold): the smallest value whose rows up to it weigh `wanted` or more; null if all of them do not.
+
+    `groups` has one row per group with its `wanted`, and is small enough to
+    reach every task. A group's value range is split `fanout` ways around
+    the wanted weight until one value is left, so a round is a plain
+    aggregation with at most `fanout` rows per group and no task sorts a group.
+    """
+    from weekwise.session import materialize
+
+    totals = (
+        rows.select(F.col(group), F.col(value).cast("double").alias("__v"), F.col(weight).alias("__w"))
+        .groupBy(group, "__v")
+        .agg(F.sum("__w").alias("__w"))
+    )
+    totals = materialize(totals, "weights")
+    spans = totals.groupBy(group).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.sum("__w").alias("all"))
+    open_ = groups.select(group, F.col(wanted).alias("wanted")).join(spans, group)
+    open_ = materialize(
+        open_.filter(F.col("all") >= F.col("wanted")).select(group, "wanted", "lo", "hi", F.lit(0).cast("decimal(38,6)").alias("before")),
+        "spans",
+    )
+    while not open_.filter("lo < hi").isEmpty():
+        width = (F.col("hi") - F.col("lo")) / F.lit(float(fanout))
+        part = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(
+            F.least(F.lit(fanout - 1), F.floor((F.col("__v") - F.col("lo")) / width).cast("int"))
+        )
+        inside = totals.join(F.broadcast(open_), group).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
+        parts = (
+            inside.withColumn("part", part)
+            .groupBy(group, "wanted", "before", "part")
+            .agg(F.sum("__w").alias("w"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        )
+        along = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        reached = parts.withColumn("upto", F.col("before") + F.sum("w").over(along)).filter(F.col("upto") >= F.col("wanted"))
+        first = Window.partitionBy(group).orderBy("part")
+        open_ = materialize(
+            reached.withColumn("rn", F.row_number().over(first))
+            .filter("rn = 1")
+            .select(group, "wanted", "lo", "hi", (F.col("upto") - F.col("w")).cast("decimal(38,6)").alias("before")),
+            "spans",
+        )
+    return groups.select(group).join(open_.select(group, F.col("lo").alias("threshold")), group, "left")

@@ -17,8 +17,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekwise.functions.columns import instance_key
-from weekwise.functions.ordered import running_before
+from weekwise.functions.columns import half_up, instance_key
+from weekwise.functions.graph import connected_parts
+from weekwise.functions.ordered import running_before, weighted_threshold
 from weekwise.operators.schedule import fallback_schedule
 from weekwise.params import Params
 from weekwise.session import materialize
@@ -28,11 +29,30 @@ SUM = "decimal(38,6)"
 CELLS = 1024
 
 
-def units_of(schedule: DataFrame, params: Params, respect_groups: bool, respect_hard: bool) -> DataFrame:
-    """Instances with the key of the unit they move in."""
+def group_parts(groups: DataFrame) -> DataFrame:
+    """(relay_id, group_part): groups that share a relay are one part, named after its smallest group.
+
+    A relay of two groups ties them together: if either moved alone, the
+    other would lose its common week. Each relay links its groups to its
+    smallest one, so links are as many as memberships.
+    """
+    members = groups.select("relay_id", "adjustment_group_id").dropna().distinct()
+    least = members.groupBy("relay_id").agg(F.min("adjustment_group_id").alias("least"))
+    parts = connected_parts(members.join(least, "relay_id"), "adjustment_group_id", "least")
+    first = least.withColumnRenamed("least", "node")
+    return first.join(parts, "node").select("relay_id", F.col("part").alias("group_part"))
+
+
+def units_of(
+    schedule: DataFrame, params: Params, respect_groups: bool, respect_hard: bool, parts: DataFrame | None = None
+) -> DataFrame:
+    """Instances with the key of the unit they move in: their group's, or with `parts` that of all tied groups."""
     alone = instance_key()
-    grouped = F.col("adjustment_group_id").isNotNull() & (F.col("adjustment_group_id") != "NO_GROUP")
-    with_group = F.concat_ws("_", "adjustment_group_id", F.date_format("suggested_wk_end_date", "yyyy-MM-dd"))
+    group = F.col("adjustment_group_id")
+    if parts is not None:
+        schedule, group = schedule.join(parts, "relay_id", "left"), F.col("group_part")
+    grouped = group.isNotNull() & (group != "NO_GROUP")
+    with_group = F.concat_ws("_", group, F.date_format("suggested_wk_end_date", "yyyy-MM-dd"))
     pinned = F.coalesce("cannot_move", F.lit(False)) if respect_hard else F.lit(False)
     return schedule.withColumns(
         {
@@ -40,7 +60,7 @@ def units_of(schedule: DataFrame, params: Params, respect_groups: bool, respect_
             "pinned": pinned | F.col("suggested_wk_end_date").isNull(),
             "is_nm": F.coalesce(F.col("store_type").isin(*params.nm_store_types), F.lit(False)),
         }
-    )
+    ).drop("group_part")
 
 
 def unit_table(rows: DataFrame) -> DataFrame:
@@ -182,10 +202,13 @@ def rebalance(
     respect_groups: bool = True,
     respect_hard: bool = True,
     open_from: Column | None = None,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """Suggested schedule: the instances with `suggested_wk_end_date`.
 
-    With `open_from`, weeks before that date are closed: they lose no work and
+    A unit is an instance or, in one week, a group; with `parts` from
+    `group_parts`, all groups tied by common relays, so that no group loses
+    its common week. With `open_from`, weeks before that date are closed: they lose no work and
     get none, and their rows stay as they are.
 
     Each pass first relieves the neighbourhood-market cap, using weeks with
@@ -196,7 +219,7 @@ def rebalance(
     phase at most, and tables read back have a known size. Pass stored
     tables: both inputs are read often.
     """
-    rows = units_of(fallback_schedule(instances), params, respect_groups, respect_hard)
+    rows = units_of(fallback_schedule(instances), params, respect_groups, respect_hard, parts)
     if open_from is not None:
         thresholds = thresholds.filter(F.col("wk_end_date") >= open_from)
     units = materialize(unit_table(rows), "units")
@@ -225,6 +248,95 @@ def rebalance(
     )
 
 
+def objective_bound(
+    instances: DataFrame,
+    thresholds: DataFrame,
+    params: Params,
+    respect_groups: bool = True,
+    respect_hard: bool = True,
+    open_from: Column | None = None,
+    parts: DataFrame | None = None,
+) -> DataFrame:
+    """One row, `bound`: no schedule that moves units whole costs less.
+
+    Each week sells its hours at a price between 0 and the penalty. Whatever
+    the prices, a schedule costs at least what its units pay if each takes
+    the cheaper of staying and moving at the move cost, less the price of the
+    caps. A week's best price is where its leaving units first make up its excess,
+    taken in the order of their cost per hour; `weighted_threshold` finds it in
+    rounds of one aggregation. Market hours are priced first, then all hours
+    beside them. If the caps of all weeks together are short of hours, the
+    shortage is paid in full instead; the best of those readings is the bound.
+    """
+    rows = units_of(fallback_schedule(instances), params, respect_groups, respect_hard, parts)
+    units = materialize(unit_table(rows), "units")
+    load = materialize(unit_load(units), "unit-load")
+    over, market = F.lit(params.over_penalty), F.lit(params.nm_over_penalty)
+    cost = F.col("size") * F.lit(params.move_cost)
+    every = week_state(load, None, thresholds)
+    open_weeks = thresholds if open_from is None else thresholds.filter(F.col("wk_end_date") >= open_from)
+    closed = every.join(open_weeks.select("wk_end_date"), "wk_end_date", "left_anti")
+    closed = closed.agg(F.coalesce(F.sum(F.col("total_over") * over + F.col("nm_over") * market), F.lit(0.0)).alias("closed"))
+    state = week_state(load, None, open_weeks).withColumnRenamed("wk_end_date", "week")
+    state = materialize(state, "weeks")
+    units = units.join(F.broadcast(state.select("week")), "week", "left_semi")
+    may_go = units.filter("movable")
+
+    def priced(excess: str, rows: DataFrame, weight: str, most: Column) -> DataFrame:
+        """Price per week with an excess: where enough has left, or the penalty."""
+        weeks = state.filter(F.col(excess) > 0)
+        found = weighted_threshold(rows.join(F.broadcast(weeks.select("week")), "week", "left_semi"), weeks, "week", "ratio", weight, excess)
+        return found.select("week", F.least(F.coalesce("threshold", most), most).alias("price"))
+
+    of_market = may_go.filter("nm_hours > 0").withColumn("ratio", cost / F.col("nm_hours").cast("double"))
+    market_price = priced("nm_over", of_market, "nm_hours", market).withColumnRenamed("price", "b")
+    with_b = units.join(F.broadcast(market_price), "week", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    left = F.greatest(F.lit(0.0), cost - F.col("b") * F.col("nm_hours").cast("double"))
+    of_all = with_b.filter("movable AND hours > 0").withColumn("ratio", left / F.col("hours").cast("double"))
+    price = priced("total_over", of_all, "hours", over).withColumnRenamed("price", "a")
+    priced_units = with_b.join(F.broadcast(price), "week", "left").withColumn("a", F.coalesce("a", F.lit(0.0)))
+
+    hours, nm_hours = F.col("hours").cast("double"), F.col("nm_hours").cast("double")
+    readings = {"ab": (F.col("a"), F.col("b")), "a": (F.col("a"), F.lit(0.0)), "b": (F.lit(0.0), F.col("b"))}
+
+    def paid(a: Column, b: Column) -> Column:
+        stay = a * hours + b * nm_hours
+        return F.coalesce(F.sum(F.when(F.col("movable"), F.least(stay, cost)).otherwise(stay)), F.lit(0.0))
+
+    pays = priced_units.agg(
+        *[paid(*ab).alias(f"pays_{name}") for name, ab in readings.items()],
+        F.coalesce(F.sum("hours").cast("double"), F.lit(0.0)).alias("hours"),
+        F.coalesce(F.sum("nm_hours").cast("double"), F.lit(0.0)).alias("nm_hours"),
+    )
+    caps = open_weeks.withColumnRenamed("wk_end_date", "week").join(price, "week", "left").join(market_price, "week", "left")
+    a_cap = F.coalesce("a", F.lit(0.0)) * F.col("total_cap")
+    b_cap = F.coalesce("b", F.lit(0.0)) * F.col("nm_cap")
+    caps = caps.agg(
+        *[F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in {"a_cap": a_cap, "b_cap": b_cap, "cap": F.col("total_cap"), "nm": F.col("nm_cap")}.items()]
+    )
+    pays = pays.withColumns({n: caps.select(n).scalar() for n in caps.columns} | {"closed": closed.scalar()})
+    short = over * (F.col("hours") - F.col("cap"))
+    nm_short = market * (F.col("nm_hours") - F.col("nm"))
+    best = F.greatest(
+        F.col("pays_ab") - F.col("a_cap") - F.col("b_cap"),
+        F.col("pays_a") - F.col("a_cap") + nm_short,
+        F.col("pays_b") - F.col("b_cap") + short,
+        short + nm_short,
+    )
+    return pays.select(half_up(best + F.col("closed"), 2).alias("bound"))
+
+
+def optimality_gap(cost: DataFrame, bound: DataFrame) -> DataFrame:
+    """Objective, bound, and what lies between them, also as a share of the objective."""
+    objective = F.col("objective")
+    return cost.withColumn("bound", bound.select("bound").scalar()).select(
+        "objective",
+        "bound",
+        half_up(objective - F.col("bound"), 2).alias("gap"),
+        F.when(objective == 0, F.lit(0.0)).otherwise(half_up((objective - F.col("bound")) * 100 / objective, 4)).alias("gap_pct"),
+    )
+
+
 def move_candidates(instances: DataFrame, thresholds: DataFrame, params: Params) -> DataFrame:
     """What a movable instance of an overloaded week could do: stay for 0, or move at the move cost.
 

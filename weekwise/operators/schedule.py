@@ -210,6 +210,35 @@ def group_sync_violations(schedule: DataFrame, groups: DataFrame, week: str = "s
     )
 
 
+def split_groups(plan: DataFrame, groups: DataFrame) -> DataFrame:
+    """Group weeks whose instances a plan sends to different weeks, for every group of a relay."""
+    members = groups.select("adjustment_group_id", "relay_id").distinct()
+    rows = plan.filter(F.col("original_wk_end_date").isNotNull()).select(
+        "relay_id", "original_wk_end_date", "suggested_wk_end_date"
+    )
+    return (
+        rows.join(members, "relay_id")
+        .groupBy("adjustment_group_id", "original_wk_end_date")
+        .agg(F.min("suggested_wk_end_date").alias("first"), F.max("suggested_wk_end_date").alias("last"))
+        .filter("first <> last")
+    )
+
+
+def group_sync_changes(plans: dict[str, DataFrame], groups: DataFrame) -> DataFrame:
+    """Per plan: group weeks out of step before and after it, and group weeks that it tears apart."""
+
+    def count(label: str, plan: DataFrame) -> DataFrame:
+        before = group_sync_violations(plan, groups, "original_wk_end_date")
+        return before.agg(F.count("*").alias("before")).select(
+            F.lit(label).alias("plan"),
+            "before",
+            group_sync_violations(plan, groups).agg(F.count("*")).scalar().alias("after"),
+            split_groups(plan, groups).agg(F.count("*")).scalar().alias("split_weeks"),
+        )
+
+    return reduce(DataFrame.unionByName, [count(k, v) for k, v in plans.items()])
+
+
 def moved_relays(schedule: DataFrame) -> DataFrame:
     return moved(schedule).select(
         "relay_id", "store_id", "store_type", "relay_hours", "original_wk_end_date", "suggested_wk_end_date"

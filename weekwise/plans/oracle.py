@@ -61,14 +61,15 @@ def _with(needs: str, body: str) -> str:
     def visit(name: str) -> None:
         if name not in ordered:
             for n in CTES[name][0]:
-                visit(n)
+                if n != name:  # a recursive one
+                    visit(n)
             ordered.append(name)
 
     for n in needs.split():
         visit(n)
     if not ordered:
         return _half_up(body)
-    return _half_up("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n" + body)
+    return _half_up("WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n" + body)
 
 
 # -- the six tables -------------------------------------------------------
@@ -267,6 +268,63 @@ for _i in range(3):
     _phase(f"units{2 * _i}", f"units{2 * _i + 1}", nm=True, largest_first=_i % 2 == 1)
     _phase(f"units{2 * _i + 1}", f"units{2 * _i + 2}", nm=False, largest_first=_i % 2 == 1)
 
+# Groups with a common relay, tied together by all paths between them.
+_cte("member", "groups", "SELECT DISTINCT adjustment_group_id, relay_id FROM groups")
+_cte("group_links", "member", """
+SELECT DISTINCT a.adjustment_group_id AS g, b.adjustment_group_id AS h FROM member a JOIN member b USING (relay_id)""")
+_cte("group_reach", "group_links", """
+SELECT g, h FROM group_links UNION SELECT r.g, l.h FROM group_reach r JOIN group_links l ON l.g = r.h""")
+_cte("group_part", "group_reach member", """
+SELECT relay_id, min(part) AS group_part FROM member JOIN (SELECT g, min(h) AS part FROM group_reach GROUP BY 1) ON g = adjustment_group_id
+GROUP BY 1""")
+_cte("sync_unit_rows", "unit_rows group_part", """
+SELECT r.* REPLACE (CASE WHEN group_part IS NULL
+         THEN r.relay_id || '_' || CAST(r.store_id AS VARCHAR) || '_' || CAST(original_wk_end_date AS VARCHAR)
+         ELSE group_part || '_' || CAST(original_wk_end_date AS VARCHAR) END AS unit_key)
+FROM unit_rows r LEFT JOIN group_part USING (relay_id)""")
+_cte("sync_units0", "sync_unit_rows", CTES["units0"][1].replace("unit_rows", "sync_unit_rows"))
+for _i in range(3):
+    _phase(f"sync_units{2 * _i}", f"sync_units{2 * _i + 1}", nm=True, largest_first=_i % 2 == 1)
+    _phase(f"sync_units{2 * _i + 1}", f"sync_units{2 * _i + 2}", nm=False, largest_first=_i % 2 == 1)
+_cte("sync_suggested", "sync_unit_rows sync_units6", """
+SELECT r.*, u.week AS suggested_wk_end_date FROM sync_unit_rows r JOIN sync_units6 u USING (unit_key)""")
+
+# A lower bound on the objective: prices of market hours, then of all hours, from plain running sums.
+_cte("bound_weeks", "units0 open_weeks", """
+SELECT t.wk_end_date AS week, total_cap, nm_cap, coalesce(h, 0) AS hours, coalesce(n, 0) AS nm_hours
+FROM open_weeks t LEFT JOIN (SELECT week, sum(hours) AS h, sum(nm_hours) AS n FROM units0 GROUP BY 1) l ON l.week = t.wk_end_date""")
+_cte("market_price", "units0 bound_weeks", """
+SELECT w.week, least(coalesce(min(ratio) FILTER (WHERE upto >= w.nm_hours - nm_cap), 10), 10) AS b
+FROM bound_weeks w LEFT JOIN (
+  SELECT week, ratio, sum(nm_hours) OVER (PARTITION BY week ORDER BY ratio) AS upto
+  FROM (SELECT *, size * CAST(0.1 AS DOUBLE) / nm_hours AS ratio FROM units0 WHERE movable AND nm_hours > 0)) u ON u.week = w.week
+WHERE w.nm_hours > nm_cap GROUP BY 1""")
+_cte("market_priced", "units0 market_price", """
+SELECT u.*, coalesce(b, 0) AS b, size * CAST(0.1 AS DOUBLE) AS cost FROM units0 u LEFT JOIN market_price USING (week)""")
+_cte("hour_price", "market_priced bound_weeks", """
+SELECT w.week, least(coalesce(min(ratio) FILTER (WHERE upto >= w.hours - total_cap), 10), 10) AS a
+FROM bound_weeks w LEFT JOIN (
+  SELECT week, ratio, sum(hours) OVER (PARTITION BY week ORDER BY ratio) AS upto
+  FROM (SELECT *, greatest(0, cost - b * nm_hours) / hours AS ratio FROM market_priced WHERE movable AND hours > 0)) u ON u.week = w.week
+WHERE w.hours > total_cap GROUP BY 1""")
+
+
+def _paid(a: str, b: str) -> str:
+    stay = f"({a} * u.hours + {b} * u.nm_hours)"
+    return f"sum(CASE WHEN movable THEN least({stay}, cost) ELSE {stay} END)"
+
+
+_cte("bound", "market_priced hour_price bound_weeks overage open_weeks", f"""
+SELECT round(greatest(ab - ca - cb, a_only - ca + (nm - nm_cap) * 10, b_only - cb + (hours - cap) * 10,
+                      (hours - cap) * 10 + (nm - nm_cap) * 10) + closed, 2) AS bound
+FROM (SELECT {_paid('a', 'u.b')} AS ab, {_paid('a', '0')} AS a_only, {_paid('0', 'u.b')} AS b_only
+      FROM (SELECT u.*, coalesce(p.a, 0) AS a FROM market_priced u JOIN bound_weeks w USING (week) LEFT JOIN hour_price p USING (week)) u),
+     (SELECT sum(coalesce(a, 0) * total_cap) AS ca, sum(coalesce(b, 0) * nm_cap) AS cb, sum(total_cap) AS cap, sum(nm_cap) AS nm_cap,
+             sum(hours) AS hours, sum(nm_hours) AS nm
+      FROM bound_weeks LEFT JOIN hour_price USING (week) LEFT JOIN market_price USING (week)),
+     (SELECT coalesce(sum(total_over * 10 + nm_over * 10), 0) AS closed FROM overage
+      WHERE wk_end_date NOT IN (SELECT wk_end_date FROM open_weeks))""")
+
 _cte("suggested", "unit_rows units6", """
 SELECT r.*, u.week AS suggested_wk_end_date FROM unit_rows r JOIN units6 u USING (unit_key)""")
 _cte("moved", "suggested", "SELECT * FROM suggested WHERE suggested_wk_end_date <> original_wk_end_date")
@@ -292,7 +350,6 @@ SELECT m.relay_id, m.store_id, m.store_type, m.relay_hours, m.original_wk_end_da
        a.req_id, a.req_type, a.req_status, a.req_week,
        coalesce(a.req_status = 'Pending' AND m.suggested_wk_end_date = a.req_week, false) AS matches_request
 FROM moved m LEFT JOIN asks a USING (relay_id)""")
-_cte("member", "groups", "SELECT DISTINCT adjustment_group_id, relay_id FROM groups")
 
 
 def _sync(source: str, week: str) -> str:
@@ -310,6 +367,10 @@ GROUP BY 1, 2 HAVING min(n) <> max(n)"""
 # The member table of the fan-out query carries its own group column.
 _cte("placed_bare", "placed", "SELECT relay_id, store_id, original_wk_end_date FROM placed")
 _cte("suggested_bare", "suggested", "SELECT relay_id, store_id, suggested_wk_end_date FROM suggested")
+_cte("instances_bare", "instances", "SELECT relay_id, store_id, original_wk_end_date FROM instances")
+_cte("tied_bare", "sync_suggested", "SELECT relay_id, store_id, suggested_wk_end_date FROM sync_suggested")
+_cte("sync_before", "instances_bare member", _sync("instances_bare", "original_wk_end_date"))
+_cte("sync_tied", "tied_bare member", _sync("tied_bare", "suggested_wk_end_date"))
 _cte("sync_after", "suggested_bare member", _sync("suggested_bare", "suggested_wk_end_date"))
 
 _cte("store_perf", "scored", f"""
@@ -650,6 +711,17 @@ _q("cannot_move_violations", "instances", """
 SELECT relay_id, store_id, CAST(original_wk_end_date AS VARCHAR) AS original_wk_end_date, CAST(requested_move_wk AS VARCHAR) AS suggested_wk_end_date
 FROM instances WHERE status = 'Pending' AND requested_move_wk <> original_wk_end_date AND cannot_move""")
 _q("group_sync_violations", "placed_bare member", f"SELECT * REPLACE ({_iso('wk_end_date')}) FROM ({_sync('placed_bare', 'original_wk_end_date')})")
+_q("rebalance_bound", "objectives bound", """
+SELECT objective, bound, round(objective - bound, 2) AS gap, round((objective - bound) * 100 / objective, 4) AS gap_pct
+FROM objectives, bound WHERE schedule = 'Suggested'""")
+_q("group_parts", "group_part", "SELECT * FROM group_part")
+_q("synchronised_schedule", "sync_suggested", f"""
+SELECT relay_id, store_id, {_iso('original_wk_end_date', 'suggested_wk_end_date')}, relay_hours FROM sync_suggested""")
+_q("group_sync_after_plan", "sync_before sync_after sync_tied suggested sync_suggested member", "UNION ALL".join(f"""
+SELECT '{label}' AS plan, (SELECT count(*) FROM sync_before) AS before, (SELECT count(*) FROM {after}) AS after, count(*) AS split_weeks
+FROM (SELECT m.adjustment_group_id, original_wk_end_date FROM {plan} s JOIN member m ON m.relay_id = s.relay_id
+      GROUP BY 1, 2 HAVING count(DISTINCT suggested_wk_end_date) > 1)
+""" for label, after, plan in (("First group", "sync_after", "suggested"), ("Tied groups", "sync_tied", "sync_suggested"))))
 _q("rebalance", "suggested", f"""
 SELECT relay_id, store_id, {_iso('original_wk_end_date', 'suggested_wk_end_date')}, relay_hours, store_type, cannot_move FROM suggested""")
 _q("fallback_schedule", "placed", """

@@ -72,12 +72,15 @@ class Context:
         load = materialize(schedule.weekly_load(instances, self.params), "load")
         return materialize(self.thresholds(load), "thresholds")
 
-    def plan(self) -> tuple[DataFrame, DataFrame]:
+    @property
+    def open_from(self):
+        return calendar.first_open_week(self.tables.week_bounds, self.params)
+
+    def plan(self, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Stored thresholds and the suggested schedule."""
         rows = self.instances()
         limits = self.limits(rows)
-        open_from = calendar.first_open_week(self.tables.week_bounds, self.params)
-        return limits, rebalance.rebalance(rows, limits, self.params, open_from=open_from)
+        return limits, rebalance.rebalance(rows, limits, self.params, open_from=self.open_from, parts=parts)
 
     def benefit(self) -> DataFrame:
         limits, suggested = self.plan()
@@ -593,6 +596,36 @@ def rebalance_schedule(c):
 QUERIES["rebalance"] = QUERIES.pop("rebalance_schedule")
 
 
+@query
+def rebalance_bound(c):
+    """Cost of the suggested schedule, a lower bound on that of any, and the gap."""
+    limits, suggested = c.plan()
+    suggested = materialize(suggested, "suggested")
+    cost = schedule.schedule_objective(suggested, limits, c.params, "Suggested").select("objective")
+    bound = rebalance.objective_bound(suggested, limits, c.params, open_from=c.open_from)
+    return rebalance.optimality_gap(cost, bound)
+
+
+@query
+def group_parts(c):
+    return rebalance.group_parts(c.tables.groups)
+
+
+@query
+def synchronised_schedule(c):
+    """The suggested schedule if groups with common relays move together."""
+    parts = materialize(rebalance.group_parts(c.tables.groups), "group-parts")
+    return c.plan(parts)[1].select("relay_id", "store_id", "original_wk_end_date", "suggested_wk_end_date", "relay_hours")
+
+
+@query
+def group_sync_after_plan(c):
+    """Group weeks out of step before and after either plan."""
+    parts = materialize(rebalance.group_parts(c.tables.groups), "group-parts")
+    plans = {"First group": c.plan()[1], "Tied groups": c.plan(parts)[1]}
+    return schedule.group_sync_changes({k: materialize(v, "plan") for k, v in plans.items()}, c.tables.groups)
+
+
 @query
 def fallback_schedule(c):
     return schedule.fallback_schedule(c.placed).select(
