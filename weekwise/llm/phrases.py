@@ -4,10 +4,10 @@ Texts are cut into pieces at sentence signs and line ends, pieces into
 words. A suffix is what starts at a word and ends with its piece, five words
 at most. Counts are per language.
 
-1. One pass counts words and neighbouring pairs, first inside a chunk of
-   text, then globally. The frequent pairs fill a table of `cells` counters,
-   the only thing that is broadcast.
-2. A second pass takes the suffixes whose pairs are all frequent; equal ones
+1. One pass counts words and one the neighbouring pairs of frequent words,
+   first inside a chunk of text, then globally. Frequent words, then frequent
+   pairs fill a table of `cells` counters, the only thing that is broadcast.
+2. A third pass takes the suffixes whose pairs are all frequent; equal ones
    of a chunk travel as one row with a weight, to the task of their two
    leading words. A pair with more than `run` occurrences is dealt to as many
    tasks as it needs, by the rest of the suffix.
@@ -20,7 +20,7 @@ at most. Counts are per language.
 4. Scores, cuts and the dropping of contained phrases are joins between
    tables of frequent phrases.
 
-A cell that several pairs share only lets more suffixes through or deals them to
+A cell that several words or pairs share only lets more through or deals it to
 more tasks; counts are exact. A task holds one run at a time, with equal
 suffixes folded whenever it grows.
 
@@ -137,8 +137,13 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0]).hashes()
 
 
-def _pair_hashes(first: np.ndarray, second: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    return mix(first * _FIRST + second * _SECOND + lang)
+def _keys(words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
+    """Hash of a word or of a pair of words in a language."""
+    return mix(lang + sum(h * factor for h, factor in zip(words, (_FIRST, _SECOND))))
+
+
+def _at(key: np.ndarray, cells: int) -> np.ndarray:
+    return (key % np.uint64(cells)).astype(np.int64)
 
 
 def _phrase(vocabulary: pa.Array, columns: list[np.ndarray]) -> pa.Array:
@@ -149,45 +154,52 @@ def _phrase(vocabulary: pa.Array, columns: list[np.ndarray]) -> pa.Array:
     return parts[0].cast(pa.string())
 
 
-def counted_heads(docs: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, words, n): frequent words and pairs, and per language a row of 0 words with the count of all."""
+def counted(docs: DataFrame, p: PhraseParams, frequent_words: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, words, n) of frequent words, or, given the table of those, of frequent pairs.
+
+    With the words comes a row of 0 words per language, which counts all of them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(None if frequent_words is None else frequent_words.tobytes())
+    cells = p.cells
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, names = _langs(batch.column(0))
+            salt = _lang_hashes(names)
             for lo, t in texts(batch.column(1), lower=True, limit=CHUNK):
-                p = pieces(t)
-                lang, top = codes[lo + p.text], max(len(p.vocabulary), len(names))
-                pair = np.flatnonzero(p.joined)
-                for at, columns in (
-                    (np.arange(len(p.codes)), []),
-                    (np.arange(len(p.codes)), [p.codes]),
-                    (pair, [p.codes[pair], p.codes[pair + 1]]),
-                ):
-                    one, n = distinct([lang[at], *columns], top)
-                    phrase = _phrase(p.vocabulary, [c[one] for c in columns]) if columns else pa.array([""] * len(one))
-                    rows = [names.take(pa.array(lang[at][one])), phrase, np.full(len(one), len(columns), np.int32), n]
+                w = pieces(t)
+                lang, top = codes[lo + w.text], max(len(w.vocabulary), len(names))
+                if shared.value is None:
+                    kinds = [(lang, []), (lang, [w.codes])]
+                else:
+                    h = _word_hashes(w.vocabulary)[w.codes]
+                    often = np.frombuffer(shared.value, np.uint16)[_at(_keys([h], salt[lang]), cells)] > 0
+                    at = np.flatnonzero(w.joined[:-1] & often[:-1] & often[1:])
+                    kinds = [(lang[at], [w.codes[at], w.codes[at + 1]])]
+                for langs, columns in kinds:
+                    one, n = distinct([langs, *columns], top)
+                    phrase = _phrase(w.vocabulary, [c[one] for c in columns]) if columns else pa.array([""] * len(one))
+                    rows = [names.take(pa.array(langs[one])), phrase, np.full(len(one), len(columns), np.int32), n]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["lang", "phrase", "words", "n"])
 
     rows = docs.mapInArrow(count, "lang string, phrase string, words int, n bigint")
     total = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return total.filter((F.col("n") >= least) | (F.col("words") == 0))
+    return total.filter((F.col("n") >= p.least) | (F.col("words") == 0))
 
 
-def routes(heads: DataFrame, p: PhraseParams) -> np.ndarray:
-    """Per cell: 0 if no frequent pair falls there, else the number of tasks that its pairs are dealt to."""
+def table_of(phrases: DataFrame, words: int, p: PhraseParams) -> np.ndarray:
+    """Per cell: 0 if no frequent phrase of one or two words falls there, else the tasks its occurrences are dealt to."""
     cells = p.cells
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, names = _langs(batch.column(0))
             h = _word_hashes(batch.column(1))
-            pair = _pair_hashes(h[::2], h[1::2], _lang_hashes(names)[codes])
-            at = (pair % np.uint64(cells)).astype(np.int64)
+            at = _at(_keys([h[k::words] for k in range(words)], _lang_hashes(names)[codes]), cells)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(2)], ["cell", "n"])
 
-    pairs = heads.filter("words = 2").select("lang", "phrase", "n")
-    sums = pairs.mapInArrow(cell, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = phrases.filter(F.col("words") == words).select("lang", "phrase", "n")
+    sums = rows.mapInArrow(cell, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(cells, np.uint16)  # at most `cells` rows came
     table[sums["cell"].to_numpy(np.int64)] = np.minimum(-(-sums["n"].to_numpy(np.int64) // p.run), 65535)
     return table
@@ -208,8 +220,8 @@ def suffixes(docs: DataFrame, table: np.ndarray, p: PhraseParams) -> DataFrame:
                 if not len(w.codes):
                     continue
                 h, lang = _word_hashes(w.vocabulary)[w.codes], codes[lo + w.text]
-                pair = _pair_hashes(h, np.r_[h[1:], h[:1]], salt[lang])
-                tasks = dealt[(pair % np.uint64(cells)).astype(np.int64)]
+                pair = _keys([h, np.r_[h[1:], h[:1]]], salt[lang])
+                tasks = dealt[_at(pair, cells)]
                 alive = w.joined & (tasks > 0)
                 length, run = np.ones(len(alive), np.int64), np.ones(len(alive), bool)
                 for k in range(longest - 1):
@@ -347,8 +359,10 @@ def frequent_phrases(docs: DataFrame, p: PhraseParams = PhraseParams(), scratch:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = only(docs, lang="lang", text="text")
-    heads = scratch.keep(counted_heads(rows, p.least), "heads")
-    return heads.union(scratch.keep(mined(suffixes(rows, routes(heads, p), p), p), "deep-phrases"))
+    words = scratch.keep(counted(rows, p), "words")
+    pairs = scratch.keep(counted(rows, p, table_of(words, 1, p)), "pairs")
+    longer = scratch.keep(mined(suffixes(rows, table_of(pairs, 2, p), p), p), "longer")
+    return words.union(pairs).union(longer)
 
 
 def collocations(docs: DataFrame, p: PhraseParams = PhraseParams(), scratch: Scratch | None = None) -> DataFrame:
