@@ -750,3 +750,26 @@ FROM events GROUP BY 1, 2""")
 _q("stream_latest", "", """
 SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+
+_cte("deliveries", "requests", """
+SELECT *, unnest(CASE WHEN k % 17 = 0 THEN [span + 2] WHEN k % 10 = 0 THEN [span, span, span + 1] ELSE [span] END) AS delivery
+FROM (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS k, CAST(year(request_ts) // 2 AS INTEGER) AS span FROM requests)""")
+# What earlier deliveries have seen, less sixty days, is too late.
+_cte("marks", "deliveries", """
+SELECT delivery, max(max(request_ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 60 DAY AS mark
+FROM deliveries GROUP BY 1""")
+_cte("arrivals", "deliveries marks", """
+SELECT d.*, coalesce(request_ts <= mark, false) AS late,
+       row_number() OVER (PARTITION BY request_id, coalesce(request_ts <= mark, false) ORDER BY d.delivery) AS nth
+FROM deliveries d JOIN marks USING (delivery)""")
+_q("stream_request_intake", "arrivals", """
+SELECT delivery, count(*) AS arrived, count(*) FILTER (WHERE late) AS late, count(*) FILTER (WHERE NOT late AND nth > 1) AS repeated,
+       count(*) FILTER (WHERE NOT late AND nth = 1) AS taken
+FROM arrivals GROUP BY 1""")
+_q("stream_requests", "arrivals bridge", """
+SELECT request_type, status, count(*) AS requests, CAST(sum(coalesce(n_stores, 0)) AS BIGINT) AS stores,
+       count(*) FILTER (WHERE w.relay_id IS NOT NULL) AS in_own_week
+FROM (SELECT * FROM arrivals WHERE NOT late AND nth = 1) a
+LEFT JOIN (SELECT relay_id, count(DISTINCT store_id) AS n_stores FROM bridge GROUP BY 1) b USING (relay_id)
+LEFT JOIN (SELECT DISTINCT relay_id, wk_end_date FROM bridge) w ON w.relay_id = a.relay_id AND w.wk_end_date = a.requested_move_wk
+GROUP BY 1, 2""")

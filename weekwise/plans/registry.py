@@ -670,3 +670,18 @@ def stream_counts(c):
 @query
 def stream_latest(c):
     return live.run_updates(live.latest_by_key(_events(c), "user_id"), ["user_id"])
+
+
+def _deliveries(c):
+    feed = materialize(adapters.request_deliveries(c.tables.requests), "deliveries")
+    return live.run_deliveries(feed, c.tables.bridge, "delivery")
+
+
+@query
+def stream_requests(c):
+    return live.request_summary(_deliveries(c)[0])
+
+
+@query
+def stream_request_intake(c):
+    return _deliveries(c)[1]

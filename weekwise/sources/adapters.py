@@ -154,6 +154,18 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_deliveries(requests: DataFrame) -> DataFrame:
+    """Requests as they reach a stream: `delivery` counts spans of two years.
+
+    Every 17th request comes two deliveries late; of the others every tenth
+    comes twice in its own delivery and once more in the next one.
+    """
+    key = F.substring_index("request_id", "_", -1).cast("long")
+    span = F.floor(F.year("request_ts") / 2).cast("int")
+    numbers = F.when(key % 17 == 0, F.array(span + 2)).when(key % 10 == 0, F.array(span, span, span + 1))
+    return requests.withColumn("delivery", F.explode(F.coalesce(numbers, F.array(span))))
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small parts work in groups; the mid-sized among them are in a second, wider group."""
     part = raw(spark, sf_dir, "part").filter(F.col("p_size") <= 10)
