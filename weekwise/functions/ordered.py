@@ -74,33 +74,75 @@ def running_before(
 
 
 def exact_percentile(df: DataFrame, value: str, share: float, scale: int = 2, fanout: int = 4096) -> float | None:
-    """Exact percentile with linear interpolation over all non-null values.
+    """Exact percentile with linear interpolation over all non-null values."""
+    return exact_percentiles(df, [value], share, scale, fanout)[0]
 
-    Values count as whole steps of 10^-scale. Equal values are counted
-    together first, then the value range around the wanted rank is split
-    `fanout` ways until a part is one step wide. Each round is a plain
-    aggregation whose result has at most `fanout` rows and of which one row
-    reaches the driver; four rounds cover 2^48 steps.
+
+def exact_percentiles(
+    df: DataFrame, values: list[str], share: float, scale: int = 2, fanout: int = 4096, accuracy: int = 1000
+) -> list[float | None]:
+    """Exact percentile of each column, with linear interpolation over its non-null values, in two passes over the rows.
+
+    Values count as whole steps of 10^-scale. The first pass merges one
+    quantile sketch per column, which gives a bracket around the rank that is
+    wanted. The second counts what lies below the bracket and, by value,
+    what lies inside. The sketch only chooses the bracket: if the rank is not
+    in it, the column is counted over its whole range.
     """
+    steps = [(F.col(c).cast(f"decimal(28,{scale})") * F.lit(10**scale)).cast("long") for c in values]
+    margin = 2.0 / accuracy
+    edges = [0.0, max(0.0, share - margin), min(1.0, share + margin), 1.0]
+    sketch = df.agg(
+        *[F.percentile_approx(v, edges, accuracy).alias(f"q{i}") for i, v in enumerate(steps)],
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(steps)],
+    ).first()
+    totals = [sketch[f"n{i}"] for i in range(len(values))]
+    brackets = [sketch[f"q{i}"][1:3] if n else (0, 0) for i, n in enumerate(totals)]
+    counts = _bracket_counts(df, steps, brackets)
+    found: list[float | None] = []
+    for i, total in enumerate(totals):
+        if not total:
+            found.append(None)
+            continue
+        own = counts.filter(F.col("which") == i)
+        below, inside = own.agg(
+            F.coalesce(F.sum(F.when(F.col("side") < 0, F.col("n"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)),
+        ).first()
+        position = Decimal(str(share)) * (total - 1)
+        rank, part = int(position), position % 1
+        last = rank + 1 if part else rank
+        if not below <= rank <= last < below + inside:
+            own = _bracket_counts(df, [F.lit(None).cast("long")] * i + [steps[i]], [(0, 0)] * i + [(-(2**63), 2**63 - 1)])
+            own, below = own.filter(F.col("which") == i), 0
+        lower, upper = _ranked(own.filter("side = 0"), below, rank, bool(part), fanout)
+        exact = (lower + (upper - lower) * part) * Decimal(1).scaleb(-scale)
+        found.append(float(exact.quantize(Decimal(1).scaleb(-scale - 4), rounding=ROUND_HALF_UP)))
+    return found
+
+
+def _bracket_counts(df: DataFrame, steps: list[Column], brackets: list[tuple[int, int]]) -> DataFrame:
+    """(which, side, v, n): rows below (-1), inside (0) and above (1) the bracket of each column, by value inside it."""
     from weekwise.session import materialize
 
-    step = Decimal(1).scaleb(-scale)
-    counts = materialize(
-        df.filter(F.col(value).isNotNull())
-        .select((F.col(value).cast(f"decimal(28,{scale})") * F.lit(10**scale)).cast("long").alias("v"))
-        .groupBy("v")
-        .agg(F.count("*").alias("n")),
-        "value-counts",
-    )
-    low, high, total = counts.agg(F.min("v"), F.max("v"), F.sum("n")).first()
-    if not total:
-        return None
-
-    position = Decimal(str(share)) * (total - 1)
-    rank, part = int(position), position % 1
-    lo, hi, before, upto = low, high, 0, total
-    while lo < hi:
-        width = math.ceil((hi - lo + 1) / fanout)
+    sides = []
+    for i, (v, (lo, hi)) in enumerate(zip(steps, brackets)):
+        side = F.when(v < lo, -1).when(v > hi, 1).when(v.isNotNull(), 0)
+        sides.append(F.struct(F.lit(i).alias("which"), side.alias("side"), F.when(side == 0, v).alias("v")))
+    rows = df.select(F.explode(F.array(*sides)).alias("s")).select("s.*").filter("side IS NOT NULL")
+    return materialize(rows.groupBy("which", "side", "v").agg(F.count("*").alias("n")), "value-counts")
+
+
+def _ranked(counts: DataFrame, before: int, rank: int, with_next: bool, fanout: int) -> tuple[int, int]:
+    """Values at `rank`, counted from 0, and if wanted at the next rank; `before` rows lie below `counts`.
+
+    The range is split `fanout` ways until one value is left. Each round is
+    an aggregation with at most `fanout` rows, of which one reaches the driver.
+    """
+    lo, hi = counts.agg(F.min("v"), F.max("v")).first()
+    upto = before
+    while True:
+        width = max(1, math.ceil((hi - lo + 1) / fanout))
         parts = (
             counts.filter(F.col("v").between(lo, hi))
             .groupBy(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long").alias("part"))
@@ -114,11 +156,11 @@ def exact_percentile(df: DataFrame, value: str, share: float, scale: int = 2, fa
             .select("lo", "hi", F.col("upto") - F.col("n"), "upto")
             .first()
         )
-    upper = lo
-    if part and rank + 1 >= upto:
-        upper = counts.filter(F.col("v") > lo).agg(F.min("v")).first()[0]
-    exact = (lo + (upper - lo) * part) * step
-    return float(exact.quantize(step / 10_000, rounding=ROUND_HALF_UP))
+        if lo == hi:
+            break
+    if with_next and rank + 1 >= upto:
+        return lo, counts.filter(F.col("v") > lo).agg(F.min("v")).first()[0]
+    return lo, lo
 
 
 def weighted_threshold(

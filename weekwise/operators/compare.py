@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekwise.functions.columns import exact_mean, exact_sum, half_up, month_of
-from weekwise.functions.ordered import exact_percentile
+from weekwise.functions.ordered import exact_percentiles
 from weekwise.operators.kpis import store_month_cost
 from weekwise.operators.schedule import moved, weekly_load
 from weekwise.params import Params
@@ -96,33 +96,31 @@ def new_relays(relays: DataFrame) -> DataFrame:
     )
 
 
-def before_after(baseline: DataFrame, optimized: DataFrame, cost: str, params: Params, share: float = 0.8) -> DataFrame:
+def before_after(costs: DataFrame, params: Params, share: float = 0.8) -> DataFrame:
     """Total, mean and number of rows above the own 80th percentile, per scenario in long form.
 
-    Each input has one cost column; the percentile is exact.
+    `costs` has a column per scenario; percentiles are exact, and each of the
+    three passes over the rows serves both scenarios.
     """
-
-    def one(df: DataFrame, scenario: str) -> DataFrame:
-        cut = exact_percentile(df, cost, share, fanout=params.percentile_fanout)
-        return df.agg(
-            exact_sum(cost).alias("total_cost"),
-            exact_mean(cost).alias("mean_cost"),
-            F.count(F.when(F.col(cost) > F.lit(cut), 1)).cast("double").alias("rows_above_p80"),
-        ).select(F.lit(scenario).alias("scenario"), "*")
-
-    both = one(baseline, "Baseline").unionByName(one(optimized, "Optimized"))
-    return both.unpivot("scenario", ["total_cost", "mean_cost", "rows_above_p80"], "metric", "value")
-
-
-def schedule_costs(schedule: DataFrame, scored: DataFrame, params: Params) -> DataFrame:
+    scenarios = {"Baseline": "baseline_cost", "Optimized": "optimized_cost"}
+    cuts = exact_percentiles(costs, list(scenarios.values()), share, fanout=params.percentile_fanout)
+    found = []
+    for (name, cost), cut in zip(scenarios.items(), cuts):
+        measures = {
+            "total_cost": exact_sum(cost),
+            "mean_cost": exact_mean(cost),
+            "rows_above_p80": F.count(F.when(F.col(cost) > F.lit(cut), 1)).cast("double"),
+        }
+        found += [F.struct(F.lit(name).alias("scenario"), F.lit(m).alias("metric"), e.alias("value")) for m, e in measures.items()]
+    return costs.agg(F.array(*found).alias("all")).select(F.explode("all").alias("m")).select("m.*")
+
+
+def schedule_costs(schedule: DataFrame, params: Params) -> DataFrame:
     """Cost of every scheduled row, and the same plus the move cost where it moved."""
-    costs = scored.select("relay_id", "store_id", "original_wk_end_date", "total_cost")
     was_moved = ~F.col("suggested_wk_end_date").eqNullSafe(F.col("original_wk_end_date"))
-    return schedule.join(costs, ["relay_id", "store_id", "original_wk_end_date"]).select(
-        F.col("total_cost").alias("baseline_cost"),
-        half_up(F.col("total_cost") + F.when(was_moved, F.lit(params.move_cost)).otherwise(F.lit(0.0)), 2).alias(
-            "optimized_cost"
-        ),
+    moving = F.when(was_moved, F.lit(params.move_cost)).otherwise(F.lit(0.0))
+    return schedule.select(
+        F.col("total_cost").alias("baseline_cost"), half_up(F.col("total_cost") + moving, 2).alias("optimized_cost")
     )
 
 

@@ -20,11 +20,12 @@ from weekwise.params import Params
 
 REQUIRED = ["relay_id", "store_id", "original_wk_end_date", "relay_hours"]
 OPTIONAL = ["store_type", "cannot_move", "adjustment_group_id", "requested_move_wk", "status"]
+EXTRA = ["total_cost"]  # carried along where instances have it
 
 
 def fallback_schedule(instances: DataFrame) -> DataFrame:
     """Schedule that leaves every instance where it is."""
-    return project_existing(instances, REQUIRED, OPTIONAL).withColumn(
+    return project_existing(instances, REQUIRED, [*OPTIONAL, *EXTRA]).withColumn(
         "suggested_wk_end_date", F.col("original_wk_end_date")
     )
 

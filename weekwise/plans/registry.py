@@ -6,13 +6,14 @@ Queries read whole tables. Dates leave as ISO text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekwise.functions.columns import project_existing
 from weekwise.operators import calendar, compare, forecast, kpis, master, quality, rebalance, requests, schedule
 from weekwise.params import Params
 from weekwise.session import configure, materialize
@@ -62,10 +63,13 @@ class Context:
     def thresholds(self, load: DataFrame) -> DataFrame:
         return schedule.thresholds_for(self.tables, self.params, schedule.caps_from_load(load))
 
-    def instances(self) -> DataFrame:
+    def instances(self, with_cost: bool = False) -> DataFrame:
         """Stored schedule columns of the instances; the adapters group by the instance key."""
-        rows = master.instances(self.tables, self.params, unique_keys=True)
-        return materialize(rows.select(*schedule.REQUIRED, *schedule.OPTIONAL), "instances")
+        t = self.tables
+        if with_cost:
+            t = replace(t, relays=master.move_cost(master.with_hours(t.relays), self.params))
+        rows = master.instances(t, self.params, unique_keys=True)
+        return materialize(project_existing(rows, schedule.REQUIRED, [*schedule.OPTIONAL, *(schedule.EXTRA if with_cost else ())]), "instances")
 
     def limits(self, instances: DataFrame) -> DataFrame:
         """Stored weekly thresholds for a stored schedule."""
@@ -76,9 +80,9 @@ class Context:
     def open_from(self):
         return calendar.first_open_week(self.tables.week_bounds, self.params)
 
-    def plan(self, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def plan(self, parts: DataFrame | None = None, with_cost: bool = False) -> tuple[DataFrame, DataFrame]:
         """Stored thresholds and the suggested schedule."""
-        rows = self.instances()
+        rows = self.instances(with_cost)
         limits = self.limits(rows)
         return limits, rebalance.rebalance(rows, limits, self.params, open_from=self.open_from, parts=parts)
 
@@ -348,14 +352,8 @@ def seasonal_patterns(c):
 
 @query
 def before_after(c):
-    _, suggested = c.plan()
-    costs = materialize(compare.schedule_costs(suggested, c.scored, c.params), "costs")
-    return compare.before_after(
-        costs.select(F.col("baseline_cost").alias("cost")),
-        costs.select(F.col("optimized_cost").alias("cost")),
-        "cost",
-        c.params,
-    )
+    _, suggested = c.plan(with_cost=True)
+    return compare.before_after(materialize(compare.schedule_costs(suggested, c.params), "costs"), c.params)
 
 
 @query
