@@ -21,7 +21,8 @@ of all tokens. Tokens are ordered by a sketch of their counts, rare ones first.
    block gives back a forest, at most one link for each of its rows.
 
 All bounds hold for every pair, so no link is lost; the sketch, which holds
-32 MB at most, only decides how early rare tokens come.
+64 MB at most, only decides how early rare tokens come. Full sets are made
+from the texts where they are needed, behind a bitmap of the ids in question.
 
 Defined results
 - null, empty and white-space texts: empty set, n_shingles 0, linked with
@@ -50,7 +51,7 @@ from pyspark.sql import functions as F
 from weekwise.llm.components import components
 from weekwise.llm.frames import only
 from weekwise.llm.minhash import shingle_sets
-from weekwise.llm.words import texts
+from weekwise.llm.words import mix, texts
 from weekwise.session import Scratch
 
 
@@ -58,11 +59,12 @@ from weekwise.session import Scratch
 class JoinParams:
     words: int = 3
     percent: int = 90
-    max_cells: int = 1 << 25
+    max_cells: int = 1 << 27
     group_members: int = 256
     group_tokens: int = 1 << 19
     block_queries: int = 512
     block_tokens: int = 1 << 20
+    id_bits: int = 1 << 25
 
     def probed(self, n: int) -> int:
         """Prefix of a set of n that meets every linked set of n tokens at most in its indexed prefix."""
@@ -79,8 +81,14 @@ def _cells(tokens: np.ndarray, width: int) -> np.ndarray:
     return (tokens >> np.uint64(8)) & np.uint64(width - 1)
 
 
+def _levels(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Levels of cells; a byte holds two of them."""
+    at = cell.astype(np.int64)
+    return (table[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & 15
+
+
 def token_levels(docs: DataFrame, width: int, p: JoinParams) -> bytes:
-    """Per cell of a count sketch: the logarithm of the number of tokens that fell there."""
+    """Count sketch: for each cell half the logarithm's steps of the number of tokens that fell there, up to 15."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -90,17 +98,21 @@ def token_levels(docs: DataFrame, width: int, p: JoinParams) -> bytes:
             held.clear()
             block = (cell // np.uint64(BLOCK)).astype(np.int32)
             cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(cell)]
-            offset, n = (cell % np.uint64(BLOCK)).astype(np.uint16), np.minimum(n, 65535).astype(np.uint16)
+            offset, n = (cell % np.uint64(BLOCK)).astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
             parts = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in (offset, n)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(block[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in parts)], ["block", "cells", "counts"]
             )
 
+        size = 0
         for batch in batches:
             for _, t in texts(batch.column(0), lower=True):
-                held += [_cells(s, width) for s in shingle_sets(t, p.words) if len(s)]
-                if sum(map(len, held)) > 1_000_000:
+                found = [_cells(s, width) for s in shingle_sets(t, p.words) if len(s)]
+                held += found
+                size += sum(map(len, found))
+                if size > 1_000_000:
                     yield flush()
+                    size = 0
         if held:
             yield flush()
 
@@ -108,8 +120,9 @@ def token_levels(docs: DataFrame, width: int, p: JoinParams) -> bytes:
         at, total = None, np.zeros(BLOCK, np.int64)
 
         def level() -> pa.RecordBatch:
-            levels = np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([levels], pa.binary())], ["block", "levels"])
+            levels = np.minimum(15, np.rint(2 * np.log2(1 + total))).astype(np.uint8)
+            packed = (levels[::2] | (levels[1::2] << 4)).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed], pa.binary())], ["block", "levels"])
 
         for batch in batches:
             for block, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
@@ -117,15 +130,15 @@ def token_levels(docs: DataFrame, width: int, p: JoinParams) -> bytes:
                     if at is not None:
                         yield level()
                     at, total = block, np.zeros(BLOCK, np.int64)
-                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint16)
+                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint8)
         if at is not None:
             yield level()
 
     parts = docs.select("text").mapInArrow(count, "block int, cells binary, counts binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, levels binary")
-    table = bytearray(max(width, BLOCK))
+    table = bytearray(max(width, BLOCK) // 2)
     for block, levels in merged.toLocalIterator():  # at most width / BLOCK rows
-        table[block * BLOCK : (block + 1) * BLOCK] = levels
+        table[block * BLOCK // 2 : (block + 1) * BLOCK // 2] = levels
     return bytes(table)
 
 
@@ -140,7 +153,7 @@ def signed(docs: DataFrame, levels: bytes, width: int, p: JoinParams) -> DataFra
                 sizes, digests, prefixes = [], [], []
                 for s in shingle_sets(t, p.words):
                     # Ascending tokens and a stable sort: one order for all sets.
-                    rank = (level[_cells(s, width).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                    rank = (_levels(level, _cells(s, width)).astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     prefixes.append(s[np.argsort(rank, kind="stable")[: p.probed(len(s))]].tobytes() if len(s) else None)
@@ -184,20 +197,42 @@ def prefix_tokens(single: DataFrame, p: JoinParams) -> DataFrame:
     return rows.mapInArrow(run, f"token bigint, doc_id {kind}, n bigint, indexed boolean")
 
 
-def token_sets(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """(doc_id, n, tokens): the sorted distinct shingle hashes, 8 bytes each; no row for an empty set."""
+def token_sets(docs: DataFrame, ids: DataFrame, p: JoinParams, dealt: bool = True) -> DataFrame:
+    """(doc_id, n, tokens): the sorted distinct shingle hashes, 8 bytes each, of at least the documents in `ids`.
+
+    Texts stay where they are: a bitmap of hashed ids, whatever their number, picks the rows to read. `dealt` rows
+    lie by id, so that a join on the id follows without a shuffle.
+    """
+    wanted = ids.agg(F.count("*")).first()[0]
+    bits = 1 << min(max(10, (16 * wanted).bit_length()), p.id_bits.bit_length() - 1)
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.groupBy(F.shiftright(cell, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(xxhash64(doc_id), 32) AS INT))")).alias("bits"))
+    held = words.toPandas()  # at most id_bits / 32 rows
+    table = np.zeros(bits >> 5, np.int64)
+    table[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint32)
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
             for lo, t in texts(batch.column(1), lower=True):
                 sets = list(shingle_sets(t, p.words))
-                full = pa.array([len(s) > 0 for s in sets])
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                columns = [batch.column(0).slice(lo, len(t)), *columns]
-                yield pa.RecordBatch.from_arrays([c.filter(full) for c in columns], ["doc_id", "n", "tokens"])
+                full = pa.array([len(s) > 0 for s in sets], pa.bool_())
+                columns = [
+                    batch.column(0).slice(lo, len(t)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([int(np.bitwise_xor.reduce(mix(s))) for s in sets], pa.uint64()).view(pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([c.filter(full) for c in columns], ["doc_id", "n", "hash", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, tokens binary")
+    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", cell.alias("cell"))
+    found = rows.mapInArrow(run, f"doc_id {kind}, n bigint, hash bigint, tokens binary")
+    found = found.repartition("doc_id") if dealt else found
+    return found.dropDuplicates(["doc_id", "n", "hash"]).drop("hash")  # one of repeated rows
 
 
 def _reached(both, x, y, percent: int):
@@ -205,7 +240,7 @@ def _reached(both, x, y, percent: int):
     return (both > 0) & (100 * both >= percent * (x + y - both))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
     """The pairs (a, b) that are linked. The join on a, which many pairs share, comes last and can be split by size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +254,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
+    def sets_of(side: str, dealt: bool) -> DataFrame:
+        sets = token_sets(docs, pairs.select(F.col(side).alias("doc_id")).distinct(), p, dealt)
+        return sets.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"set_{side}"))
+
     kind = pairs.schema["a"].dataType.simpleString()
-    of_b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b"))
-    of_a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("set_a"))
-    rows = pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "set_a", "set_b")
+    rows = pairs.select("a", "b").join(sets_of("b", True), "b").join(sets_of("a", False), "a")
+    rows = rows.select("a", "b", "set_a", "set_b")
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -318,7 +356,8 @@ def opened(queries: DataFrame, groups: DataFrame, sets: DataFrame, p: JoinParams
     asked = asked.select("gid", "block", "doc_id", "n", "component", F.lit(True).alias("query"))
     held = groups.join(counts, "gid").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
     held = held.select("gid", "block", "doc_id", "n", "component", F.lit(False).alias("query"))
-    rows = asked.union(held).join(sets, ["doc_id", "n"])
+    rows = asked.union(held).join(sets.withColumnRenamed("n", "size"), "doc_id")
+    rows = rows.filter("n = size")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id")
@@ -346,23 +385,34 @@ def similar(docs: DataFrame, p: JoinParams = JoinParams(), scratch: Scratch | No
     single = signs.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"])
     single = single.dropDuplicates(["digest", "doc_id"])
 
+    single = scratch.keep(single.dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "prefix"), "single")
+
+    # Buckets of two documents or more, of which one is indexed.
     tokens = prefix_tokens(single, p)
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"))
-    shared = shared.filter(F.col("centre") < F.col("last")).drop("last")
+    centre = F.min(F.struct("doc_id", "n"))
+    shared = tokens.groupBy("token").agg(centre.alias("centre"), F.max("doc_id").alias("last"), F.max("indexed").alias("indexed_any"))
+    shared = shared.filter((F.col("centre.doc_id") < F.col("last")) & F.col("indexed_any")).select("token", "centre")
     members = scratch.keep(tokens.join(shared, "token"), "members")
 
-    stars = members.filter(F.col("doc_id") != F.col("centre")).groupBy("doc_id", "centre").agg(F.count("*").alias("votes"))
+    # Stars: of the centres of like size the one that most tokens share.
+    n, m = F.col("n"), F.col("centre.n")
+    stars = members.filter((F.col("doc_id") != F.col("centre.doc_id")) & (100 * F.least(n, m) >= p.percent * F.greatest(n, m)))
+    stars = stars.groupBy("doc_id", F.col("centre.doc_id").alias("centre")).agg(F.count("*").alias("votes"))
     best = stars.groupBy("doc_id").agg(F.min(F.struct((-F.col("votes")).alias("less"), "centre")).alias("best"))
-    pairs = best.select(F.col("best.centre").alias("a"), F.col("doc_id").alias("b"))
-    sets = token_sets(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), p)
-    sets = scratch.keep(sets.dropDuplicates(["doc_id", "tokens"]), "sets")
-    links = scratch.keep(confirmed(pairs, sets, p).distinct(), "links")
+    pairs = scratch.keep(best.select(F.col("best.centre").alias("a"), F.col("doc_id").alias("b")), "pairs")
+    links = scratch.keep(confirmed(pairs, rows, p).distinct(), "links")
     parts = scratch.keep(components(links, scratch), "parts")
+    scratch.drop("single", "pairs")
 
     open_rows = scratch.keep(open_buckets(members, parts), "open-buckets")
+    scratch.drop("members")
     groups = scratch.keep(grouped(open_rows, p), "groups")
     queries = scratch.keep(queries_of_groups(open_rows, groups, p), "queries")
-    links = scratch.keep(links.union(opened(queries, groups, sets, p)).distinct(), "all-links")
+    groups = groups.join(queries.select("gid").distinct(), "gid", "left_semi")
+    sought = queries.select("doc_id").union(groups.select("doc_id")).distinct()
+    found = opened(queries, groups, token_sets(rows, sought, p), p)
+    links = scratch.keep(links.union(found).distinct(), "all-links")
+    scratch.drop("open-buckets", "groups", "queries")
     parts = scratch.keep(components(links, scratch, "all-stars"), "all-parts")
 
     found = signs.drop("prefix").join(classes, "digest", "left")

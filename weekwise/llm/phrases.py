@@ -4,9 +4,10 @@ Texts are cut into pieces at sentence signs and line ends, pieces into
 words. A suffix is what starts at a word and ends with its piece, five words
 at most. Counts are per language.
 
-1. One pass counts words and one the neighbouring pairs of frequent words,
-   first inside a chunk of text, then globally. Frequent words, then frequent
-   pairs fill a table of `cells` counters, the only thing that is broadcast.
+1. One pass counts words, and one the hashes of neighbouring pairs of frequent
+   words, first inside a chunk of text, then globally. Frequent words, then
+   frequent hashes fill a table of `cells` counters, the only thing that is
+   broadcast.
 2. A third pass takes the suffixes whose pairs are all frequent; equal ones
    of a chunk travel as one row with a weight, to the task of their two
    leading words. A pair with more than `run` occurrences is dealt to as many
@@ -20,8 +21,8 @@ at most. Counts are per language.
 4. Scores, cuts and the dropping of contained phrases are joins between
    tables of frequent phrases.
 
-A cell that several words or pairs share only lets more through or deals it to
-more tasks; counts are exact. A task holds one run at a time, with equal
+A hash or cell that several words or pairs share only lets more through or
+deals it to more tasks; counts are exact. A task holds one run at a time, with equal
 suffixes folded whenever it grows.
 
 Defined results
@@ -56,7 +57,7 @@ class PhraseParams:
     absorb_percent: int = 100
     top: int = 2000
     run: int = 1 << 20
-    cells: int = 1 << 20
+    cells: int = 1 << 20  # a power of two
 
 
 CHUNK = 2_000_000
@@ -143,7 +144,7 @@ def _keys(words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
 
 
 def _at(key: np.ndarray, cells: int) -> np.ndarray:
-    return (key % np.uint64(cells)).astype(np.int64)
+    return (key & np.uint64(cells - 1)).astype(np.int64)
 
 
 def _phrase(vocabulary: pa.Array, columns: list[np.ndarray]) -> pa.Array:
@@ -154,59 +155,71 @@ def _phrase(vocabulary: pa.Array, columns: list[np.ndarray]) -> pa.Array:
     return parts[0].cast(pa.string())
 
 
-def counted(docs: DataFrame, p: PhraseParams, frequent_words: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, words, n) of frequent words, or, given the table of those, of frequent pairs.
-
-    With the words comes a row of 0 words per language, which counts all of them.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(None if frequent_words is None else frequent_words.tobytes())
-    cells = p.cells
+def counted_words(docs: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, words, n) of frequent words, and per language a row of 0 words that counts all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, names = _langs(batch.column(0))
-            salt = _lang_hashes(names)
             for lo, t in texts(batch.column(1), lower=True, limit=CHUNK):
                 w = pieces(t)
                 lang, top = codes[lo + w.text], max(len(w.vocabulary), len(names))
-                if shared.value is None:
-                    kinds = [(lang, []), (lang, [w.codes])]
-                else:
-                    h = _word_hashes(w.vocabulary)[w.codes]
-                    often = np.frombuffer(shared.value, np.uint16)[_at(_keys([h], salt[lang]), cells)] > 0
-                    at = np.flatnonzero(w.joined[:-1] & often[:-1] & often[1:])
-                    kinds = [(lang[at], [w.codes[at], w.codes[at + 1]])]
-                for langs, columns in kinds:
-                    one, n = distinct([langs, *columns], top)
+                for columns in ([], [w.codes]):
+                    one, n = distinct([lang, *columns], top)
                     phrase = _phrase(w.vocabulary, [c[one] for c in columns]) if columns else pa.array([""] * len(one))
-                    rows = [names.take(pa.array(langs[one])), phrase, np.full(len(one), len(columns), np.int32), n]
+                    rows = [names.take(pa.array(lang[one])), phrase, np.full(len(one), len(columns), np.int32), n]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["lang", "phrase", "words", "n"])
 
     rows = docs.mapInArrow(count, "lang string, phrase string, words int, n bigint")
     total = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return total.filter((F.col("n") >= p.least) | (F.col("words") == 0))
+    return total.filter((F.col("n") >= least) | (F.col("words") == 0))
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """(key, n) of frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, names = _langs(batch.column(0))
+            key = _keys([_word_hashes(batch.column(1))], _lang_hashes(names)[codes])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2)], ["key", "n"])
+
+    return words.filter("words = 1").select("lang", "phrase", "n").mapInArrow(run, "key bigint, n bigint")
 
 
-def table_of(phrases: DataFrame, words: int, p: PhraseParams) -> np.ndarray:
-    """Per cell: 0 if no frequent phrase of one or two words falls there, else the tasks its occurrences are dealt to."""
+def pair_keys(docs: DataFrame, frequent_words: np.ndarray, p: PhraseParams) -> DataFrame:
+    """(key, n) of frequent pairs, told apart by 64 bits."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_words.tobytes())
     cells = p.cells
 
-    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint16)
         for batch in batches:
             codes, names = _langs(batch.column(0))
-            h = _word_hashes(batch.column(1))
-            at = _at(_keys([h[k::words] for k in range(words)], _lang_hashes(names)[codes]), cells)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(2)], ["cell", "n"])
+            salt = _lang_hashes(names)
+            for lo, t in texts(batch.column(1), lower=True, limit=CHUNK):
+                w = pieces(t)
+                h, lang = _word_hashes(w.vocabulary)[w.codes], salt[codes[lo + w.text]]
+                often = table[_at(_keys([h], lang), cells)] > 0
+                at = np.flatnonzero(w.joined[:-1] & often[:-1] & often[1:])
+                key, n = np.unique(_keys([h[at], h[at + 1]], lang[at]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    total = docs.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return total.filter(F.col("n") >= p.least)
+
 
-    rows = phrases.filter(F.col("words") == words).select("lang", "phrase", "n")
-    sums = rows.mapInArrow(cell, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(cells, np.uint16)  # at most `cells` rows came
+def table_of(keys: DataFrame, p: PhraseParams) -> np.ndarray:
+    """Per cell: 0 if no key falls there, else the number of tasks that its occurrences are dealt to."""
+    at = F.col("key").bitwiseAND(F.lit(p.cells - 1))
+    sums = keys.groupBy(at.alias("cell")).agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(p.cells, np.uint16)  # at most `cells` rows came
     table[sums["cell"].to_numpy(np.int64)] = np.minimum(-(-sums["n"].to_numpy(np.int64) // p.run), 65535)
     return table
 
 
 def suffixes(docs: DataFrame, table: np.ndarray, p: PhraseParams) -> DataFrame:
-    """(route, lang, phrase, partial, weight): distinct suffixes of three words or more, per chunk of text."""
+    """(route, lang, phrase, partial, weight): distinct suffixes of two words or more, per chunk of text."""
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
     cells, longest = p.cells, p.longest
 
@@ -227,7 +240,7 @@ def suffixes(docs: DataFrame, table: np.ndarray, p: PhraseParams) -> DataFrame:
                 for k in range(longest - 1):
                     run = run & np.r_[alive[k:], np.zeros(k, bool)]
                     length += run
-                at = np.flatnonzero(length >= 3)
+                at = np.flatnonzero(length >= 2)
                 end = at + length[at]
                 columns = [np.where(at + k < end, w.codes[np.minimum(at + k, len(w.codes) - 1)], -1) for k in range(longest)]
                 one, n = distinct([lang[at], *columns], max(len(w.vocabulary), len(names)))
@@ -244,7 +257,7 @@ def suffixes(docs: DataFrame, table: np.ndarray, p: PhraseParams) -> DataFrame:
 
 
 def quicksort(columns: list[np.ndarray], weight: np.ndarray, least: int, partial: bool) -> list[tuple[int, int, int]]:
-    """(a row, words, count) of each phrase of three words or more with enough weight.
+    """(a row, words, count) of each phrase of two words or more with enough weight.
 
     `columns` are language and words as numbers, -1 for none. Each partition is (pointers, number of leading
     columns they agree on). With `partial`, only full-length phrases are judged by weight.
@@ -267,7 +280,7 @@ def quicksort(columns: list[np.ndarray], weight: np.ndarray, least: int, partial
         if pivot < 0:
             continue
         count = int(weight[equal].sum())
-        if depth >= 3 and (count >= least or (partial and depth < last)):
+        if depth >= 2 and (count >= least or (partial and depth < last)):
             found.append((int(equal[0]), depth, count))
         if depth < last and (count >= least or partial):
             todo.append((equal, depth + 1))
@@ -282,7 +295,7 @@ def _plain(columns, weight, at, depth, least, partial) -> Iterator[tuple[int, in
         for k, code in enumerate(key):
             if code < 0:
                 break
-            if depth + k >= 3:
+            if depth + k >= 2:
                 groups.setdefault(tuple(key[: k + 1]), [row, depth + k, 0])[2] += w
     for row, words, count in groups.values():
         if count >= least or (partial and words < last):
@@ -317,7 +330,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def mined(rows: DataFrame, p: PhraseParams) -> DataFrame:
-    """(lang, phrase, words, n) of all frequent phrases of three words or more."""
+    """(lang, phrase, words, n) of all frequent phrases of two words or more."""
     least, longest = p.least, p.longest
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +348,7 @@ def mined(rows: DataFrame, p: PhraseParams) -> DataFrame:
                     np.where(length > k, codes[np.minimum(start + k, len(codes) - 1)], -1) for k in range(longest)
                 ]
                 found = quicksort([lang, *columns], part.column("weight").to_numpy(), least, partial)
-                for words in range(3, longest + 1):
+                for words in range(2, longest + 1):
                     some = [(row, n) for row, k, n in found if k == words]
                     if some:
                         at = np.array([row for row, _ in some])
@@ -359,10 +372,9 @@ def frequent_phrases(docs: DataFrame, p: PhraseParams = PhraseParams(), scratch:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = only(docs, lang="lang", text="text")
-    words = scratch.keep(counted(rows, p), "words")
-    pairs = scratch.keep(counted(rows, p, table_of(words, 1, p)), "pairs")
-    longer = scratch.keep(mined(suffixes(rows, table_of(pairs, 2, p), p), p), "longer")
-    return words.union(pairs).union(longer)
+    words = scratch.keep(counted_words(rows, p.least), "words")
+    pairs = pair_keys(rows, table_of(word_keys(words), p), p)
+    return words.union(scratch.keep(mined(suffixes(rows, table_of(pairs, p), p), p), "longer"))
 
 
 def collocations(docs: DataFrame, p: PhraseParams = PhraseParams(), scratch: Scratch | None = None) -> DataFrame:
