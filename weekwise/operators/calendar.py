@@ -26,6 +26,15 @@ def first_open_week(bounds: DataFrame, params: Params) -> Column:
     return week_end(F.date_sub(as_of_date(bounds, params), params.lookback_days))
 
 
+def report_bounds(bounds: DataFrame, suggested: DataFrame) -> DataFrame:
+    """First and last week of the work table and of a suggested schedule together."""
+    planned = suggested.agg(F.min("suggested_wk_end_date").alias("lo"), F.max("suggested_wk_end_date").alias("hi"))
+    lo, hi = (planned.select(c).scalar() for c in ("lo", "hi"))
+    return bounds.select(
+        F.least("first_week", lo).alias("first_week"), F.greatest("last_week", hi).alias("last_week")
+    )
+
+
 def week_calendar(bounds: DataFrame, params: Params, lookback: bool = False) -> DataFrame:
     """Sundays from the first work week to `as_of` plus the horizon.
 

@@ -86,12 +86,14 @@ def dept_yoy(relays: DataFrame) -> DataFrame:
 
 
 def new_relays(relays: DataFrame) -> DataFrame:
-    """Relays of the latest year that the year before did not have."""
-    years = _relay_years(relays)
+    """Relays of the latest year that the year before did not have, with their department and weeks."""
+    latest = relays.agg(F.max("relay_year")).scalar()
+    known = relays.filter(F.col("dept_cat").isNotNull())
+    before = known.filter(F.col("relay_year") == latest - 1).select("relay_id").distinct()
     return (
-        years.filter("is_latest")
-        .select("relay_id", "dept_cat")
-        .join(years.filter("NOT is_latest").select("relay_id"), "relay_id", "left_anti")
+        known.filter(F.col("relay_year") == latest)
+        .select("relay_id", "dept_cat", "wk_end_date")
+        .join(before, "relay_id", "left_anti")
         .distinct()
     )
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekwise.functions.columns import exact_mean, exact_sum, half_up, money_label, month_of, percent
+from weekwise.operators.forecast import kpi_trend
 from weekwise.operators.master import fan_out
 from weekwise.params import Params
+from weekwise.session import materialize
 
 RISK_SCALE = 4
 
@@ -63,14 +65,19 @@ def store_performance(scored: DataFrame) -> DataFrame:
 
 
 def department_breakdown(scored: DataFrame) -> DataFrame:
-    """Cost per department with its share, and a TOTAL row from `rollup`."""
+    """Cost per department with its share, and the total row of `rollup`, which `is_total` tells apart."""
     rolled = (
         scored.filter(F.col("dept_cat").isNotNull())
         .rollup("dept_cat")
-        .agg(exact_sum("total_cost").alias("total_cost"), F.count("*").alias("relay_count"))
+        .agg(
+            exact_sum("total_cost").alias("total_cost"),
+            F.count("*").alias("relay_count"),
+            (F.grouping("dept_cat") == 1).alias("is_total"),
+        )
         .withColumn("dept_cat", F.coalesce("dept_cat", F.lit("TOTAL")))
     )
-    grand = scored.filter(F.col("dept_cat").isNotNull()).agg(exact_sum("total_cost")).scalar()
+    # A row per department: the window over all of them is bounded.
+    grand = F.max(F.when(F.col("is_total"), F.col("total_cost"))).over(Window.partitionBy(F.lit(1)))
     return rolled.withColumn("share_pct", percent(F.col("total_cost"), grand))
 
 
@@ -101,15 +108,18 @@ def top_stores(scored: DataFrame, n: int) -> DataFrame:
 def store_month_cost(scored: DataFrame, n_stores: int = 20) -> DataFrame:
     """Cost and associate hours by month for the top stores (semi join on the short list).
 
-    Rows are added up per store and month before the join, so the list meets
-    the small table.
+    Rows are added up per store and month once; both the list and the result
+    come from that small stored table.
     """
     monthly = (
         scored.filter(F.col("store_id").isNotNull())
         .groupBy("store_id", month_of(F.col("wk_end_date")).alias("month"))
         .agg(exact_sum("total_cost").alias("total_cost"), exact_sum("associate_hours_impact").alias("associate_hours"))
     )
-    return monthly.join(top_stores(scored, n_stores).select("store_id"), "store_id", "left_semi")
+    monthly = materialize(monthly, "store-months")
+    stores = monthly.groupBy("store_id").agg(exact_sum("total_cost").alias("total_cost"))
+    top = stores.orderBy(F.desc("total_cost"), "store_id").limit(n_stores)
+    return monthly.join(top.select("store_id"), "store_id", "left_semi")
 
 
 def dept_risk_matrix(scored: DataFrame) -> DataFrame:
@@ -148,6 +158,17 @@ def kpi_metrics(scored: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def plan_kpis(scored: DataFrame, benefit: DataFrame, params: Params) -> DataFrame:
+    """Global KPIs with the savings, return and payback of the plan: the same figures as its timeline."""
+    base = scored.agg(
+        F.count("*").alias("total_relays"),
+        exact_sum("total_cost").alias("total_cost"),
+        exact_mean("total_cost", digits=2).alias("mean_cost"),
+        F.count(F.when(F.col("risk_score") > params.high_risk, 1)).alias("high_risk_count"),
+    )
+    return base.withColumns({c: benefit.select(c).scalar() for c in ("annual_savings", "roi_pct", "payback_weeks")})
+
+
 def top_risk(scored: DataFrame, n: int = 10) -> DataFrame:
     return (
         scored.select("relay_id", "store_id", "wk_end_date", "dept_cat", "risk_score", "total_cost")
@@ -205,12 +226,18 @@ def predictive_insights(scored: DataFrame, params: Params) -> DataFrame:
     ).withColumn("savings_potential", half_up(F.col("cost_forecast") * params.potential_rate, 2))
 
 
+BUSY = "%d stores move their relays more often than the limit."
+SEASONAL = "%d relays are seasonal and can be planned together."
+UNEVEN = "Work is spread unevenly over %d departments."
+
+
 def opportunities(scored: DataFrame, params: Params) -> DataFrame:
     """Up to three recommendations: busy stores, seasonal work, uneven departments."""
 
-    def line(rows: DataFrame, title: str, impact: str, savings, effort: str) -> DataFrame:
+    def line(rows: DataFrame, title: str, description: str, n, impact: str, savings, effort: str) -> DataFrame:
         return rows.select(
             F.lit(title).alias("title"),
+            F.format_string(description, n).alias("description"),
             F.lit(impact).alias("impact"),
             savings.cast("double").alias("estimated_savings"),
             F.lit(effort).alias("effort"),
@@ -223,42 +250,65 @@ def opportunities(scored: DataFrame, params: Params) -> DataFrame:
     ).filter(F.col("n") > params.seasonal_limit)
     uneven = dept_imbalance(scored, params).filter("is_uneven")
     return (
-        line(busy, "Consolidate high-frequency stores", "High", F.col("n") * 5000, "Medium")
-        .unionByName(line(seasonal, "Plan seasonal work ahead", "Medium", F.col("n") * 200, "Low"))
-        .unionByName(line(uneven, "Balance departments", "Medium", F.lit(15000), "Medium"))
+        line(busy, "Consolidate high-frequency stores", BUSY, F.col("n"), "High", F.col("n") * 5000, "Medium")
+        .unionByName(line(seasonal, "Plan seasonal work ahead", SEASONAL, F.col("n"), "Medium", F.col("n") * 200, "Low"))
+        .unionByName(line(uneven, "Balance departments", UNEVEN, F.col("departments"), "Medium", F.lit(15000), "Medium"))
     )
 
 
-def dashboard_document(scored: DataFrame, params: Params, top_n: int = 10) -> DataFrame:
-    """One JSON document: KPIs, department map and the list of riskiest relays.
+def dashboard_document(
+    scored: DataFrame, requests: DataFrame, benefit: DataFrame, weekly: DataFrame, as_of, params: Params, top_n: int = 10
+) -> DataFrame:
+    """One JSON document: time stamp, summary, cost-benefit, KPIs, departments, riskiest relays and monthly trend.
 
     The parts are small before they are gathered: one row, one row per
-    department and `top_n` rows. Money is written as decimal text.
+    department or month, and `top_n` rows. Amounts are decimal text.
     """
 
-    def text(col: str):
-        return F.col(col).cast("decimal(20,2)").cast("string")
-
-    kpis = scored.agg(
-        F.count("*").alias("total_relays"),
-        exact_sum("total_cost").alias("total_cost"),
-        F.count(F.when(F.col("risk_score") > params.high_risk, 1)).alias("high_risk_count"),
-    ).select(
-        F.to_json(F.struct("total_relays", text("total_cost").alias("total_cost"), "high_risk_count")).alias("kpis")
-    )
-    departments = dept_summary(scored).select(
-        "dept_cat", F.struct(text("total_cost").alias("total_cost"), "relay_count").alias("v")
-    ).agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dept_cat", "v"))))).alias("departments")
-    )
-    risky = top_risk(scored, top_n).select(
-        F.struct(
-            F.col("risk_score").cast("decimal(10,4)").cast("string").alias("risk_score"), "relay_id", "store_id"
-        ).alias("r"),
-        F.struct((-F.col("risk_score")).alias("o"), "relay_id", "store_id", "wk_end_date").alias("o"),
-    ).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"])).alias("top_risk"))
-    return kpis.withColumns({"departments": departments.scalar(), "top_risk": risky.scalar()}).select(
-        F.concat(
-            F.lit('{"kpis":'), "kpis", F.lit(',"departments":'), "departments", F.lit(',"top_risk":'), "top_risk", F.lit("}")
-        ).alias("document")
-    )
+    def text(col: str, kind: str = "decimal(20,2)"):
+        return F.col(col).cast(kind).cast("string").alias(col)
+
+    def one(row: DataFrame, *fields) -> DataFrame:
+        return row.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+    def many(rows: DataFrame, order: list, *fields) -> DataFrame:
+        listed = rows.select(F.struct(*order).alias("o"), F.struct(*fields).alias("r"))
+        listed = listed.agg(F.array_sort(F.collect_list(F.struct("o", "r"))).alias("l"))
+        return listed.select(F.to_json(F.transform("l", lambda x: x["r"]), {"ignoreNullFields": "false"}))
+
+    kpis = plan_kpis(scored, benefit, params)
+    parts = {
+        "executive_summary": one(
+            exec_summary(scored, requests, params), "total_relays", text("total_cost"), "high_risk_count", "pending_requests"
+        ),
+        "cost_benefit": one(
+            benefit,
+            *[text(c) for c in ("baseline_cost", "optimized_cost", "savings", "weekly_savings", "annual_savings", "roi_pct")],
+            text("payback_weeks", "decimal(20,4)"),
+        ),
+        "kpi_metrics": one(
+            kpis,
+            "total_relays",
+            *[text(c) for c in ("total_cost", "mean_cost")],
+            "high_risk_count",
+            *[text(c) for c in ("annual_savings", "roi_pct")],
+            text("payback_weeks", "decimal(20,4)"),
+        ),
+        "department_summary": many(
+            dept_summary(scored), ["dept_cat"], "dept_cat", text("total_cost"), text("mean_risk"), "relay_count"
+        ),
+        "top_risk_relays": many(
+            top_risk(scored, top_n),
+            [(-F.col("risk_score")).alias("o"), "relay_id", "store_id", "wk_end_date"],
+            "relay_id",
+            "store_id",
+            text("risk_score", "decimal(10,4)"),
+            text("total_cost"),
+            "dept_cat",
+        ),
+        "trends": many(kpi_trend(weekly), ["month"], "month", text("total_cost"), text("trend_pct"), "direction"),
+    }
+    document = [F.lit('{"data_timestamp":"'), F.date_format(as_of, "yyyy-MM-dd"), F.lit('"')]
+    for name, part in parts.items():
+        document += [F.lit(f',"{name}":'), part.scalar()]
+    return benefit.select(F.concat(*document, F.lit("}")).alias("document"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekwise.functions.columns import column_or, half_up, instance_key
+from weekwise.functions.skew import hot_keys, split_left_join
 from weekwise.operators.calendar import as_of_date, holiday_weeks
 from weekwise.params import Params
 from weekwise.sources.schemas import Tables
@@ -69,10 +70,15 @@ def group_join(placed: DataFrame, groups: DataFrame) -> DataFrame:
     return placed.join(groups.select("relay_id", "adjustment_group_id"), "relay_id", "left").withColumn("adjustment_group_id", F.coalesce("adjustment_group_id", F.lit("NO_GROUP")))
 
 
-def request_join(placed: DataFrame, requests: DataFrame) -> DataFrame:
-    """Add requests by relay (not store): one row per request of the relay."""
-    right = requests.select("relay_id", "request_type", "requested_move_wk", "status")
-    return placed.join(right, "relay_id", "left").withColumns(
+def request_join(placed: DataFrame, requests: DataFrame, hot: dict | None = None) -> DataFrame:
+    """Add requests by relay (not store): one row per request of the relay.
+
+    With `hot` from `hot_keys(requests, "relay_id")` the requests of those
+    relays are dealt to several tasks; a left join cannot be split there at run time.
+    """
+    salt = ["request_id"] if hot else []
+    right = requests.select("relay_id", "request_type", "requested_move_wk", "status", *salt)
+    return split_left_join(placed, right, "relay_id", salt, hot or {}).withColumns(
         {
             "request_type": F.coalesce("request_type", F.lit("None")),
             "status": F.coalesce("status", F.lit("None")),
@@ -83,7 +89,8 @@ def request_join(placed: DataFrame, requests: DataFrame) -> DataFrame:
 def master_schedule(tables: Tables, params: Params) -> DataFrame:
     """The whole chain: stores, holidays, groups, requests."""
     placed = relay_store_join(tables.relays, tables.bridge, params)
-    return request_join(group_join(holiday_flags(placed, tables.holidays), tables.groups), tables.requests)
+    grouped = group_join(holiday_flags(placed, tables.holidays), tables.groups)
+    return request_join(grouped, tables.requests, hot_keys(tables.requests, "relay_id"))
 
 
 def fan_out(placed: DataFrame, groups: DataFrame, requests: DataFrame) -> DataFrame:

@@ -342,31 +342,40 @@ def move_candidates(instances: DataFrame, thresholds: DataFrame, params: Params)
 
     Listing every (instance, week) pair would multiply the instances by the
     weeks. Each instance gets the number of weeks that could take it whole
-    and the first and last of them, read off one array with an entry per
-    calendar week that has room.
+    and the first and last of them. The free hours of the weeks are sorted
+    once, with the first and last week so far; hours that occur are looked
+    up there once each, however many instances have them.
     """
     rows = units_of(fallback_schedule(instances), params, respect_groups=False, respect_hard=True)
-    state = week_state(unit_load(unit_table(rows)), None, thresholds)
+    state = materialize(week_state(unit_load(unit_table(rows)), None, thresholds), "weeks")
     sources = state.filter(F.col("total_over") > 0).select(F.col("wk_end_date").alias("suggested_wk_end_date"))
-    room = (
-        state.filter(F.col("total_slack") > 0)
-        .agg(F.sort_array(F.collect_list(F.struct("wk_end_date", "total_slack"))).alias("weeks"))
-        .scalar()
+    upto = Window.orderBy(F.desc("total_slack"), "wk_end_date").rowsBetween(Window.unboundedPreceding, 0)
+    levels = state.filter(F.col("total_slack") > 0).select(
+        "total_slack", F.min("wk_end_date").over(upto).alias("first_week"), F.max("wk_end_date").over(upto).alias("last_week")
     )
-    need = F.col("relay_hours").cast(HOURS)
-    return (
+    # One row with a level per week: the weeks bound it.
+    ladder = levels.agg(F.array_sort(F.collect_list(F.struct((-F.col("total_slack")).alias("below"), "first_week", "last_week"))))
+    rows = (
         rows.filter(~F.col("pinned"))
         .join(F.broadcast(sources), "suggested_wk_end_date", "left_semi")
-        .withColumn("room", room)
-        .withColumn("fitting", F.filter("room", lambda w: w["total_slack"] >= need))
-        .select(
-            "relay_id",
-            "store_id",
-            "original_wk_end_date",
-            F.size("fitting").cast("long").alias("candidate_weeks"),
-            F.try_element_at(F.col("fitting")["wk_end_date"], F.lit(1)).alias("first_week"),
-            F.try_element_at(F.col("fitting")["wk_end_date"], F.lit(-1)).alias("last_week"),
-            F.lit(0.0).alias("stay_cost"),
-            F.lit(params.move_cost).alias("move_cost"),
-        )
+        .withColumn("need", F.col("relay_hours").cast(HOURS))
+    )
+    found = rows.select("need").distinct().withColumn("ladder", ladder.scalar())
+    found = found.withColumn("n", F.size(F.filter("ladder", lambda x: -x["below"] >= F.col("need"))))
+    reached = F.try_element_at("ladder", F.col("n"))
+    found = found.select(
+        "need",
+        F.col("n").cast("long").alias("candidate_weeks"),
+        F.when(F.col("n") > 0, reached["first_week"]).alias("first_week"),
+        F.when(F.col("n") > 0, reached["last_week"]).alias("last_week"),
+    )
+    return rows.join(found, rows["need"].eqNullSafe(found["need"]), "left").select(
+        "relay_id",
+        "store_id",
+        "original_wk_end_date",
+        F.coalesce("candidate_weeks", F.lit(0)).alias("candidate_weeks"),
+        "first_week",
+        "last_week",
+        F.lit(0.0).alias("stay_cost"),
+        F.lit(params.move_cost).alias("move_cost"),
     )

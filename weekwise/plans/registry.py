@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekwise.functions.columns import project_existing
+from weekwise.functions.skew import hot_keys
 from weekwise.operators import calendar, compare, forecast, kpis, master, quality, rebalance, requests, schedule
 from weekwise.params import Params
-from weekwise.session import configure, materialize
+from weekwise.session import configure, materialize, scratch_path
 from weekwise.sources import adapters, io
+from weekwise.sources.stages import Stages, file_fingerprint
 from weekwise.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,7 +133,37 @@ def checkpoint_roundtrip(c):
 
 @query
 def dashboard_document(c):
-    return kpis.dashboard_document(c.scored, c.params)
+    t = c.tables
+    as_of = calendar.as_of_date(t.week_bounds, c.params)
+    return kpis.dashboard_document(c.scored, t.requests, c.benefit(), forecast.weekly_cost(c.scored), as_of, c.params)
+
+
+@query
+def text_import(c):
+    """Requests through a careless text export and back."""
+    path = io.export_csv(adapters.request_text(c.tables.requests), scratch_path(c.spark, "text"))
+    return io.load_text(c.spark, path, "requests").select("request_id", "relay_id", "store_id", "requested_move_wk", "status")
+
+
+@query
+def resumed_stages(c):
+    """Stages of a run, of the same run again, and of one with a dearer move."""
+    folder = scratch_path(c.spark, "stages")
+    files = file_fingerprint(c.spark, *[f"{c.sf_dir}/{t}.parquet" for t in ("lineitem", "part", "supplier", "orders", "customer")])
+
+    def run(params: Params) -> dict[str, tuple[int, bool]]:
+        stages = Stages(c.spark, folder)
+        d = replace(c, params=params)
+        rows = stages.run("instances", lambda: d.instances(), files=files)
+        load = stages.run("load", lambda: schedule.weekly_load(rows, params), after=("instances",))
+        limits = stages.run("thresholds", lambda: d.thresholds(load), after=("load",))
+        plan = lambda: rebalance.rebalance(rows, limits, params, open_from=d.open_from)
+        stages.run("suggested", plan, after=("instances", "thresholds"), move_cost=params.move_cost)
+        return stages.outcome
+
+    runs = [run(p) for p in (c.params, c.params, replace(c.params, move_cost=2 * c.params.move_cost))]
+    rows = [(name, n, *(r[name][1] for r in runs)) for name, (n, _) in runs[0].items()]
+    return c.spark.createDataFrame(rows, "stage string, row_count bigint, first boolean, again boolean, dearer boolean")
 
 
 @query
@@ -190,8 +222,9 @@ def group_join(c):
 @query
 def request_join(c):
     """The joined rows, counted by what the join added."""
+    requests_ = c.tables.requests
     return (
-        master.request_join(c.placed, c.tables.requests)
+        master.request_join(c.placed, requests_, hot_keys(requests_, "relay_id"))
         .groupBy("store_type", "request_type", "status", "requested_move_wk")
         .agg(F.count("*").alias("row_count"), F.sum("relay_hours").alias("hours"))
     )
@@ -322,6 +355,11 @@ def kpi_metrics(c):
     return kpis.kpi_metrics(c.scored, c.params)
 
 
+@query
+def plan_kpis(c):
+    return kpis.plan_kpis(c.scored, c.benefit(), c.params)
+
+
 @query
 def weekly_hours_compare(c):
     limits, suggested = c.plan()
@@ -498,7 +536,7 @@ def what_if_thresholds(c):
 
 @query
 def dedupe_instances(c):
-    return master.dedupe_instances(master.master_schedule(c.tables, c.params)).select(
+    return master.instances(c.tables, c.params).select(
         *master.INSTANCE, "relay_hours", "adjustment_group_id", "request_type", "requested_move_wk", "status"
     )
 
@@ -636,6 +674,28 @@ def moved_relays(c):
     return schedule.moved_relays(c.plan()[1])
 
 
+@query
+def moved_listing(c):
+    """Moved relays as a sorted listing."""
+    rows = schedule.moved_relays(c.plan()[1]).select(
+        "relay_id", "store_id", "original_wk_end_date", "suggested_wk_end_date", "relay_hours"
+    )
+    path = io.export_sorted(rows, scratch_path(c.spark, "listing"), "original_wk_end_date", "relay_id", "store_id")
+    return io.load_sorted(c.spark, path)
+
+
+@query
+def report_thresholds(c):
+    """Caps of every week that a report on both schedules covers."""
+    rows = c.instances()
+    load = materialize(schedule.weekly_load(rows, c.params), "load")
+    limits = materialize(c.thresholds(load), "thresholds")
+    suggested = rebalance.rebalance(rows, limits, c.params, open_from=c.open_from)
+    bounds = materialize(calendar.report_bounds(c.tables.week_bounds, suggested), "bounds")
+    weeks = calendar.week_calendar(bounds, c.params)
+    return schedule.weekly_thresholds(weeks, c.tables.holidays, schedule.caps_from_load(load))
+
+
 @query
 def request_compliance(c):
     _, suggested = c.plan()

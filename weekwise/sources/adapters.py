@@ -166,6 +166,19 @@ def request_deliveries(requests: DataFrame) -> DataFrame:
     return requests.withColumn("delivery", F.explode(F.coalesce(numbers, F.array(span))))
 
 
+def request_text(requests: DataFrame) -> DataFrame:
+    """Requests as a careless text export: keys with blanks around them, some dates with a time, some not given."""
+    key = F.substring_index("request_id", "_", -1).cast("long")
+    week = F.col("requested_move_wk").cast("string")
+    text = requests.select(*[F.col(c).cast("string").alias(c) for c in requests.columns])
+    return text.withColumns(
+        {
+            "relay_id": F.concat(F.lit("  "), "relay_id", F.lit(" ")),
+            "requested_move_wk": F.when(key % 7 == 0, "not given").when(key % 5 == 0, F.concat(week, F.lit(" 08:30:00"))).otherwise(week),
+        }
+    )
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small parts work in groups; the mid-sized among them are in a second, wider group."""
     part = raw(spark, sf_dir, "part").filter(F.col("p_size") <= 10)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weekwise.functions.columns import lenient_date
 from weekwise.session import scratch_path
-from weekwise.sources.schemas import LOGICAL, Tables, clean_keys, conform, week_bounds
+from weekwise.sources.schemas import LOGICAL, Tables, clean_keys, conform, fields, week_bounds
 
 
 class EmptyInput(ValueError):
@@ -88,6 +89,41 @@ def csv_export(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).option("header", True).csv(path)
 
 
+def export_sorted(df: DataFrame, path: str, *keys: str) -> str:
+    """Write a listing in the order of `keys`: a range of them per file, sorted inside, files in order of name."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_sorted(spark: SparkSession, path: str) -> DataFrame:
+    """A sorted listing with the `position` of each row, from 1.
+
+    Rows are numbered by their place in the file and the rows of the files
+    before it, of which there is one count each.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    counts = rows.groupBy("__file").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start"))
+    placed = rows.join(F.broadcast(starts), "__file")
+    return placed.withColumn("position", F.col("__start") + F.col("__row") + 1).drop("__file", "__row", "__start")
+
+
+def load_text(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A logical table from CSV text: keys trimmed, dates and times where they parse, else null."""
+    wanted = fields(LOGICAL[table])
+    raw = spark.read.schema(", ".join(f"{c} STRING" for c in wanted)).option("header", True).csv(path)
+
+    def typed(name: str, kind: str):
+        if kind == "DATE":
+            return lenient_date(F.col(name))
+        if kind == "STRING":
+            return F.col(name)
+        return F.col(name).try_cast(kind)
+
+    return clean_keys(raw.select(*[typed(c, t).alias(c) for c, t in wanted.items()]))
+
+
 def export_text(df: DataFrame, path: str) -> str:
     """Write a one-column frame (a JSON document) as text."""
     df.write.mode("overwrite").text(path)

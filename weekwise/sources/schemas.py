@@ -43,7 +43,7 @@ class Tables:
         return {name: getattr(self, name) for name in LOGICAL}
 
 
-def _fields(ddl: str) -> dict[str, str]:
+def fields(ddl: str) -> dict[str, str]:
     return dict(part.strip().split(" ", 1) for part in ddl.split(","))
 
 
@@ -52,7 +52,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
     A missing column raises: an empty stand-in would hide the fault.
     """
-    wanted = _fields(LOGICAL[table])
+    wanted = fields(LOGICAL[table])
     missing = [c for c in wanted if c not in df.columns]
     if missing:
         raise ValueError(f"table {table} lacks columns {missing}")
