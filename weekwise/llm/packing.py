@@ -11,8 +11,9 @@ level, until one group is left; sizes alone travel, never tokens.
 Groups are formed by hash of the piece (`leaf` of them each) and packed in
 hash order, so the same rows give the same sequences, whatever the partitions.
 
-Tokens are looked up word by word in a bounded cache: the tokenizer drops
-white space and never joins across it, so a text's ids are its words' ids.
+Tokens are looked up stem by stem in a bounded cache: the tokenizer drops
+white space and never joins across it, so a text's ids are its words' ids. The
+distinct stems of a few texts are found at once, in Arrow.
 
 Defined results
 - null and empty texts are one piece that holds the end id alone.
@@ -23,7 +24,6 @@ Defined results
 
 from __future__ import annotations
 
-import re
 import string
 import zlib
 from bisect import bisect_left, insort
@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekwise.llm.frames import only
+from weekwise.llm.words import Texts, texts
 from weekwise.session import Scratch
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: ASCII signs but the apostrophe, which the tokenizer may join with a letter after it.
 SIGNS = string.punctuation.replace("'", "")
 
@@ -54,8 +54,21 @@ class PackParams:
     cached_words: int = 500_000
 
 
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in SIGNS]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[ord(c) for c in string.ascii_letters]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 class WordTokenizer:
-    """Token ids of texts, as little-endian 32-bit bytes, through a cache of words."""
+    """Token ids of texts, as little-endian 32-bit bytes, through a cache of stems.
+
+    A word's stem and the signs after it are looked up apart, ASCII letters
+    lowered, where the file's tokenizer lowers letters and keeps signs apart, which
+    is tried out when it is loaded; else each word is a stem as it stands.
+    """
 
     _loaded: dict[tuple[str, int], "WordTokenizer"] = {}
 
@@ -66,7 +79,22 @@ class WordTokenizer:
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks = [t.content for t in added.values()]
         self.mark, self.mark_id = next((t.content, i) for i, t in added.items())
-        self.limit, self.cache, self.stems = cached_words, {}, {}
+        self.limit, self.stems = cached_words, {}
+        comma = self._ids([","])[0]
+        self.comma = int(comma[0]) if len(comma) == 1 else None
+        self.by_stem = self.comma is not None and self._keeps_signs_apart()
+
+    def _keeps_signs_apart(self) -> bool:
+        ends = [a + b for a in SIGNS for b in ["", *SIGNS]]
+        asked = ["Stem", "stem", *ends, *["stem" + e for e in ends], "stem , stem"]
+        capital, stem, *rest, pair = self._ids(asked)
+        alone, joined = rest[: len(ends)], rest[len(ends) :]
+        comma = np.array([self.comma], "<u4")
+        return (
+            np.array_equal(capital, stem)
+            and np.array_equal(pair, np.r_[stem, comma, stem])
+            and all(np.array_equal(j, np.r_[stem, a]) for a, j in zip(alone, joined))
+        )
 
     @classmethod
     def load(cls, path: str | None, cached_words: int) -> "WordTokenizer":
@@ -83,57 +111,91 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
-    def _learn(self, words: list[str]) -> None:
-        """Add words to the cache. The caller has made room."""
-        cache, joined = self.cache, "\n".join(words).lower()
-        if any(m in joined for m in self.marks):  # special tokens, or what lowering would turn into one
-            odd = [w for w in words if any(m in w.lower() for m in self.marks)]
-            cache.update((w, self._ids([w])[0].tobytes()) for w in odd)
-            words = list(set(words).difference(odd))
-        # A word and the signs after it are tokens of their own, and letters are lowered, so most words
-        # are their stem's ids and their signs' ids. Lowering is left to the tokenizer beyond ASCII, where
-        # it could undo or make a composed letter.
-        split = {}
-        for w in words:
-            stem = w.rstrip(SIGNS)
-            if not stem or not stem[-1].lower()[-1].isalpha():
-                stem = w
-            split[w] = (stem.lower() if stem.isascii() else stem, w[len(stem) :])
-        new = list(dict.fromkeys(x for pair in split.values() for x in pair if x and x not in self.stems))
+    def _many(self, stems: list[str], between: str, cut: int) -> None:
+        """Add stems: one call for many of them, with a token between them that none of them has."""
+        for lo in range(0, len(stems), 2000):
+            part = stems[lo : lo + 2000]
+            ids = self._ids([between.join(part)])[0]
+            cuts = 4 * np.flatnonzero(ids == cut)
+            flat = ids.tobytes()
+            bounds = map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(flat)])
+            self.stems.update(zip(part, map(flat.__getitem__, bounds)))
+
+    def _learn(self, wanted: list[str]) -> None:
+        """Add stems to the cache, which is emptied first if they do not fit."""
+        new = [s for s in wanted if s not in self.stems]
         if len(self.stems) + len(new) > self.limit:
             self.stems.clear()
-            new = list(dict.fromkeys(x for pair in split.values() for x in pair if x))
-        for lo in range(0, len(new), 2000):
-            part = new[lo : lo + 2000]
-            # One call for many words, with a special token between them.
-            ids = self._ids([self.mark.join(part)])[0]
-            cuts = np.flatnonzero(ids == self.mark_id)
-            flat = ids.tobytes()
-            edges = zip(part, np.r_[0, 4 * cuts + 4].tolist(), np.r_[4 * cuts, 4 * len(ids)].tolist())
-            self.stems.update((w, flat[a:b]) for w, a, b in edges)
-        stems = self.stems
-        cache.update((w, stems[x] + stems[y] if y else stems[x]) for w, (x, y) in split.items())
+            new = wanted
+        letters = [s for s in new if s.isascii() and s.isalpha()] if self.by_stem else []
+        self._many(letters, " , ", self.comma)
+        others = list(set(new).difference(letters))
+        if any(m in x for x in ["\n".join(others), "\n".join(others).lower()] for m in self.marks):
+            odd = [s for s in others if any(m in x for x in (s, s.lower()) for m in self.marks)]
+            self.stems.update((s, self._ids([s])[0].tobytes()) for s in odd)
+            others = list(set(others).difference(odd))
+        self._many(others, self.mark, self.mark_id)
+
+    def _stems_of(self, t: Texts) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Number of each stem, the distinct stems, and the first stem of each text and the end."""
+        data, starts, ends = t.data, t.starts, t.ends
+        cuts = starts[:0]
+        if self.by_stem and len(starts):
+            whole = np.zeros(len(starts), bool)  # words that stay as they are
+            lowered = _LOWER[data].tobytes()
+            for mark in {m.lower().encode() for m in self.marks}:
+                at = lowered.find(mark)
+                while at >= 0:
+                    whole[np.searchsorted(starts, at, "right") - 1] = True
+                    at = lowered.find(mark, at + 1)
+            wide = np.add.reduceat(data >= 128, starts) > 0
+            # The first of the signs that end a word, if a letter stands before it.
+            at = np.flatnonzero(~_SIGN[data])
+            last = at[np.maximum(np.searchsorted(at, ends) - 1, 0)] if len(at) else starts - 1
+            some = last >= starts
+            end, before = data[np.maximum(last, 0)], data[np.maximum(last - 1, 0)]
+            latin = (end >= 128) & (before == 0xC3) & (end != 0x97) & (end != 0xB7) & (last > starts)
+            cut = some & (last + 1 < ends) & ~whole & (_LETTER[end] | latin)
+            cuts = last[cut] + 1
+            # Lowering is left to the tokenizer beyond ASCII, where it could undo or make a composed letter.
+            plain = np.repeat(~wide & ~whole, ends - starts)
+            inside = np.repeat(starts, ends - starts) + _within(ends - starts)
+            body = data[inside]
+            body[plain] = _LOWER[body[plain]]
+        else:
+            body = data[np.repeat(starts, ends - starts) + _within(ends - starts)]
+        bounds = np.sort(np.concatenate([starts, cuts]))
+        skipped = np.r_[0, np.cumsum(starts[1:] - ends[:-1])] + (starts[0] if len(starts) else 0)
+        at = bounds - skipped[np.searchsorted(starts, bounds, "right") - 1] if len(starts) else bounds
+        offsets = np.r_[at, len(body)].astype(np.int64)
+        stems = pa.Array.from_buffers(pa.large_string(), len(bounds), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        coded = stems.dictionary_encode()
+        return coded.indices, coded.dictionary, np.searchsorted(bounds, t.offsets)
+
+    def encode_texts(self, t: Texts) -> tuple[bytes, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin and the last one's end."""
+        codes, stems, first = self._stems_of(t)
+        wanted = stems.to_pylist()
+        self._learn(wanted)
+        ids = pa.array(list(map(self.stems.__getitem__, wanted)), pa.large_binary()).take(codes)
+        if not len(ids):
+            return b"", np.zeros(len(first), np.int64)
+        offsets = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        return (ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), offsets[first]
 
     def encode(self, bodies: list[str]) -> list[bytes]:
-        split = [WORDS.findall(b) for b in bodies]
-        out, lo = [], 0
-        while lo < len(split):  # a few texts at a time, so that what they need fits the cache together
-            hi, n = lo, 0
-            while hi < len(split) and (hi == lo or n + len(split[hi]) <= self.limit // 2):
-                n += len(split[hi])
-                hi += 1
-            new = list(dict.fromkeys(w for words in split[lo:hi] for w in words if w not in self.cache))
-            if new and len(self.cache) + len(new) > self.limit:
-                self.cache.clear()
-                new = list(dict.fromkeys(w for words in split[lo:hi] for w in words))
-            if new:
-                self._learn(new)
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, words)) for words in split[lo:hi]]
-            lo = hi
+        out = []
+        for _, t in texts(pa.array(bodies, pa.string())):
+            flat, at = self.encode_texts(t)
+            out += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         return out
 
 
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, .. inside each run of the given lengths."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def pieces(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens."""
     width, end = 4 * p.length, np.array([p.end_id], "<u4").tobytes()
@@ -141,19 +203,19 @@ def pieces(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.load(p.tokenizer, p.cached_words)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, t in texts(batch.column(1)):
                 which, start, length, crc, total = [], [], [], [], []
-                for i, ids in enumerate(tokenizer.encode([b or "" for b in part.column(1).to_pylist()])):
-                    ids += end
+                flat, bounds = tokenizer.encode_texts(t)
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    ids = flat[a:b] + end
                     for at in range(0, len(ids), width):
                         cut = ids[at : at + width]
-                        which.append(i)
+                        which.append(lo + i)
                         start.append(at // 4)
                         length.append(len(cut) // 4)
                         crc.append(zlib.crc32(cut))
                         total.append(len(ids) // 4)
-                columns = [part.column(0).take(pa.array(which, pa.int64()))]
+                columns = [batch.column(0).take(pa.array(which, pa.int64()))]
                 columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
