@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 def hot_keys(df: DataFrame, key: str, most: int = 256, tracked: int = 8192, parts: int | None = None) -> dict:
     """Keys with more rows than two average shuffle partitions, and the pieces to cut each into.
 
+    Pieces are a quarter of an average partition, so that two in one task do no harm.
     One pass with a frequent-items sketch: at most `most` keys come back, and
     of those that hold more than a 1/`tracked`-th of the rows none is missed.
     """
@@ -16,7 +17,7 @@ def hot_keys(df: DataFrame, key: str, most: int = 256, tracked: int = 8192, part
     rows = df.filter(F.col(key).isNotNull())
     found = rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias("top")).first()
     share = max(1, found["n"] // parts)
-    return {t["item"]: -(-t["count"] // share) for t in found["top"] or [] if t["count"] > 2 * share}
+    return {t["item"]: -(-4 * t["count"] // share) for t in found["top"] or [] if t["count"] > 2 * share}
 
 
 def _pieces(key: str, hot: dict) -> Column:

@@ -314,7 +314,9 @@ def objective_bound(
     caps = caps.agg(
         *[F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in {"a_cap": a_cap, "b_cap": b_cap, "cap": F.col("total_cap"), "nm": F.col("nm_cap")}.items()]
     )
-    pays = pays.withColumns({n: caps.select(n).scalar() for n in caps.columns} | {"closed": closed.scalar()})
+    # One row each, put side by side by a sum.
+    sums = pays.unionByName(caps, allowMissingColumns=True).unionByName(closed, allowMissingColumns=True)
+    sums = sums.agg(*[F.sum(c).alias(c) for c in sums.columns])
     short = over * (F.col("hours") - F.col("cap"))
     nm_short = market * (F.col("nm_hours") - F.col("nm"))
     best = F.greatest(
@@ -323,7 +325,7 @@ def objective_bound(
         F.col("pays_b") - F.col("b_cap") + short,
         short + nm_short,
     )
-    return pays.select(half_up(best + F.col("closed"), 2).alias("bound"))
+    return sums.select(half_up(best + F.col("closed"), 2).alias("bound"))
 
 
 def optimality_gap(cost: DataFrame, bound: DataFrame) -> DataFrame:
