@@ -27,9 +27,9 @@ from the texts where they are needed, behind a bitmap of the ids in question.
 Defined results
 - null, empty and white-space texts: empty set, n_shingles 0, linked with
   nothing. Fewer words than `words`: the whole sequence is the one shingle.
-- repeated rows and equal sets are one class. Rows that share an id are one
-  document in links, each with its own n_shingles. A null id never stands for a
-  class; its row has the component of its class, null if no other id is in it.
+- repeated rows and equal sets are one class. Rows that share an id are judged
+  by their own text each. A null id never stands for a class; its row has the
+  component of its class, null if no other id is in it.
 - ties: the smallest id wins. Empty table: no rows.
 - extra columns, whatever their names, do not matter.
 - a very long text is read whole by one task.
