@@ -8,7 +8,8 @@ at most. Counts are per language.
    words, first inside a chunk of text, then globally. Frequent words, then
    frequent hashes fill a table of `cells` counters, the only thing that is
    broadcast.
-2. A third pass takes the suffixes whose pairs are all frequent; equal ones
+2. A third pass counts the pairs that the table lets through, and a fourth takes
+   the suffixes of three words or more whose pairs are all frequent; equal ones
    of a chunk travel as one row with a weight, to the task of their two
    leading words. A pair with more than `run` occurrences is dealt to as many
    tasks as it needs, by the rest of the suffix.
@@ -218,8 +219,33 @@ def table_of(keys: DataFrame, p: PhraseParams) -> np.ndarray:
     return table
 
 
+def counted_pairs(docs: DataFrame, table: np.ndarray, p: PhraseParams) -> DataFrame:
+    """(lang, phrase, words, n) of frequent pairs; only those that the table lets through leave their chunk."""
+    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    cells = p.cells
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint16)
+        for batch in batches:
+            codes, names = _langs(batch.column(0))
+            salt = _lang_hashes(names)
+            for lo, t in texts(batch.column(1), lower=True, limit=CHUNK):
+                w = pieces(t)
+                h, lang = _word_hashes(w.vocabulary)[w.codes], codes[lo + w.text]
+                at = np.flatnonzero(w.joined[:-1])
+                at = at[table[_at(_keys([h[at], h[at + 1]], salt[lang[at]]), cells)] > 0]
+                one, n = distinct([lang[at], w.codes[at], w.codes[at + 1]], max(len(w.vocabulary), len(names)))
+                at = at[one]
+                phrase = _phrase(w.vocabulary, [w.codes[at], w.codes[at + 1]])
+                rows = [names.take(pa.array(lang[at])), phrase, np.full(len(at), 2, np.int32), n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["lang", "phrase", "words", "n"])
+
+    rows = docs.mapInArrow(count, "lang string, phrase string, words int, n bigint")
+    return rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.least)
+
+
 def suffixes(docs: DataFrame, table: np.ndarray, p: PhraseParams) -> DataFrame:
-    """(route, lang, phrase, partial, weight): distinct suffixes of two words or more, per chunk of text."""
+    """(route, lang, phrase, partial, weight): distinct suffixes of three words or more, per chunk of text."""
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
     cells, longest = p.cells, p.longest
 
@@ -240,7 +266,7 @@ def suffixes(docs: DataFrame, table: np.ndarray, p: PhraseParams) -> DataFrame:
                 for k in range(longest - 1):
                     run = run & np.r_[alive[k:], np.zeros(k, bool)]
                     length += run
-                at = np.flatnonzero(length >= 2)
+                at = np.flatnonzero(length >= 3)
                 end = at + length[at]
                 columns = [np.where(at + k < end, w.codes[np.minimum(at + k, len(w.codes) - 1)], -1) for k in range(longest)]
                 one, n = distinct([lang[at], *columns], max(len(w.vocabulary), len(names)))
@@ -257,7 +283,7 @@ def suffixes(docs: DataFrame, table: np.ndarray, p: PhraseParams) -> DataFrame:
 
 
 def quicksort(columns: list[np.ndarray], weight: np.ndarray, least: int, partial: bool) -> list[tuple[int, int, int]]:
-    """(a row, words, count) of each phrase of two words or more with enough weight.
+    """(a row, words, count) of each phrase of three words or more with enough weight.
 
     `columns` are language and words as numbers, -1 for none. Each partition is (pointers, number of leading
     columns they agree on). With `partial`, only full-length phrases are judged by weight.
@@ -280,7 +306,7 @@ def quicksort(columns: list[np.ndarray], weight: np.ndarray, least: int, partial
         if pivot < 0:
             continue
         count = int(weight[equal].sum())
-        if depth >= 2 and (count >= least or (partial and depth < last)):
+        if depth >= 3 and (count >= least or (partial and depth < last)):
             found.append((int(equal[0]), depth, count))
         if depth < last and (count >= least or partial):
             todo.append((equal, depth + 1))
@@ -295,7 +321,7 @@ def _plain(columns, weight, at, depth, least, partial) -> Iterator[tuple[int, in
         for k, code in enumerate(key):
             if code < 0:
                 break
-            if depth + k >= 2:
+            if depth + k >= 3:
                 groups.setdefault(tuple(key[: k + 1]), [row, depth + k, 0])[2] += w
     for row, words, count in groups.values():
         if count >= least or (partial and words < last):
@@ -330,7 +356,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def mined(rows: DataFrame, p: PhraseParams) -> DataFrame:
-    """(lang, phrase, words, n) of all frequent phrases of two words or more."""
+    """(lang, phrase, words, n) of all frequent phrases of three words or more."""
     least, longest = p.least, p.longest
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +374,7 @@ def mined(rows: DataFrame, p: PhraseParams) -> DataFrame:
                     np.where(length > k, codes[np.minimum(start + k, len(codes) - 1)], -1) for k in range(longest)
                 ]
                 found = quicksort([lang, *columns], part.column("weight").to_numpy(), least, partial)
-                for words in range(2, longest + 1):
+                for words in range(3, longest + 1):
                     some = [(row, n) for row, k, n in found if k == words]
                     if some:
                         at = np.array([row for row, _ in some])
@@ -373,8 +399,9 @@ def frequent_phrases(docs: DataFrame, p: PhraseParams = PhraseParams(), scratch:
     scratch = scratch or Scratch(docs.sparkSession)
     rows = only(docs, lang="lang", text="text")
     words = scratch.keep(counted_words(rows, p.least), "words")
-    pairs = pair_keys(rows, table_of(word_keys(words), p), p)
-    return words.union(scratch.keep(mined(suffixes(rows, table_of(pairs, p), p), p), "longer"))
+    table = table_of(pair_keys(rows, table_of(word_keys(words), p), p), p)
+    pairs = scratch.keep(counted_pairs(rows, table, p), "pairs")
+    return words.union(pairs).union(scratch.keep(mined(suffixes(rows, table, p), p), "longer"))
 
 
 def collocations(docs: DataFrame, p: PhraseParams = PhraseParams(), scratch: Scratch | None = None) -> DataFrame:
