@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from dataclasses import replace
 from fractions import Fraction
@@ -13,10 +14,55 @@ from compare import database, difference
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weekwise.llm import jaccard_join, phrases, whitening
+from weekwise.llm import html_extraction, jaccard_join, phrases, whitening
 from weekwise.llm.oracle import ORACLE
 from weekwise.llm.registry import QUERIES
 
+# -- 1 pages of few blocks, and hostile ones -----------------------------------------
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    return html_extraction.train()
+
+
+PAGES = [
+    ("<nav><a href=/>Home</a></nav><article><p>One sentence here. Another one follows it.</p></article>", "One sentence here. Another one follows it."),
+    ("<p>Only one paragraph of text on this page.</p>", "Only one paragraph of text on this page."),
+    ("<div>Only one block of text on this page.</div>", "Only one block of text on this page."),
+    ("<div>First block of text on this page.</div><div>Second block of text on it.</div>", "First block of text on this page.\nSecond block of text on it."),
+    ("<article><p>Intro to the terms.</p><dl><dt>Term</dt><dd>What the term means.</dd></dl></article>", "Intro to the terms.\nTerm\nWhat the term means."),
+    ("<article><p>Press <button>Share</button> and read on.</p><p>More text follows here.</p></article>", "Press and read on.\nMore text follows here."),
+    ("<article><p>One one one one.</p><p>Two <svg viewBox='0 0 1 1'/> two two.</p><p>Three three three.</p><svg></svg><p>Four four.</p></article>", "One one one one.\nTwo two two.\nThree three three.\nFour four."),
+    ("<article><p>Text of the article goes here.</p><form><textarea>draft text of a reader</textarea></form></article>", "Text of the article goes here."),
+    ("<main><h1>Title</h1><figure><img src=x><figcaption>A caption of the picture.</figcaption></figure><p>Text of the page here.</p></main>", "Title\nA caption of the picture.\nText of the page here."),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_small_pages(page_model, page, text):
+    assert html_extraction.main_text(page, page_model) == text
+
+
+def test_unseen_plain_pages(page_model):
+    right = total = 0
+    for page, labels in html_extraction.labelled_pages(0, seed=77, plain=150):
+        got = page_model.decode(html_extraction.features(html_extraction.blocks(page)))
+        right, total = right + sum(a == b for a, b in zip(got, labels)), total + len(labels)
+    assert right / total > 0.97
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<" + "a" * 1_000_000, "<b>" * 60_000 + "<p>x" * 60_000, "<div>" * 50_000 + "</i>x" * 50_000, '<a b="x>y ' * 60_000, "<button>x " * 50_000, "<svg>" * 100_000],
+    ids=["letters", "open inline", "stray ends", "quotes", "buttons", "svg"],
+)
+def test_hostile_pages_take_linear_time(page_model, page):
+    start = time.process_time()
+    html_extraction.main_text(page, page_model)
+    assert time.process_time() - start < 10
+
+
 # -- 11 Jaccard join --------------------------------------------------------------
 
 

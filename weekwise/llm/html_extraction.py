@@ -18,13 +18,17 @@ Defined results
   tags are ignored, an unfinished tag or comment at the end is dropped.
 - repeated rows are extracted alike; extra columns pass through unless a
   result has the same name; empty table: no rows.
-- a very long page is one task's work: parsing and decoding are linear in its size.
+- buttons, selections and text fields lie in the text around them, their own
+  text is dropped; `<svg/>` and `<math/>` may close themselves.
+- a very long page is one task's work: parsing and decoding grow with its size,
+  and with the depth of elements that differ in their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,16 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# A quoted value is read whole up to 8192 characters, and a tag up to 400 quotes; beyond that it ends at the next >.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,8192}"|'[^']{0,8192}'){0,400}+)>"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|<[!?/a-zA-Z][^>]*+\Z""",
     re.S,
 )
+UNFINISHED = re.compile(r"<!--.*|<[!?/a-zA-Z].*", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title svg math iframe object head".split())
+RAW = frozenset("script style template noscript title svg math iframe object head".split())
+CONTROLS = frozenset("button select textarea".split())  # inside the text around them, without their own
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span "
     "strike strong sub sup time tt u var img br wbr".split()
@@ -68,6 +76,22 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked, base = 0, 0
     at, n = 0, len(page)
+    open_: Counter[str] = Counter()  # of the stack, so that no end tag searches it in vain
+    last = page.rfind(">")
+    ends_of: dict[str, list[int]] = {}
+
+    def close(i: int) -> None:
+        open_.subtract(s[0] for s in stack[i:])
+        del stack[i:]
+
+    def end_of(tag: str) -> int | None:
+        """Where the next end tag of this name ends."""
+        if tag not in ends_of:
+            ends_of[tag] = [m.end() for m in re.compile(rf"</{tag}\b[^>]*+>", re.I).finditer(page, at)][::-1]
+        left = ends_of[tag]
+        while left and left[-1] <= at:
+            left.pop()
+        return left[-1] if left else None
 
     def flush() -> None:
         nonlocal linked, base
@@ -80,7 +104,8 @@ def blocks(page: str) -> list[Block]:
         linked, base = 0, len(stack) - 1
 
     while at < n:
-        m = TOKEN.search(page, at)
+        # Beyond the last > nothing is a tag: what is unfinished there is dropped.
+        m = TOKEN.search(page, at) if at <= last else UNFINISHED.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             if not parts:
@@ -91,27 +116,34 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or m[5] or "").lower() if m.re is TOKEN else ""
         if not tag:
             continue
         if m[1] or m[4]:
+            if not open_[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     if tag not in INLINE:
                         flush()
-                    del stack[i:]
+                    close(i)
                     base = min(base, len(stack) - 1)
                     break
             continue
-        if tag in RAW:
-            if tag not in ("textarea",):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                if tag == "head" and not end:  # an unclosed head ends where the body begins
-                    end = re.compile(r"(?=<body\b)", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif tag not in ("head", "svg", "math", "object"):
-                    at = n
+        attributes = m[3] or m[6] or ""
+        if tag in RAW or tag in CONTROLS:
+            if tag in ("svg", "math") and attributes.rstrip().endswith("/"):
+                continue
+            end = end_of(tag)
+            if tag == "head" and end is None:  # an unclosed head ends where the body begins
+                body = re.compile(r"(?=<body\b)", re.I).search(page, at)
+                end = body.end() if body else None
+            if end is not None:
+                at = end
+            elif tag in RAW and tag not in ("head", "svg", "math", "object"):
+                at = n
+            if tag in CONTROLS and parts:
+                parts.append(" ")
             continue
         if tag in ("br", "hr", "wbr"):
             if tag == "hr":
@@ -125,14 +157,15 @@ def blocks(page: str) -> list[Block]:
             flush()
             ends, holds = CLOSES.get(tag, set()), HOLDS.get(tag, set())
             for i in range(len(stack) - 1, 0, -1):
+                if not open_["p"] and not any(open_[x] for x in ends):
+                    break
                 if stack[i][0] in ends:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                 elif stack[i][0] in holds or stack[i][0] not in INLINE and not ends:
                     break
-        attributes = m[3] or m[6] or ""
         features = stack[-1][1]
         own = () if tag in INLINE and tag not in ("a", "label") else ("in:" + tag,)
         if attributes:
@@ -142,6 +175,7 @@ def blocks(page: str) -> list[Block]:
         if attributes.rstrip().endswith("/") and tag in ("a", "span"):
             continue
         stack.append((tag, features, stack[-1][2] or tag == "a"))
+        open_[tag] += 1
         if tag not in INLINE:
             base = len(stack) - 1
     flush()
@@ -398,15 +432,49 @@ class _Writer:
         return f"<!DOCTYPE html><html>{head}<body>{inner}</body></html>"
 
 
+    def plain_article(self) -> str:
+        """A few blocks, often without a title, in elements without names."""
+        roll, out = self.rng.random(), []
+        if self.rng.random() < 0.25:
+            title = self.words(1, 8)
+            self.main.add(title)
+            out.append(f"<h1>{title}</h1>")
+        for _ in range(int(self.rng.integers(1, 5))):
+            kind = self.rng.random()
+            if kind < 0.12:
+                out.append("<dl>" + "".join(f"<dt>{self.short()}</dt><dd>{self.short()}</dd>" for _ in range(int(self.rng.integers(1, 4)))) + "</dl>")
+            elif kind < 0.2:
+                out.append(f"<figure><img src='x'><figcaption>{self.short()}</figcaption></figure>")
+            elif kind < 0.26:
+                out.append("<ul>" + "".join(f"<li>{self.short()}</li>" for _ in range(int(self.rng.integers(1, 5)))) + "</ul>")
+            else:
+                tag = "p" if roll < 0.65 else "div"
+                out.append(f"<{tag}>{self.inline(self.prose(True, 4)) if self.rng.random() < 0.8 else self.short()}</{tag}>")
+        return "".join(out)
+
+    def plain_page(self) -> str:
+        body, roll = self.plain_article(), self.rng.random()
+        if roll < 0.7:
+            body = "<{0}>{1}</{0}>".format(self.pick(("article", "main", "div", "section", "article", "div")), body)
+        before = [k for k in ("header", "menu") if self.rng.random() < 0.35]
+        after = [k for k in ("sidebar", "footer") if self.rng.random() < 0.35]
+        head = f"<head><title>{self.words(1, 6)}</title></head>" if self.rng.random() < 0.5 else ""
+        inner = "".join(map(self.boilerplate, before)) + body + "".join(map(self.boilerplate, after))
+        return f"<html>{head}<body>{inner}</body></html>" if self.rng.random() < 0.6 else head + inner
+
+
 _SYLLABLES = tuple(a + b for a in ("b", "d", "g", "k", "l", "m", "n", "r", "s", "t", "v", "") for b in ("a", "e", "i", "o", "u"))[:-1]
 
 
-def labelled_pages(n: int = 500, seed: int = 3) -> list[tuple[str, list[bool]]]:
-    """Pages with, per leaf block, whether it is main text; the same ones for the same arguments."""
+def labelled_pages(n: int = 500, seed: int = 3, plain: int | None = None) -> list[tuple[str, list[bool]]]:
+    """Pages with, per leaf block, whether it is main text; the same ones for the same arguments.
+
+    Beside `n` pages with many parts come `plain` small ones, a fifth more than those if not given.
+    """
     rng, out = np.random.default_rng(seed), []
-    for _ in range(n):
+    for i in range(n + (6 * n // 5 if plain is None else plain)):
         w = _Writer(rng)
-        page = w.page()
+        page = w.page() if i < n else w.plain_page()
         out.append((page, [b.text in w.main for b in blocks(page)]))
     return out
 
