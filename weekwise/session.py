@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import getpass
 import os
 import tempfile
@@ -91,6 +92,15 @@ class Scratch:
     def close(self) -> None:
         self.drop(*list(self.paths))
 
+    def release(self) -> None:
+        """Let go of the shuffle files behind stored tables.
+
+        Spark deletes them once the driver's JVM has collected the plans that
+        wrote them, which an idle driver may not do for half an hour.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage through a written table in the shared folder.
