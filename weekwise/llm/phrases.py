@@ -399,8 +399,11 @@ def frequent_phrases(docs: DataFrame, p: PhraseParams = PhraseParams(), scratch:
     scratch = scratch or Scratch(docs.sparkSession)
     rows = only(docs, lang="lang", text="text")
     words = scratch.keep(counted_words(rows, p.least), "words")
+    scratch.release()
     table = table_of(pair_keys(rows, table_of(word_keys(words), p), p), p)
+    scratch.release()
     pairs = scratch.keep(counted_pairs(rows, table, p), "pairs")
+    scratch.release()
     return words.union(pairs).union(scratch.keep(mined(suffixes(rows, table, p), p), "longer"))
 
 
