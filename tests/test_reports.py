@@ -220,8 +220,8 @@ def test_years_against_each_other(spark):
 
 
 def test_before_after_counts_rows_above_own_percentile(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (8.0,)], "cost double")
-    out = compare.before_after(df, df.limit(0), "cost", P)
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None), (8.0, None)], "baseline_cost double, optimized_cost double")
+    out = compare.before_after(df, P)
     assert rows(out.filter("scenario = 'Baseline'"), "metric", "value") == [
         ("mean_cost", 3.75),
         ("rows_above_p80", 1.0),
@@ -325,9 +325,20 @@ def test_document_is_json(spark):
     import json
 
     df = scored(spark, ("1", 1, W1, "A", 5.0, 8.0), ("2", 2, W1, "B", 7.5, 1.0))
-    doc = json.loads(kpis.dashboard_document(df, P).first().document)
-    assert doc["kpis"] == {"total_relays": 2, "total_cost": "12.50", "high_risk_count": 1}
-    assert list(doc["departments"]) == ["A", "B"] and [r["relay_id"] for r in doc["top_risk"]] == ["1", "2"]
+    asked = frame(spark, "requests", {"status": "Pending"}, {"status": "Approved"})
+    benefit = spark.createDataFrame(
+        [(10.0, 8.0, 2.0, 1.0, 52.0, 0.1, None)],
+        "baseline_cost double, optimized_cost double, savings double, weekly_savings double, annual_savings double, "
+        "roi_pct double, payback_weeks double",
+    )
+    made = kpis.dashboard_document(df, asked, benefit, forecast.weekly_cost(df), F.lit(W1), P)
+    doc = json.loads(made.first().document)
+    assert doc["data_timestamp"] == str(W1)
+    assert doc["executive_summary"] == {"total_relays": 2, "total_cost": "12.50", "high_risk_count": 1, "pending_requests": 1}
+    assert doc["cost_benefit"]["annual_savings"] == doc["kpi_metrics"]["annual_savings"] == "52.00"
+    assert doc["kpi_metrics"]["payback_weeks"] is None and doc["trends"][0]["total_cost"] == "12.50"
+    assert [d["dept_cat"] for d in doc["department_summary"]] == ["A", "B"]
+    assert [r["relay_id"] for r in doc["top_risk_relays"]] == ["1", "2"]
 
 
 def test_requested_schedule_moves_pending_only(spark):
