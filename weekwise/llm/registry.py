@@ -23,7 +23,7 @@ from weekwise.llm import (
     toxicity,
     whitening,
 )
-from weekwise.session import configure
+from weekwise.session import SMALL_BATCHES, configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -60,6 +60,7 @@ def op8_secret_scans(spark, sf_dir):
 @query
 def op2_substring_dedup(spark, sf_dir):
     """Words left after the removal of repeated windows of 35 words."""
+    configure(spark, SMALL_BATCHES)
     return substring_dedup.removed_words(table(spark, sf_dir, "documents"), with_text=False)
 
 

@@ -43,6 +43,7 @@ from weekwise.llm.frames import only
 from weekwise.llm.words import Texts, mix, sliding_min, texts, window_hashes
 
 BLOCK = 1 << 16
+CHUNK = 1_000_000  # bytes of text that one worker takes apart at a time
 _PLACE_BITS = np.uint64(26)
 _PLACE = np.uint64((1 << 26) - 1)
 
@@ -104,7 +105,7 @@ def sketch(docs: DataFrame, width: int, window: int, anchor: int) -> list[bytes]
                 parts.clear()
 
         for batch in batches:
-            for _, t in texts(batch.column(0)):
+            for _, t in texts(batch.column(0), limit=CHUNK):
                 _, place, shingles, _ = anchors(t, window, anchor)
                 key = shingles[_distinct_places(place)]
                 for parts, cell in zip(seen, cells(key, width)):
@@ -183,7 +184,7 @@ def repeated_windows(docs: DataFrame, bits: list[bytes], width: int, window: int
         table = [np.frombuffer(b, np.uint8) for b in shared.value]
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
-            for lo, t in texts(batch.column(2)):
+            for lo, t in texts(batch.column(2), limit=CHUNK):
                 starts, place, shingles, h = anchors(t, window, anchor)
                 if not len(starts):
                     continue
@@ -304,7 +305,7 @@ def removed_words(
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, t in texts(batch.column(1)):
+            for lo, t in texts(batch.column(1), limit=CHUNK):
                 n = len(t)
                 gain = np.zeros(len(t.starts) + 1, np.int64)
                 for i, parts in enumerate(batch.column(2).slice(lo, n).to_pylist()):
