@@ -2,7 +2,11 @@
 
 import re
 
+from weekwise.operators import rebalance
+from weekwise.params import Params
+from weekwise.plans import registry
 from weekwise.plans.registry import QUERIES
+from weekwise.session import TABLES, configure, materialize
 from weekwise.sources import io
 
 
@@ -40,3 +44,43 @@ def test_deduplication_is_limited_before_the_shuffle(spark, sf_dir):
 
 def test_top_k_takes_per_partition(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(QUERIES["top_risk"](spark, sf_dir))
+
+
+def stored(spark, sf_dir, monkeypatch, name):
+    """Labels of the tables that building a query stores."""
+    labels = []
+
+    def note(df, label):
+        labels.append(label)
+        return materialize(df, label)
+
+    for module in (registry, rebalance):
+        monkeypatch.setattr(module, "materialize", note)
+    QUERIES[name](spark, sf_dir)
+    return labels
+
+
+def test_two_plans_share_their_instances(spark, sf_dir, monkeypatch):
+    labels = stored(spark, sf_dir, monkeypatch, "group_sync_after_plan")
+    assert labels.count("instances") == labels.count("thresholds") == 1
+
+
+def test_stages_of_a_repeated_run_do_no_work(spark, sf_dir, monkeypatch):
+    labels = stored(spark, sf_dir, monkeypatch, "resumed_stages")
+    assert "instances" not in labels and labels.count("units") == 2
+
+
+def test_dashboard_joins_the_scored_rows_once(spark, sf_dir, monkeypatch):
+    assert stored(spark, sf_dir, monkeypatch, "dashboard_document").count("scored") == 1
+
+
+def test_splits_of_the_planning_queries_are_bounded(spark, tmp_path):
+    """What a task of a table query reads does not follow the table; corpus queries keep Spark's splits."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert configure(spark, TABLES).conf.get("spark.sql.files.maxPartitionBytes") == "8m"
+    assert configure(spark).conf.get("spark.sql.files.maxPartitionBytes") == before or before == "8m"
+
+
+def test_relays_without_a_group_are_left_out_before_the_count(spark, sf_dir):
+    text = plan(QUERIES["group_sync_violations"](spark, sf_dir))
+    assert "LeftSemi" in text

@@ -142,3 +142,20 @@ def test_one_week_with_a_third_of_all_rows(spark):
     out = materialize(rebalance.rebalance(rows, caps, P), "hot-out")
     before, after = invariants(rows, caps, out)
     assert before > 100_000 and after < before / 5
+
+
+def test_only_weeks_with_an_excess_are_cut_into_units(spark, monkeypatch):
+    """Weeks that can lose nothing, closed ones among them, are neither grouped nor joined with the moves."""
+    kept = {}
+
+    def stored(df, label):
+        kept.setdefault(label, materialize(df, label))
+        return kept[label] if label == "units" else materialize(df, label)
+
+    monkeypatch.setattr(rebalance, "materialize", stored)
+    rows = sched(spark, ("a", W1, 9), ("b", W2, 9), ("c", W2, 2, "Large", False, "G"), ("d", W3, 1), ("e", None, 1))
+    caps = limits(spark, {W1: 1, W2: 5, W3: 4, W4: 9})
+    out = rebalance.rebalance(rows, caps, P, open_from=F.lit(W2))
+    assert {r.week for r in kept["units"].collect()} == {W2} and kept["units"].count() == 2
+    assert weeks_of(out) == {"a": W1, "b": W4, "c": W2, "d": W3, "e": None}
+    assert out.columns == [*rows.columns, "suggested_wk_end_date"]

@@ -100,6 +100,21 @@ def test_a_killed_run_resumes_and_a_changed_input_recomputes(spark, tmp_path):
     assert run(3) == {"rows": (7, False), "scaled": (7, False)}
 
 
+def test_a_reused_stage_is_not_built(spark, tmp_path):
+    built = []
+
+    def work():
+        built.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        stages = Stages(spark, str(tmp_path))
+        got = stages.run("work", work, like=spark.range(0), n=3)
+    assert built == [1] and got.count() == 3 and stages.outcome == {"work": (3, True)}
+    with pytest.raises(ValueError, match="built"):
+        Stages(spark, str(tmp_path)).run("work", work, like=spark.range(0).selectExpr("id AS other"), n=4)
+
+
 def test_an_empty_stage_stops_the_run(spark, tmp_path):
     with pytest.raises(io.EmptyInput):
         Stages(spark, str(tmp_path)).run("none", lambda: spark.range(0))

@@ -45,20 +45,27 @@ class Stages:
             return None
         return json.loads(text[0]) if text else None
 
-    def run(self, name: str, build: Callable[[], DataFrame], after: tuple[str, ...] = (), **inputs) -> DataFrame:
+    def run(
+        self, name: str, build: Callable[[], DataFrame], after: tuple[str, ...] = (), like: DataFrame | None = None, **inputs
+    ) -> DataFrame:
         """The stage's table: stored by an earlier run with the same inputs, or built now.
 
         `after` names the stages it reads, `inputs` everything else that
-        decides its rows, by a value or a fingerprint.
+        decides its rows, by a value or a fingerprint. A `build` that does
+        work of its own is spared where the stage is reused if `like`, a
+        frame with the columns that it will return, says what the schema is.
         """
         parts = [name, *(self._prints[s] for s in after), *(f"{k}={v!r}" for k, v in sorted(inputs.items()))]
         wanted = self._prints[name] = hashlib.sha256("|".join(parts).encode()).hexdigest()
-        df, kept = build(), self._manifest(name)
+        df, kept = build() if like is None else like, self._manifest(name)
         schema = df.schema.json()
         path = f"{self.folder}/{name}/{wanted}"
         reused = kept is not None and (kept["inputs"], kept["schema"]) == (wanted, schema)
         if not reused:
-            df.write.mode("overwrite").parquet(path)
+            built = df if like is None else build()
+            if built.schema.simpleString() != df.schema.simpleString():
+                raise ValueError(f"{name}: built {built.schema.simpleString()}, not {df.schema.simpleString()}")
+            built.write.mode("overwrite").parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         rows = kept["rows"] if reused else stored.count()
         if not rows:

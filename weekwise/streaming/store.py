@@ -57,7 +57,8 @@ class KeyedStore:
         """Take in a batch; the same id again replaces what it did before."""
         bucket = F.pmod(F.hash(*self.keys), F.lit(self.buckets)).alias("bucket")
         arrived = f"{self.path}/arrived"
-        batch.select(*self.schema.names, bucket).write.mode("overwrite").partitionBy("bucket").parquet(arrived)
+        # Not by bucket: every task would write a file for each of them.
+        batch.select(*self.schema.names, bucket).write.mode("overwrite").parquet(arrived)
         fields = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
         batch = self.spark.read.schema(fields).parquet(arrived)
         places = self._places(before=batch_id)
