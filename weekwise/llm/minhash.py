@@ -334,6 +334,7 @@ def link(docs: DataFrame, p: MinHashParams = MinHashParams(), scratch: Scratch |
     sets = scratch.keep(full_sets(rows.join(sought, "doc_id", "left_semi"), p), "sets")
     links = scratch.keep(confirm(pairs, sets, p).select("a", "b").distinct(), "links-0")
     parts = scratch.keep(components(links, scratch), "parts")
+    scratch.release()
 
     # Buckets that still hold several components: what stars may have missed.
     sets = sets.withColumn("set_size", F.shiftright(F.octet_length("shingles"), 3).cast("long"))
@@ -345,6 +346,7 @@ def link(docs: DataFrame, p: MinHashParams = MinHashParams(), scratch: Scratch |
     near = close.union(inside.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
     family = components(near, scratch, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     family = scratch.keep(inside.join(family, "doc_id"), "family")
+    scratch.release()
     counts = family.groupBy("family").agg(F.count("*").alias("members"))
     family = family.join(counts, "family").join(sets, "doc_id")
     more = _confirm_inside(family, p)
