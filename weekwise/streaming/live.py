@@ -44,10 +44,12 @@ def latest_by_key(events: DataFrame, key: str) -> DataFrame:
 
 
 def relay_reach(bridge: DataFrame) -> DataFrame:
-    """One row per relay: its number of stores, and its weeks."""
-    return bridge.groupBy("relay_id").agg(
-        F.count_distinct("store_id").alias("n_stores"), F.collect_set("wk_end_date").alias("weeks")
-    )
+    """One row per relay: its number of stores, and its weeks.
+
+    Both as sets, which one shuffle merges: a relay's buffer holds each of its stores and weeks once.
+    """
+    stores = F.size(F.collect_set("store_id")).cast("bigint")
+    return bridge.groupBy("relay_id").agg(stores.alias("n_stores"), F.collect_set("wk_end_date").alias("weeks"))
 
 
 def live_requests(stream: DataFrame, reach: DataFrame, lateness: str = "60 days") -> DataFrame:
