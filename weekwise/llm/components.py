@@ -15,7 +15,7 @@ def components(links: DataFrame, scratch: Scratch, label: str = "stars") -> Data
     node to the smallest one it knows, until each component is one star.
     Minima are aggregated map-side and joined back, so a node that a third
     of all links meet needs no list of its neighbours anywhere. Every round
-    is stored in the shared folder.
+    is stored in the shared folder, and the driver lets go of its plans.
     """
     links = links.filter(F.col("a") != F.col("b"))
     edges = scratch.keep(
@@ -26,6 +26,7 @@ def components(links: DataFrame, scratch: Scratch, label: str = "stars") -> Data
         i += 1
         edges = scratch.keep(_small_star(_large_star(edges)), f"{label}-{i}")
         scratch.drop(f"{label}-{i - 1}")
+        scratch.release()
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

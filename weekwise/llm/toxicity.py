@@ -38,6 +38,7 @@ from weekwise.llm.samples import fold, held_out, sample_ids
 from weekwise.llm.words import Texts, texts
 
 SIZES = (3, 4, 5)
+PIECE = 16_384  # words whose n-grams are listed at a time
 
 
 @dataclass(frozen=True)
@@ -89,9 +90,29 @@ def _per_word(letters: Letters, n: int, bits: int, table: np.ndarray) -> tuple[n
 
 def _bags(values: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
     """Sum over the `span` words from each word on, inside its text."""
-    total = np.r_[0, np.cumsum(values)]
-    end = np.minimum(np.arange(len(values)) + span, np.repeat(first[1:], np.diff(first)))
-    return total[end] - total[:-1]
+    return _sums(values, _ends(first, span))
+
+
+def _ends(first: np.ndarray, span: int) -> np.ndarray:
+    """Place after the last word of the bag that starts at each word."""
+    end = np.arange(first[-1])
+    end += span
+    return np.minimum(end, np.repeat(first[1:], np.diff(first)), out=end)
+
+
+def _sums(values: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of the values from each place up to its end."""
+    total = _running(values)
+    found = total[end]
+    found -= total[:-1]
+    return found
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    """0 and the running sums, in one array."""
+    total = np.zeros(len(values) + 1)
+    np.cumsum(values, out=total[1:])
+    return total
 
 
 def _best_bags(total: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -118,7 +139,12 @@ def _pick(values: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.nda
     """The runs values[begin[i]:begin[i] + size[i]] of the chosen i, end to end."""
     own = size[which]
     cuts = np.r_[0, np.cumsum(own)]
-    return values[np.arange(cuts[-1]) + np.repeat(begin[which] - cuts[:-1], own)]
+    out = np.empty(cuts[-1], values.dtype)
+    for i in range(0, len(which), PIECE):
+        part = slice(i, i + PIECE)
+        a, b = cuts[i], cuts[min(i + PIECE, len(which))]
+        out[a:b] = values[np.arange(a, b) + np.repeat(begin[which[part]] - cuts[:-1][part], own[part])]
+    return out
 
 
 def _sample(bodies: list[str], bits: int) -> _Sample:
@@ -170,38 +196,54 @@ def fit(bodies: list[str], toxic: np.ndarray, params: ModelParams = ModelParams(
     s = _sample(bodies, params.bucket_bits)
     rng = np.random.default_rng(params.seed)
     size = 2**params.bucket_bits + 1
-    used, gram = np.unique(s.grams, return_inverse=True)
-    gram = gram.ravel()
+    seen = np.zeros(size, bool)
+    seen[s.grams] = True
+    used = np.flatnonzero(seen)
+    gram = (np.cumsum(seen) - 1)[s.grams]
+    s.grams = np.zeros(0, np.int32)  # read no more
     embedding = rng.normal(0, 0.3, (len(used), params.dim))
     weight = rng.normal(0, 0.3, params.dim)  # difference of the two classes' softmax weights
     bias = np.array([np.log((toxic.sum() + 1) / ((1 - toxic).sum() + 1))])
     n_words = len(s.word)
-    text = np.repeat(np.arange(len(bodies)), np.diff(s.first))
+    text = np.repeat(np.arange(len(bodies), dtype=np.int32), np.diff(s.first))
     per_word = np.diff(s.cuts)
-    counts = np.maximum(_bags(per_word[s.word].astype(float), s.first, params.span), 1)
-    end = np.minimum(np.arange(n_words) + params.span, np.repeat(s.first[1:], np.diff(s.first)))
+    end = _ends(s.first, params.span)
+    counts = _sums(per_word[s.word].astype(float), end)
+    np.maximum(counts, 1, out=counts)
+    by_place = np.zeros(len(gram) + 1)  # a number for each n-gram of the distinct words, after a 0
     some = s.first[1:] > s.first[:-1]
     adam = _Adam(embedding.shape, weight.shape, bias.shape)
 
     def step(slope_of, rate: float) -> None:
-        odds = embedding @ weight
-        distinct = np.r_[0, np.cumsum(odds[gram])][s.cuts]
-        means = _bags(np.diff(distinct)[s.word], s.first, params.span) / counts
-        slope, free = slope_of(means + bias[0])
+        # The arrays are as long as the sample: they are written in place and let go of early.
+        by_place[0] = 0
+        np.take(embedding @ weight, gram, out=by_place[1:], mode="clip")
+        np.cumsum(by_place[1:], out=by_place[1:])
+        means = _sums(np.diff(by_place[s.cuts])[s.word], end)
+        means /= counts
+        means += bias[0]
+        slope, free = slope_of(means)
+        del means
         # Each word of a bag gets the bag's slope; sum per word, then per n-gram.
         gain = np.zeros(n_words + 1)
         share = slope / counts
         gain[:n_words] += share
         gain -= np.bincount(end, share, minlength=n_words + 1)
-        coefficient = np.bincount(s.word, np.cumsum(gain[:-1]), minlength=len(per_word))
-        by_gram = np.bincount(gram, np.repeat(coefficient, per_word), minlength=len(used))
+        del share
+        np.cumsum(gain[:-1], out=gain[:-1])
+        coefficient = np.bincount(s.word, gain[:-1], minlength=len(per_word))
+        del gain
+        for i in range(0, len(per_word), PIECE):
+            a, b = s.cuts[i], s.cuts[min(i + PIECE, len(per_word))]
+            by_place[1 + a : 1 + b] = np.repeat(coefficient[i : i + PIECE], per_word[i : i + PIECE])
+        by_gram = np.bincount(gram, by_place[1:], minlength=len(used))
         adam.step(
             [embedding, weight, bias],
             [np.outer(by_gram, weight) + 1e-6 * embedding, embedding.T @ by_gram, np.array([slope.sum() + free])],
             rate,
         )
 
-    bag_label, balance = toxic[text].astype(float), 1 / np.maximum(np.diff(s.first), 1)[text] / len(bodies)
+    bag_label, balance = toxic.astype(np.int8)[text], (1 / np.maximum(np.diff(s.first), 1) / len(bodies))[text]
 
     def every_bag(odds: np.ndarray):
         return (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - bag_label) * balance, 0.0
@@ -234,13 +276,13 @@ def train(docs: DataFrame, labels: DataFrame, params: ModelParams = ModelParams(
     ids = sample_ids(marks, "toxic", params.per_label)
     # Bounded: at most per_label ids of each label.
     picked = only(docs, doc_id="doc_id", text="text").join(F.broadcast(ids), "doc_id")
-    got = picked.groupBy("doc_id").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).toPandas()
-    got = got.sort_values("doc_id")
-    toxic = (got["toxic"].to_numpy() > 0).astype(int)
+    got = picked.groupBy("doc_id").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
+    got = got.sort_by("doc_id")
+    toxic = (got.column("toxic").to_numpy() > 0).astype(int)
     if len(set(toxic.tolist())) < 2:
         share = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-12, 1 - 1e-12))
         return Model(np.zeros(2**params.bucket_bits + 1, np.float32), np.log(share / (1 - share)), params.bucket_bits, 1)
-    return fit(got["text"].fillna("").tolist(), toxic, params)
+    return fit([text or "" for text in got.column("text").to_pylist()], toxic, params)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

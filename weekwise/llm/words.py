@@ -36,7 +36,8 @@ class _Powers:
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, CHUNK_BYTES + 1)
+            # Twice as many as before, up to a whole chunk: short texts need few.
+            n = max(n, min(2 * len(self.up), CHUNK_BYTES + 1))
             for name, step in (("up", self.base), ("down", self.inverse)):
                 values = np.full(n, step, np.uint64)
                 values[0] = 1
