@@ -159,3 +159,20 @@ def test_only_weeks_with_an_excess_are_cut_into_units(spark, monkeypatch):
     assert {r.week for r in kept["units"].collect()} == {W2} and kept["units"].count() == 2
     assert weeks_of(out) == {"a": W1, "b": W4, "c": W2, "d": W3, "e": None}
     assert out.columns == [*rows.columns, "suggested_wk_end_date"]
+
+
+@pytest.mark.parametrize(("more", "looked_at"), [([], [21, 1]), ([("neg", W1, -1)], [22, 22])])
+def test_later_passes_look_only_at_units_within_the_excess(spark, monkeypatch, more, looked_at):
+    """Unless hours are negative: an excess may then grow again."""
+    seen, phase = [], rebalance._phase
+
+    def spy(units, moves, state, params, nm, largest_first):
+        if not nm:
+            seen.append(units.count())
+        return phase(units, moves, state, params, nm, largest_first)
+
+    monkeypatch.setattr(rebalance, "_phase", spy)
+    rows = sched(spark, ("big", W1, 9), *[(f"r{i}", W1, 4) for i in range(20)], *more)
+    out = rebalance.rebalance(rows, limits(spark, {W1: 80, W2: 5, W3: 4, W4: 0}), P)
+    assert set(weeks_of(out).values()) == {W1}
+    assert seen == looked_at
