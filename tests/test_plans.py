@@ -84,3 +84,23 @@ def test_splits_of_the_planning_queries_are_bounded(spark, tmp_path):
 def test_relays_without_a_group_are_left_out_before_the_count(spark, sf_dir):
     text = plan(QUERIES["group_sync_violations"](spark, sf_dir))
     assert "LeftSemi" in text
+
+
+def test_objectives_of_both_schedules_come_from_week_pairs(spark, sf_dir, monkeypatch):
+    """The suggested rows are read once and not written."""
+    for name in ("schedule_objective", "cost_waterfall"):
+        labels = stored(spark, sf_dir, monkeypatch, name)
+        assert "suggested" not in labels and labels.count("week-pairs") == 1
+
+
+def test_first_open_week_is_found_once(spark, sf_dir, monkeypatch):
+    """Phases read a stored row per open week and not the work table for its last date."""
+    read = []
+    phase = rebalance._phase
+
+    def note(units, moves, state, *args, **kwargs):
+        read.append(state)
+        return phase(units, moves, state, *args, **kwargs)
+
+    monkeypatch.setattr(rebalance, "_phase", note)
+    assert stored(spark, sf_dir, monkeypatch, "moved_relays").count("open-weeks") == 1 and read
