@@ -104,3 +104,9 @@ def test_first_open_week_is_found_once(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(rebalance, "_phase", note)
     assert stored(spark, sf_dir, monkeypatch, "moved_relays").count("open-weeks") == 1 and read
+
+
+def test_relay_weeks_without_a_move_are_left_out_before_they_are_grouped(spark, sf_dir):
+    text = plan(QUERIES["moves_by_dept"](spark, sf_dir))
+    semi = text[text.index("LeftSemi") :]
+    assert "HashAggregate" in text[: text.index("LeftSemi")] and "lineitem" in semi and "HashAggregate" not in semi.split("lineitem")[0]
