@@ -106,6 +106,18 @@ def test_first_open_week_is_found_once(spark, sf_dir, monkeypatch):
     assert stored(spark, sf_dir, monkeypatch, "moved_relays").count("open-weeks") == 1 and read
 
 
+def test_checks_store_only_the_columns_they_read(spark, sf_dir, monkeypatch):
+    kept = {}
+
+    def note(df, label):
+        kept[label] = df.columns
+        return materialize(df, label)
+
+    monkeypatch.setattr(registry, "materialize", note)
+    QUERIES["compliance_summary"](spark, sf_dir)
+    assert not {"requested_move_wk", "status", "adjustment_group_id"} & set(kept["suggested"])
+
+
 def test_relay_weeks_without_a_move_are_left_out_before_they_are_grouped(spark, sf_dir):
     text = plan(QUERIES["moves_by_dept"](spark, sf_dir))
     semi = text[text.index("LeftSemi") :]
