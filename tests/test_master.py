@@ -17,6 +17,7 @@ from weekwise.operators import calendar, master
 from weekwise.params import Params
 from weekwise.sources import adapters
 
+from weekwise.session import materialize
 P = Params()
 
 
@@ -165,6 +166,14 @@ def test_instances_equal_deduplicated_chain(spark, sf_dir):
 
 def test_repeated_relay_rows_leave_one_instance(spark):
     t = tables(
+def test_instances_of_stored_rows_are_the_same(spark):
+    t = chain(spark)
+    placed = materialize(master.relay_store_join(t.relays, t.bridge, P), "placed")
+    whole = master.instances(t, P, unique_keys=True).select(*KEPT)
+    short = master.instances(t, P, unique_keys=True, placed=placed).select(*KEPT)
+    assert whole.exceptAll(short).isEmpty() and short.exceptAll(whole).isEmpty()
+
+
         spark,
         [
             {"relay_id": "1", "wk_end_date": W1, "relay_change_perc": 0.2, "total_store_hours": 5.0},

@@ -2,11 +2,11 @@
 
 import re
 
-from weekwise.operators import rebalance
+from weekwise.operators import master, rebalance
 from weekwise.params import Params
 from weekwise.plans import registry
 from weekwise.plans.registry import QUERIES
-from weekwise.session import TABLES, configure, materialize
+from weekwise.session import FREED, TABLES, configure, materialize
 from weekwise.sources import io
 
 
@@ -74,6 +74,18 @@ def test_dashboard_joins_the_scored_rows_once(spark, sf_dir, monkeypatch):
     assert stored(spark, sf_dir, monkeypatch, "dashboard_document").count("scored") == 1
 
 
+def test_dashboard_joins_relays_and_stores_once(spark, sf_dir, monkeypatch):
+    """The instances behind its savings come from the stored scored rows."""
+    joins, join = [], master.relay_store_join
+
+    def note(*args):
+        joins.append(args)
+        return join(*args)
+
+    monkeypatch.setattr(master, "relay_store_join", note)
+    assert stored(spark, sf_dir, monkeypatch, "dashboard_document").count("top-cost") == 1 and len(joins) == 1
+
+
 def test_splits_of_the_planning_queries_are_bounded(spark, tmp_path):
     """What a task of a table query reads does not follow the table; corpus queries keep Spark's splits."""
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
