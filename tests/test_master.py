@@ -1,5 +1,7 @@
 """Flags, joins, instances and keys on hand-made rows."""
 
+import hashlib
+
 import pytest
 from frames import W1, W2, W3, frame, relays, tables
 from pyspark.sql import functions as F
@@ -15,9 +17,9 @@ from weekwise.functions.columns import (
 )
 from weekwise.operators import calendar, master
 from weekwise.params import Params
+from weekwise.session import materialize
 from weekwise.sources import adapters
 
-from weekwise.session import materialize
 P = Params()
 
 
@@ -164,8 +166,6 @@ def test_instances_equal_deduplicated_chain(spark, sf_dir):
             assert whole.exceptAll(short).isEmpty() and short.exceptAll(whole).isEmpty()
 
 
-def test_repeated_relay_rows_leave_one_instance(spark):
-    t = tables(
 def test_instances_of_stored_rows_are_the_same(spark):
     t = chain(spark)
     placed = materialize(master.relay_store_join(t.relays, t.bridge, P), "placed")
@@ -174,6 +174,8 @@ def test_instances_of_stored_rows_are_the_same(spark):
     assert whole.exceptAll(short).isEmpty() and short.exceptAll(whole).isEmpty()
 
 
+def test_repeated_relay_rows_leave_one_instance(spark):
+    t = tables(
         spark,
         [
             {"relay_id": "1", "wk_end_date": W1, "relay_change_perc": 0.2, "total_store_hours": 5.0},
@@ -197,6 +199,20 @@ def test_key_suffix_numbers_all_copies_of_a_hot_key(spark):
     assert out.filter("adjustment_group_id = 'G1'").count() == copies
 
 
+@pytest.mark.parametrize("hot", [[], ["a"], ["a", "b", "c"]])
+def test_key_suffix_numbers_alike_together_and_in_buckets(spark, monkeypatch, hot):
+    data = [(k, g) for k in "abc" for g in ["G1", "G1", "G2", None, *(f"X{i}" for i in range(20))]] + [("d", "G1"), (None, "G1")]
+    monkeypatch.setattr(master, "hot_keys", lambda *args, **kwargs: dict.fromkeys(hot, 1))
+    df = spark.createDataFrame(data, "instance_key string, adjustment_group_id string")
+    wanted = []
+    for key in "abcd":
+        text = {g: f"{key}|{g or ''}" for k, g in data if k == key}
+        mine = sorted((g for k, g in data if k == key), key=lambda g: (hashlib.md5(text[g].encode()).hexdigest(), text[g]))
+        wanted += [(key, g, i, f"{key}_{i}" if i else key) for i, g in enumerate(mine)]
+    found = master.key_suffix(df, Params(copy_chunk=1, prefix_hex_digits=1)).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
+
+
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "instance_key string")
     assert rows(master.duplicate_keys(df), "*") == [("a", 2)]

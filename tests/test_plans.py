@@ -134,3 +134,20 @@ def test_relay_weeks_without_a_move_are_left_out_before_they_are_grouped(spark,
     text = plan(QUERIES["moves_by_dept"](spark, sf_dir))
     semi = text[text.index("LeftSemi") :]
     assert "HashAggregate" in text[: text.index("LeftSemi")] and "lineitem" in semi and "HashAggregate" not in semi.split("lineitem")[0]
+
+
+def test_key_suffix_shuffles_its_rows_once_and_bare(spark):
+    """One exchange for keys that fit a task; md5 and row text are made after it."""
+    df = spark.createDataFrame([(str(i), f"G{i}") for i in range(20)], "instance_key string, adjustment_group_id string")
+    above, below = plan(master.key_suffix(df, Params())).split("Exchange hashpartitioning")
+    assert "md5" in above and "md5" not in below and "Exchange" not in below
+
+
+def test_staged_queries_give_back_shuffle_files(spark, sf_dir):
+    """Only they do, and their result can still be read twice."""
+    (name,) = FREED
+    kept = QUERIES["key_suffix"](spark, sf_dir)
+    assert spark.conf.get(name) == "true"
+    assert sorted(kept.collect()) == sorted(kept.collect())
+    QUERIES["request_frequency"](spark, sf_dir)
+    assert spark.conf.get(name, "false") == "false"
